@@ -1,12 +1,12 @@
 """Operator 4: context-triggered piecewise hashing.
 
-A rolling hash over seven bytes cuts a text where it hits a residue of the block size 3 * 2^k; every chunk
+A rolling hash over seven bytes cuts a text where it hits a residue of the block size 2^k (at size 1 every byte is a chunk); every chunk
 gives one of 64 letters. A fingerprint is ``block size:letters:letters at twice the block size`` with at most 64 and 32
 letters, the last of which stands for all the rest. Fingerprints whose block sizes are equal or differ by a factor of two are compared by
 edit distance (insertions and deletions), after runs of a letter are cut to three; those without seven letters in
-a row in common (or all letters of the shorter one) are unlike.
+a row in common (half of the letters, if the shorter one has fewer than 14) are unlike.
 
-Defined cases: a null text is empty and has fingerprint ``3::``; equal texts have equal fingerprints and likeness 1; with a
+Defined cases: a null text is empty and has fingerprint ``1::``; equal texts have equal fingerprints and likeness 1; with a
 single row the next document is the row itself; rows with equal ids follow each other by text; a null id sorts after all others.
 """
 
@@ -24,13 +24,13 @@ from shelfmark.llm.store import column
 from shelfmark.runtime import shipped
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-WINDOW, LEAST_BLOCK, LONG, SHORT, COMMON = 7, 3, 64, 32, 7
+WINDOW, LONG, SHORT, COMMON = 7, 64, 32, 7
 #: Bytes hashed at once.
 BLOCK_BYTES = 2 << 20
 
 
-def _triggers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where the rolling hash ends a chunk at the least block size, and the largest k for which it does at 3 * 2^k."""
+def _triggers(data: np.ndarray) -> np.ndarray:
+    """For every place the largest k for which the rolling hash ends a chunk there at block size 2^k."""
     x = data.astype(np.uint32)
     total, weighted, shifted = x.copy(), x * np.uint32(WINDOW), x.copy()
     for k in range(1, WINDOW):
@@ -38,11 +38,12 @@ def _triggers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total[k:] += past
         weighted[k:] += past * np.uint32(WINDOW - k)
         shifted[k:] ^= past << np.uint32(5 * k)
-    h = total + weighted + shifted + np.uint32(1)
-    at = np.flatnonzero(h % np.uint32(LEAST_BLOCK) == 0)
-    q = h[at] // np.uint32(LEAST_BLOCK)
-    low = q & (~q + np.uint32(1))
-    return at, np.where(q == 0, 32, np.log2(np.maximum(low, 1)).astype(np.int64))
+    h = total + weighted + shifted
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(13)
+    low = h & (~h + np.uint32(1))
+    return np.where(h == 0, 32, np.frexp(low.astype(np.float32))[1] - 1).astype(np.int8)
 
 
 def _letters(view: memoryview, n: int, cuts: np.ndarray, most: int) -> str:
@@ -68,17 +69,16 @@ def fingerprints(texts: list[bytes]) -> list[str]:
             end += 1
         gap = b"\0" * WINDOW
         data = np.frombuffer(gap + gap.join(texts[begin:end]) + gap, np.uint8)
-        at, rank = _triggers(data)
+        rank = _triggers(data)
         start = WINDOW
         for text in texts[begin:end]:
             n = len(text)
-            lo, hi = np.searchsorted(at, (start, start + n))
-            cuts, deep = at[lo:hi] - start + 1, rank[lo:hi]
-            k = max(0, int(np.ceil(np.log2(max(n, 1) / (LEAST_BLOCK * LONG)))))
+            deep = rank[start : start + n]
+            k = max(0, int(np.ceil(np.log2(max(n, 1) / LONG))))
             while k and np.count_nonzero(deep >= k) + 1 < SHORT:
                 k -= 1
             view = memoryview(text)
-            out.append(f"{LEAST_BLOCK << k}:{_letters(view, n, cuts[deep >= k], LONG)}:{_letters(view, n, cuts[deep >= k + 1], SHORT)}")
+            out.append(f"{1 << k}:{_letters(view, n, np.flatnonzero(deep >= k) + 1, LONG)}:{_letters(view, n, np.flatnonzero(deep > k) + 1, SHORT)}")
             start += n + WINDOW
         begin = end
     return out
@@ -89,7 +89,7 @@ def _short_runs(s: str) -> str:
 
 
 def _common_run(a: str, b: str) -> bool:
-    n = min(COMMON, len(a), len(b))
+    n = min(COMMON, (min(len(a), len(b)) + 1) // 2)
     return n > 0 and not {a[i : i + n] for i in range(len(a) - n + 1)}.isdisjoint(b[i : i + n] for i in range(len(b) - n + 1))
 
 

@@ -1,12 +1,13 @@
 """Operator 5: removal of sentences that repeated runs cover.
 
 A text is cut into sentences after ``. ! ?`` before white space and at line ends; a sentence of more than
-``max_words`` words counts as several. From every sentence starts one run: the shortest of at least ``min_sentences``
-sentences and ``min_words`` words. Runs are compared by a 64-bit hash of their words over the whole corpus; the first place of a
-run is the smallest (doc_id, text hash, sentence), and the sentences under any other place are removed.
+``max_words`` words counts as several, cut before words whose hash is a multiple of CUT (so that a passage is cut alike wherever it begins). From
+every sentence starts one run: the shortest of at least ``min_sentences`` sentences and ``min_words`` words. Runs
+are compared by a 64-bit hash of their words over the whole corpus; the first place of a run is the smallest
+(doc_id, text hash, sentence), and the sentences under any other place are removed.
 
-Two passes: counting keeps (hash, first place, last place) by partial aggregation, then only runs that a Bloom filter of the
-repeated hashes lets through are joined to them. Hot runs are spread by adaptive skew splits; nothing is dropped.
+Two passes: the first counts hashes alone, by partial aggregation; the second carries places of those runs only that a Bloom
+filter of the repeated hashes lets through. Hot runs are spread by adaptive skew splits; nothing is dropped.
 
 Defined cases: a null text stays null; an empty text or one too short for a run stays as it is; rows that repeat an id
 and a text count as one place and stay alike; a null id comes before all others; other columns pass through unchanged.
@@ -32,6 +33,7 @@ _WORD = re.compile(r"\S+")
 _ENDS = (".", "!", "?")
 RUN_SCHEMA = "h long, doc long, rid int, at int, sentences int"
 NO_ID = -(2**63)
+CUT = np.uint64(8)
 
 
 def _begins(words: list[str], line_starts: list[int], max_words: int) -> np.ndarray:
@@ -41,7 +43,8 @@ def _begins(words: list[str], line_starts: list[int], max_words: int) -> np.ndar
     marks.update((0, len(words)))
     at = np.array(sorted(marks), np.int64)
     if len(words) and (np.diff(at) > max_words).any():
-        at = np.unique(np.concatenate([at, *[np.arange(a, b, max_words) for a, b in zip(at[:-1], at[1:], strict=True) if b - a > max_words]]))
+        marked = np.flatnonzero(hashed(words) % CUT == 0)
+        at = np.unique(np.concatenate([at, *[marked[(marked > a) & (marked < b)] for a, b in zip(at[:-1], at[1:], strict=True) if b - a > max_words]]))
     return at
 
 
@@ -132,10 +135,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return rows.mapInPandas(run, RUN_SCHEMA)
 
     place = F.struct("doc", "rid", "at")
-    repeated = written(runs_through(None).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first"), "runs")
-    n = repeated.count()
-    test = spark.sparkContext.broadcast(bloom.build(repeated, F.col("h"), n))
-    later = runs_through(test).join(repeated, "h").where(place != F.col("first"))
+    repeated = written(runs_through(None).select("h").groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "runs")
+    test = spark.sparkContext.broadcast(bloom.build(repeated, F.col("h"), repeated.count()))
+    places = written(runs_through(test), "places")
+    first = places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first")
+    later = places.join(first, "h").where(place != F.col("first"))
     gone = later.select("doc", "rid", F.explode(F.sequence("at", F.col("at") + F.col("sentences") - 1)).alias("s")).groupBy("doc", "rid").agg(F.collect_set("s").alias("gone"))
 
     @F.pandas_udf("string")
