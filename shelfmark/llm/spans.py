@@ -3,14 +3,14 @@
 A text is cut into sentences after ``. ! ?`` before white space and at line ends; a sentence of more than
 ``max_words`` words counts as several, cut before words whose hash is a multiple of CUT (so that a passage is cut alike wherever it begins). From
 every sentence starts one run: the shortest of at least ``min_sentences`` sentences and ``min_words`` words. Runs
-are compared by a 64-bit hash of their words over the whole corpus; the first place of a run is the smallest
-(doc_id, text hash, sentence), and the sentences under any other place are removed.
+are compared by a 64-bit hash of their words over the whole corpus; the first place of a run is the first one in
+the document with the smallest doc_id, and the sentences under any other place are removed.
 
-Two passes: the first counts hashes alone, by partial aggregation; the second carries places of those runs only that a Bloom
-filter of the repeated hashes lets through. Hot runs are spread by adaptive skew splits; nothing is dropped.
+Repeats inside a document are found where it is read. Across documents hashes alone are counted first, by partial
+aggregation; then a Bloom filter of the repeated hashes tells which places are joined. Hot runs are spread by adaptive skew splits; nothing is dropped.
 
 Defined cases: a null text stays null; an empty text or one too short for a run stays as it is; rows that repeat an id
-and a text count as one place and stay alike; a null id comes before all others; other columns pass through unchanged.
+count as one document, and keep what they only share with each other; a null id comes before all others; other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -19,32 +19,57 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bloom
 from shelfmark.llm.store import column, written
-from shelfmark.llm.words import hashed, mixed
+from shelfmark.llm.words import CACHE_WORDS, mixed
 from shelfmark.runtime import shipped
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = re.compile(r"\S+")
 _ENDS = (".", "!", "?")
-RUN_SCHEMA = "h long, doc long, rid int, at int, sentences int"
+
+
+class SentenceWords(dict):
+    """Word -> unsigned 64-bit hash whose lowest bit tells whether the word ends a sentence. Emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word[-1] in _ENDS)
+        return value
+
+
+_words = SentenceWords()
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+RUN_SCHEMA = "h long, doc long, rid int, at int, sentences int, again boolean"
 NO_ID = -(2**63)
 CUT = np.uint64(8)
 
 
-def _begins(words: list[str], line_starts: list[int], max_words: int) -> np.ndarray:
+def _begins(h: np.ndarray, line_starts: list[int], max_words: int) -> np.ndarray:
     """The first word of each sentence, and at the end the number of words."""
-    marks = set(line_starts)
-    marks.update(i + 1 for i, w in enumerate(words) if w[-1] in _ENDS)
-    marks.update((0, len(words)))
-    at = np.array(sorted(marks), np.int64)
-    if len(words) and (np.diff(at) > max_words).any():
-        marked = np.flatnonzero(hashed(words) % CUT == 0)
-        at = np.unique(np.concatenate([at, *[marked[(marked > a) & (marked < b)] for a, b in zip(at[:-1], at[1:], strict=True) if b - a > max_words]]))
+    n = len(h)
+    first = np.zeros(n + 1, bool)
+    first[1:] = (h & np.uint64(1)).astype(bool)
+    first[line_starts] = True
+    first[0] = first[n] = True
+    at = np.flatnonzero(first)
+    long = np.flatnonzero(np.diff(at) > max_words)
+    if len(long):
+        marked = np.flatnonzero((h >> np.uint64(1)) % CUT == 0)
+        inside = np.isin(np.searchsorted(at, marked, side="right") - 1, long)
+        first[marked[inside]] = True
+        at = np.flatnonzero(first)
     return at
 
 
@@ -76,12 +101,13 @@ def text_runs(text: str | None, min_sentences: int, min_words: int, max_words: i
         words += line.split()
     if len(words) < min_words:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    begins = _begins(words, starts, max_words)
+    hashes = _hashed(words)
+    begins = _begins(hashes, starts, max_words)
     first, last = _runs(begins, min_sentences, min_words)
     # a sum of h[i] * base^i over the run, times base^-place: the same wherever the run stands
     power, inverse = _powers_of(_BASE, len(words) + 1), _powers_of(_INVERSE, len(words) + 1)
     total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mixed(hashed(words)) * power[: len(words)], out=total[1:])
+    np.cumsum(hashes * power[: len(words)], out=total[1:])
     a, b = begins[first], begins[last]
     return mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64), first, last
 
@@ -95,7 +121,7 @@ def without(text: str, gone: set[int], max_words: int) -> str:
             words.append(m[0])
             spans.append(at + m.start())
         at += len(line)
-    begins = _begins(words, starts, max_words)
+    begins = _begins(_hashed(words), starts, max_words)
     edges = [spans[i] if i < len(spans) else len(text) for i in begins.tolist()]
     keep, out = 0, []
     for s in sorted(gone):
@@ -114,32 +140,33 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = column(docs, text_col).cast("string")
     rows = docs.select(key.alias("doc"), F.hash(text).alias("rid"), text.alias("text"))
 
-    def runs_through(test):
-        def run(batches):
-            for pdf in batches:
-                hs, docs_, rids, ats, sizes = [], [], [], [], []
-                for doc, rid, t in zip(pdf["doc"], pdf["rid"], pdf["text"], strict=True):
-                    h, first, last = text_runs(t, min_sentences, min_words, max_words)
-                    if test is not None and len(h):
-                        ok = test.value.might_hold(h)
-                        h, first, last = h[ok], first[ok], last[ok]
-                    if len(h):
-                        hs.append(h)
-                        docs_.append(np.full(len(h), doc))
-                        rids.append(np.full(len(h), rid))
-                        ats.append(first)
-                        sizes.append(last - first)
-                if hs:
-                    yield pd.DataFrame({"h": np.concatenate(hs), "doc": np.concatenate(docs_), "rid": np.concatenate(rids).astype(np.int32), "at": np.concatenate(ats).astype(np.int32), "sentences": np.concatenate(sizes).astype(np.int32)})
-
-        return rows.mapInPandas(run, RUN_SCHEMA)
-
-    place = F.struct("doc", "rid", "at")
-    repeated = written(runs_through(None).select("h").groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "runs")
+    def runs(batches):
+        for pdf in (whole.iloc[i : i + 1000] for whole in batches for i in range(0, len(whole), 1000)):
+            parts = []
+            for i, t in enumerate(pdf["text"]):
+                h, first, last = text_runs(t, min_sentences, min_words, max_words)
+                if len(h):
+                    again = np.ones(len(h), bool)
+                    again[np.unique(h, return_index=True)[1]] = False  # the first place of each run in this text
+                    parts.append((i, h, first, last - first, again))
+            if parts:
+                at = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+                h, first, sentences, again = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
+                yield pd.DataFrame({"h": h, "doc": pdf["doc"].to_numpy()[at], "rid": pdf["rid"].to_numpy()[at], "at": first.astype(np.int32), "sentences": sentences.astype(np.int32), "again": again})
+
+    places = written(rows.mapInPandas(runs, RUN_SCHEMA), "runs")
+    once = places.where("not again")
+    repeated = written(once.select("h").groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeated")
     test = spark.sparkContext.broadcast(bloom.build(repeated, F.col("h"), repeated.count()))
-    places = written(runs_through(test), "places")
-    first = places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first")
-    later = places.join(first, "h").where(place != F.col("first"))
+
+    @F.pandas_udf("boolean")
+    def elsewhere(h: pd.Series) -> pd.Series:
+        return pd.Series(test.value.might_hold(h.to_numpy(np.int64)))
+
+    shared = once.where(elsewhere("h")).select("h", "doc", "rid", "at", "sentences")
+    first = shared.groupBy("h").agg(F.min("doc").alias("first"))
+    later = shared.join(first, "h").where("doc != first").select("doc", "rid", "at", "sentences")
+    later = later.unionByName(places.where("again").select("doc", "rid", "at", "sentences"))
     gone = later.select("doc", "rid", F.explode(F.sequence("at", F.col("at") + F.col("sentences") - 1)).alias("s")).groupBy("doc", "rid").agg(F.collect_set("s").alias("gone"))
 
     @F.pandas_udf("string")
