@@ -12,7 +12,6 @@ packed each; an empty table gives no piece; other columns are ignored. Sequences
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
@@ -21,94 +20,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.bpe import gathered, groups
+from shelfmark.llm.bpe import groups
 from shelfmark.llm.store import column, in_task, written
 from shelfmark.runtime import shipped
 
 CAPACITY, GRAIN, END_ID = 2048, 8, 1
-CACHE_WORDS = 500_000
 PIECE_SCHEMA = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, bin int, task int, nth long"
-#: Scripts for which the word pattern and the tokenizer's own splitter are known to cut alike; other texts are encoded whole.
-_PLAIN = re.compile(r"[^\x00-\u024f\u2010-\u203a\u20ac]")
-_SIMPLE = re.compile(r" ?[^\s]+")
+def byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class WordEncoder:
-    """Ids by the ``tokenizers`` library, word by word through a bounded cache."""
+class VocabularyEncoder:
+    """Ids of a byte-level BPE vocabulary file of the ``tokenizers`` library.
+
+    If the file's merges make its ids in order, the same merges are run by the faster ``tiktoken`` engine. The first texts that
+    a worker meets are encoded by both, and from the first difference on the library encodes everything itself.
+    """
+
+    CHECKED = 200
 
     def __init__(self, path: str, pattern: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words_in = regex.compile(pattern).findall
-        self.line_end = self._ids(["\n"])[0]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.begin, self.size, self.n, self.flat_n = np.empty(1 << 20, np.int32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0, 0
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Simple words are encoded many at once, a line each; the pattern cuts at line ends."""
-        simple = [w for w in new if _SIMPLE.fullmatch(w)]
-        other = [w for w in new if not _SIMPLE.fullmatch(w)]
-        ids: list[np.ndarray] = []
-        order: list[str] = []
-        if len(self.line_end) == 1:
-            for lot in groups(simple, 1 << 16):
-                got = np.array(self._ids(["\n".join(lot)])[0], np.int32)
-                cuts = np.flatnonzero(got == self.line_end[0])
-                if len(cuts) != len(lot) - 1:
-                    other += lot
-                    continue
-                ids += np.split(got, cuts)[:1] + [part[1:] for part in np.split(got, cuts)[1:]]
-                order += lot
-        else:
-            other = new
-        ids += [np.array(i, np.int32) for i in self._ids(other)] if other else []
-        order += other
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while self.flat_n + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.n + len(order) > len(self.begin):
-            self.begin, self.size = np.concatenate([self.begin, np.empty_like(self.begin)]), np.concatenate([self.size, np.empty_like(self.size)])
-        if total:
-            self.flat[self.flat_n : self.flat_n + total] = np.concatenate(ids)
-        self.begin[self.n : self.n + len(order)] = self.flat_n + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(order)] = sizes
-        self.known.update(zip(order, range(self.n, self.n + len(order)), strict=True))
-        self.n, self.flat_n = self.n + len(order), self.flat_n + total
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        letters = byte_letters()
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        order = [model["vocab"][m] for m in merged]
+        self.engine, self.left = None, self.CHECKED
+        if order == sorted(order) and not model.get("dropout") and all(c in letters for m in merged for c in m):
+            made = set(order)
+            ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token in letters or i in made}
+            self.engine = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = {i for i, t in enumerate(texts) if _PLAIN.search(t)}
-        split = [[] if i in odd else self.words_in(t) for i, t in enumerate(texts)]
-        flat_words = [w for words in split for w in words]
-        if len(self.known) > CACHE_WORDS:
-            self._forget()
-        new = list(set(flat_words).difference(self.known))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, flat_words), np.int64, len(flat_words))
-        ids, ends = gathered(self.flat, self.begin[at], self.size[at])
-        edges = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum([0, *map(len, split)])]
-        out = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        for i, got in zip(sorted(odd), self._ids([texts[i] for i in sorted(odd)]), strict=True):
-            out[i] = np.array(got, np.int32)
+        if self.engine is None:
+            return self.library(texts)
+        out = [self.engine.encode_to_numpy(t, disallowed_special=()) for t in texts]
+        if self.left > 0:
+            part = texts[: self.left]
+            self.left -= len(part)
+            if not all(np.array_equal(a, b) for a, b in zip(out, self.library(part), strict=False)):
+                self.engine = None
+                return self.library(texts)
         return out
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str, pattern: str) -> WordEncoder:
-    return WordEncoder(path, pattern)
+def vocabulary_encoder(path: str, pattern: str) -> VocabularyEncoder:
+    """One a worker."""
+    return VocabularyEncoder(path, pattern)
 
 
 def cut(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +91,7 @@ def cut(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY
     def run(batches):
         from pyspark import TaskContext
 
-        task, coder, counts = TaskContext.get().partitionId(), word_encoder(vocabulary, pattern), np.zeros(capacity // grain + 2, np.int64)
+        task, coder, counts = TaskContext.get().partitionId(), vocabulary_encoder(vocabulary, pattern), np.zeros(capacity // grain + 2, np.int64)
         for pdf in batches:
             doc_ids, done = pdf["doc_id"].tolist(), 0
             for texts in groups([t or "" for t in pdf["text"]], 1 << 20):
