@@ -273,6 +273,7 @@ def html_guess(pages: DataFrame, keep: list[str]) -> DataFrame:
 
 def best_rung(rows: DataFrame) -> DataFrame:
     """Of all rungs' rows (scan_id, rung) those of the least rung that yielded any, scan by scan."""
+    rows = rows.persist()  # both sides of the join read it
     least = rows.groupBy("scan_id").agg(F.min("rung").alias("rung"))
     return rows.join(least, ["scan_id", "rung"], "left_semi")
 

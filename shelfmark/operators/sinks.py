@@ -30,8 +30,8 @@ def write_csv(rows: DataFrame, path: str, columns: list[str], before: list[str]
     """A header (after lines ``before``) and a line a row, in order; written by one task as the file is one export."""
     spark = rows.sparkSession
     head = spark.createDataFrame([(i, line) for i, line in enumerate([*before, ",".join(columns)])], "at long, line string")
-    order = rows.select(F.lit(len(before) + 1).cast("long").alias("at"), csv_line(rows, columns).alias("line"))
-    head.select("line").coalesce(1).union(order.select("line")).coalesce(1).write.mode("overwrite").text(path)
+    body = rows.select((F.monotonically_increasing_id() + len(before) + 1).alias("at"), csv_line(rows, columns).alias("line"))
+    head.union(body).repartition(1).sortWithinPartitions("at").select("line").write.mode("overwrite").text(path)
 
 
 def cut_reason(c: Column) -> Column:

@@ -9,9 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: texts can be long, and a worker holds a batch several times over.
+BATCH_ROWS = "2000"
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """Send the package's modules to the executors once a Spark context, so that their Python workers can import it."""
     context = spark.sparkContext
+    if spark.conf.get(_ROWS_KEY) == "10000":
+        spark.conf.set(_ROWS_KEY, BATCH_ROWS)
     if not getattr(context, "_shelfmark_shipped", False):
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="shelfmark-")) / "shelfmark_code.zip"

@@ -49,7 +49,7 @@ def verdict_rank(verdict: Column) -> Column:
 
 
 def verdict_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), rank + 1)
+    return F.when(rank.isNotNull(), F.get(F.array(*[F.lit(v) for v in VERDICTS]), rank))
 
 
 def half_up(x: Column, digits: int) -> Column:
