@@ -88,6 +88,10 @@ def _renamed(role: Column, names: dict[str, str]) -> Column:
     return reduce(lambda out, item: F.when(role == item[0], F.lit(item[1])).otherwise(out), names.items(), role)
 
 
+def _reader(role: str, text: str, names: dict[str, str]):
+    return lambda x: _turn(_renamed(x[role], names), x[text])
+
+
 def turns_of_records(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """Canonical turns of JSON records whose layouts differ from row to row; empty for unknown ones."""
     print_, out = record_fingerprint(record), F.array().cast(TURNS)
@@ -95,7 +99,7 @@ def turns_of_records(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> C
         if layout.listed:
             path, role, text = layout.listed
             items = F.from_json(F.get_json_object(record, f"$.{path}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-            turns = F.transform(F.coalesce(items, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), lambda x, r=role, t=text, n=layout.roles: _turn(_renamed(x[r], n), x[t]))
+            turns = F.transform(F.coalesce(items, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), _reader(role, text, layout.roles))
         else:
             one = lambda role, path: F.when(F.coalesce(F.get_json_object(record, f"$.{path}"), F.lit("")) != "", _turn(F.lit(role), F.get_json_object(record, f"$.{path}")))
             turns = F.array_compact(F.array(*[one(role, path) for role, path in layout.single]))
@@ -111,7 +115,7 @@ def turns_of_column(df: DataFrame, name: str, layouts: tuple[Layout, ...] = LAYO
         return F.array().cast(TURNS)
     if layout.listed:
         path, role, text = layout.listed
-        return F.transform(F.col(name)[path], lambda x: _turn(_renamed(x[role], layout.roles), x[text])).cast(TURNS)
+        return F.transform(F.col(name)[path], _reader(role, text, layout.roles)).cast(TURNS)
     return F.array_compact(F.array(*[F.when(F.coalesce(F.col(name)[path], F.lit("")) != "", _turn(F.lit(role), F.col(name)[path])) for role, path in layout.single])).cast(TURNS)
 
 

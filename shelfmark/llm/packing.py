@@ -136,6 +136,20 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(worth[capacity]), counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination with row pivots."""
+    n = len(matrix)
+    work = np.hstack([matrix.astype(np.float64), np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        work -= factor[:, None] * work[k]
+    return work[:, n:]
+
+
 def patterns_for(demand: dict[int, int], capacity: int, most_rounds: int = 4000, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
     """(how often each size, how many sequences) so that every size is met; sizes: sorted keys of ``demand``.
 
@@ -153,7 +167,7 @@ def patterns_for(demand: dict[int, int], capacity: int, most_rounds: int = 4000,
     least = float(need @ sizes) / capacity
     for turn in range(most_rounds):
         if turn % 200 == 199:
-            inverse = np.linalg.inv(columns.astype(float))
+            inverse = inverted(columns)
             x = inverse @ need
         prices = inverse.sum(axis=0)
         worth, column_ = best_pattern(prices, sizes, capacity)
