@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bloom
-from shelfmark.llm.store import column, written
+from shelfmark.llm.store import column, give_back, written
 from shelfmark.llm.words import CACHE_WORDS, mixed
 from shelfmark.runtime import shipped
 
@@ -153,6 +153,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 at = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
                 h, first, sentences, again = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
                 yield pd.DataFrame({"h": h, "doc": pdf["doc"].to_numpy()[at], "rid": pdf["rid"].to_numpy()[at], "at": first.astype(np.int32), "sentences": sentences.astype(np.int32), "again": again})
+        give_back()
 
     places = written(rows.mapInPandas(runs, RUN_SCHEMA), "runs")
     once = places.where("not again")

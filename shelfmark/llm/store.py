@@ -64,3 +64,18 @@ def in_task(spark: SparkSession, job):
         yield pd.DataFrame({"out": [pickle.dumps(job())]})
 
     return pickle.loads(spark.range(0, 1, 1, 1).mapInPandas(run, "out binary").first()["out"])
+
+
+def give_back() -> None:
+    """At the end of a task: return memory that the worker no longer uses to the system, as the next stage may need it for the JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
