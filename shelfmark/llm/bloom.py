@@ -10,11 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.runtime import shipped
+
 MAX_BITS = 1 << 27
 HASHES = 4
+#: 64-bit words of a block, the unit in which a filter is gathered.
+BLOCK = 1024
 
 
 @dataclass
@@ -39,11 +44,23 @@ def size_for(n: int, bits_per_key: int = 12) -> int:
 
 def build(df: DataFrame, key: Column, n: int, bits_per_key: int = 12) -> Bloom:
     """The filter of all values of ``key`` (a long); n is about how many there are."""
+    shipped(df.sparkSession)
     bits = size_for(n, bits_per_key)
     low, high = key.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(key, 32).bitwiseOR(F.lit(1))
     at = F.explode(F.array(*[(low + F.lit(i) * high).bitwiseAND(F.lit(bits - 1)) for i in range(HASHES)]))
     filled = df.where(key.isNotNull()).select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b"))
-    got = filled.toPandas()
-    words = np.zeros(bits // 64, np.uint64)
-    words[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+
+    def pack(batches):
+        blocks: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            w, b = pdf["w"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64).view(np.uint64)
+            for k in np.unique(w // BLOCK):
+                own = w // BLOCK == k
+                blocks.setdefault(int(k), np.zeros(BLOCK, np.uint64))[w[own] % BLOCK] = b[own]
+        yield pd.DataFrame({"k": list(blocks), "words": [x.tobytes() for x in blocks.values()]}).astype({"k": "int64"})
+
+    # whole blocks reach the driver, bits / 8 bytes in all
+    words = np.zeros(max(BLOCK, bits // 64), np.uint64)
+    for row in filled.repartition(F.floor(F.col("w") / BLOCK)).mapInPandas(pack, "k long, words binary").collect():
+        words[row["k"] * BLOCK : (row["k"] + 1) * BLOCK] = np.frombuffer(row["words"], np.uint64)
     return Bloom(bits, words)

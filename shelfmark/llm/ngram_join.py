@@ -3,14 +3,18 @@
 Two sets with Jaccard similarity >= t and sizes a <= b differ in at most H = floor((1 - t) / (1 + t) * (a + b)) tokens. Sizes
 fall in bands; each band hashes the universe into segments. A segment of demand 1 is indexed by the hash of its subset, one
 of demand 2 by that and by all its one-deletion neighbourhoods. If the demands add up to H + 1, some segment of a
-similar pair differs in fewer tokens than its demand, so the pair meets in the index: by pigeonhole no link is lost. How many segments
-have demand 2 is chosen for each band by the cost of index rows and of chance meetings, from the band's measured
-population. Demands add up to H + 1 + E: with E spare ones, demands beyond the differences add up to E + 1 at least, so a
-text whose small subsets (which meet by chance) weigh at most E can leave them out; texts with more index those as well.
+similar pair differs in fewer tokens than its demand, so the pair meets in the index: by pigeonhole no link is lost. Whether a band
+takes demands of 1 or 2 is chosen by the cost of index rows and of chance meetings, from the band's measured population.
 
-Equal sets are one class from the start. Inside an index group no pairs are listed: members are first tested against two pivots,
-links are merged to components, and only members of different components are then tested against each other. Every test compares whole
-shingle sets. Links, components and candidates stay distributed.
+Bands of demand 1 have E segments more than needed, so a similar pair agrees in E + 1 segments at least. Every text then leaves out its
+costliest entries, those whose groups are largest, as long as they are at most E. Of a pair's common entries those that either side left out
+are all among the at most E that the side with the lower limit left out, so one common entry stays on both sides.
+
+Equal sets are one class from the start. Inside an index group no pairs are listed: members are first tested against pivots (the
+member that shares most entries with others, then another), links are merged to components, and only members of different components are then
+compared with each other, in blocks of bounded size. A test first compares
+histograms of hashed tokens, whose distance is never larger than the number of differing tokens, so what it rejects is
+surely unlike; the rest is decided on whole shingle sets. Links, components and candidates stay distributed.
 
 Defined cases: a null or empty text and one without words have the empty set, link with nothing and are their own component; texts with
 fewer words than a shingle have their whole word sequence as one shingle; rows that repeat an id keep their number and share a component; a null id
@@ -23,20 +27,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bloom
 from shelfmark.llm.graph import components
-from shelfmark.llm.store import column, written
+from shelfmark.llm.store import column, give_back, written
 from shelfmark.llm.words import mixed, shingle_hashes, words_of
 from shelfmark.runtime import shipped
 
 BAND_RATIO = 1.3
-#: A subset of fewer tokens counts as small.
-SMALL = 3
-#: The chance that two unrelated texts share a token, for the cost model.
-CHANCE = 0.3
+#: Spare segments for each difference allowed, and the chance that two texts share a token, for the cost model.
+SPARE, CHANCE = 0.25, 0.05
+#: Ranges of the histograms that are compared inside index groups, and members of a block there.
+COARSE, BLOCK = 64, 128
+#: Bytes of a text for each of its shingles, for the cost model.
+BYTES_A_WORD = 6.5
 
 
 @dataclass(frozen=True)
@@ -69,35 +75,24 @@ def bands_up_to(n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Allocation:
-    """Of a band: how many segments have demand 1 and 2, and how many small subsets a text may leave out."""
+    """Of a band: how many segments have demand 1 and 2, and how many entries a text may leave out."""
 
     ones: int
     twos: int
     spare: int
 
 
-def _fewer(tokens: float, than: int) -> float:
-    """The chance that a segment with so many tokens on average has fewer than ``than``."""
-    return float(np.exp(-tokens) * sum(tokens**k / max(1, np.prod(range(1, k + 1))) for k in range(than)))
-
-
 def allocated(low: int, high: int, population: int, threshold: Threshold) -> Allocation:
-    """The cheapest demands for sizes low..high (larger partners beyond high included)."""
+    """The cheaper of both kinds of demand for sizes low..high (larger partners beyond high included): rows, and meetings by chance at a fiftieth of a row."""
     most = threshold.most_different(high, threshold.largest_partner(high))
-    best, least = Allocation(most + 1, 0, 0), np.inf
-    middle = (low + high) / 2
-    for spare in sorted({0, int(0.08 * most), int(0.16 * most), int(0.3 * most)}):
-        for part in (0.0, 0.1, 0.5, 1.0):
-            twos = int(part * (most + 1 + spare) / 2)
-            ones = most + 1 + spare - 2 * twos
-            each = middle / max(1, ones + 2 * twos)
-            rows = ones + twos + 2 * each * twos
-            expected = ones * _fewer(each, SMALL) + 2 * twos * _fewer(2 * each, SMALL + 1)
-            left_out = spare > expected + 2 * np.sqrt(expected + 1)
-            meet = population * (ones * CHANCE ** max(each, SMALL if left_out else 0) + twos * (1 + 2 * each) * CHANCE ** max(2 * each - 1, SMALL - 1 if left_out else 0))
-            if rows + meet / 50 < least:
-                least, best = rows + meet / 50, Allocation(ones, twos, spare)
-    return best
+    spare = int(np.ceil(SPARE * most))
+    size = (low + high) / 2
+    ones, twos = Allocation(most + 1 + spare, 0, spare), Allocation(0, most // 2 + 1, 0)
+    tokens = size / ones.ones
+    one_cost = ones.ones + population / 50 * ones.ones * (np.exp(-tokens * (1 - CHANCE)) - np.exp(-tokens) * (1 + tokens * CHANCE) * bool(spare))
+    tokens = size / twos.twos
+    two_cost = twos.twos * (1 + tokens) + population / 50 * twos.twos * (1 + tokens) * np.exp(-tokens * (1 - CHANCE)) / CHANCE
+    return ones if one_cost <= two_cost else twos
 
 
 @dataclass
@@ -111,38 +106,67 @@ class Index:
         band = lambda k: int(np.searchsorted(self.lows, k, side="right")) - 1
         return range(band(self.threshold.least_partner(n)), band(n) + 1)
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """All index entries of a set (distinct unsigned 64-bit tokens) as hashes."""
+    def entries(self, tokens: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """For each band of a set (distinct unsigned 64-bit tokens): its index entries as hashes, the band, and how many may be left out."""
         out = []
         for band in self.bands_of(len(tokens)):
             plan = self.plans[band]
             total = plan.ones + 2 * plan.twos
-            slot = (mixed(tokens + np.uint64(band * 2 + 1)) >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)
-            slot = slot.astype(np.int64)
-            segment = np.where(slot < plan.ones, slot, plan.ones + (slot - plan.ones) // 2)
-            count = np.bincount(segment, minlength=plan.ones + plan.twos)
-            value = mixed(tokens)
-            order = np.argsort(segment, kind="stable")
-            summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order])])
-            ends = np.cumsum(count)
-            subset = summed[ends] - summed[ends - count]  # a sum of mixed tokens: deletions are differences
-            # in a segment of demand 2 the partner may hold one token less, so one more than small counts there, at twice the weight
-            demand = np.where(np.arange(len(count)) < plan.ones, 1, 2)
-            left_out = demand[count < SMALL - 1 + demand].sum() <= plan.spare
-            keep = count >= SMALL if left_out else np.ones(len(count), bool)
+            slot = ((mixed(tokens + np.uint64(band * 2 + 1)) >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
+            segment = np.where(slot < plan.ones, slot, plan.ones + (slot - plan.ones) // 2) if plan.twos else slot
+            segments = plan.ones + plan.twos
+            count = np.bincount(segment, minlength=segments)
+            # a subset's hash is the sum of its tokens, so deletions are differences; halves of 32 bits add up exactly in doubles
+            low, high = np.bincount(segment, _low(tokens), segments), np.bincount(segment, _high(tokens), segments)
+            subset = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
             named = lambda seg, hashes, size, b=band: mixed(mixed(hashes + size.astype(np.uint64)) ^ mixed(seg.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(b)))
-            at = np.flatnonzero(keep)
-            out.append(named(at, subset[at], count[at]))
+            hashes = named(np.arange(segments), subset, count)
             if plan.twos:
-                own = np.flatnonzero((segment >= plan.ones) & keep[segment])
-                out.append(named(segment[own], subset[segment[own]] - value[own], count[segment[own]] - 1))
-        return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
+                own = np.flatnonzero(segment >= plan.ones)
+                hashes = np.concatenate([hashes, named(segment[own], subset[segment[own]] - tokens[own], count[segment[own]] - 1)])
+            out.append((hashes.view(np.int64), band, plan.spare))
+        return out
+
+
+def _low(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+
+
+def _high(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.float64)
+
 
+def histogram(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each of 2^k equal ranges of hashes, up to 255, with about four to eight tokens a range."""
+    k = max(4, min(14, len(tokens).bit_length() - 3))
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
 
-def _token_sets(batches, width: int):
-    """(row, sorted distinct tokens) of every text."""
+
+def coarse_histogram(tokens: np.ndarray) -> bytes:
+    """The same over COARSE ranges, whatever the size."""
+    return np.minimum(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=COARSE), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of how many tokens two sets do not share, from their histograms; the finer one is folded first."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    while len(x) > len(y):
+        x = np.minimum(x[::2] + x[1::2], 255)
+    while len(y) > len(x):
+        y = np.minimum(y[::2] + y[1::2], 255)
+    return int(np.abs(x - y).sum())
+
+
+def _nulls(n: int) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(np.zeros(n, np.int64), np.ones(n, bool))
+
+
+def _token_sets(batches, width: int, rows: int = 1000):
+    """Some rows, and the sorted distinct tokens of their texts."""
     for pdf in batches:
-        yield pdf, [np.unique(shingle_hashes(words_of(t), width)) for t in pdf["text"]]
+        for begin in range(0, len(pdf), rows):
+            part = pdf.iloc[begin : begin + rows]
+            yield part, [np.unique(shingle_hashes(words_of(t), width)) for t in part["text"]]
 
 
 def _class_of(tokens: np.ndarray) -> int:
@@ -154,8 +178,20 @@ def _class_of(tokens: np.ndarray) -> int:
     return int(name.view(np.int64)[0])
 
 
-def _tested(pairs: DataFrame, texts: DataFrame, width: int, threshold: Threshold) -> DataFrame:
-    """The pairs (u, v: classes) whose sets are similar, each compared in whole. ``texts``: (c, text), one text a class."""
+def _likely(pairs: DataFrame, sketches: DataFrame, threshold: Threshold) -> DataFrame:
+    """The pairs (u, v: classes) that their histograms do not rule out. ``sketches``: (c, n, sketch)."""
+
+    def run(batches):
+        for pdf in batches:
+            ok = [least_difference(x, y) <= threshold.most_different(a, b) for x, y, a, b in zip(pdf["x"], pdf["y"], pdf["a"], pdf["b"], strict=True)]
+            yield pdf.loc[ok, ["u", "v"]]
+
+    with_v = pairs.join(sketches.select(F.col("c").alias("v"), F.col("n").alias("b"), F.col("sketch").alias("y")), "v")
+    return with_v.join(sketches.select(F.col("c").alias("u"), F.col("n").alias("a"), F.col("sketch").alias("x")), "u").mapInPandas(run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+    """The pairs whose sets are similar, each compared in whole. ``texts``: (c, text), one text a class."""
 
     def run(batches):
         last, kept = None, None
@@ -175,6 +211,69 @@ def _tested(pairs: DataFrame, texts: DataFrame, width: int, threshold: Threshold
     return with_v.join(texts.select(F.col("c").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
+def _texts(rows: DataFrame, owners: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(c, text), one for each of ``classes``: a Bloom filter of the owners' ids thins the texts out before they are shuffled."""
+    own = written(owners.join(classes, "c", "left_semi"), "owners")
+    test = rows.sparkSession.sparkContext.broadcast(bloom.build(own, F.xxhash64("doc_id"), own.count()))
+
+    @F.pandas_udf("boolean")
+    def wanted(h: pd.Series) -> pd.Series:
+        return pd.Series(test.value.might_hold(h.to_numpy(np.int64)))
+
+    few = rows.where("doc_id is not null").where(wanted(F.xxhash64("doc_id")))
+    return few.join(own, "doc_id").select("c", "text").mapInPandas(lambda batches: _true_texts(batches, width), "c long, text string").dropDuplicates(["c"])
+
+
+def _across(groups: DataFrame, coarse: DataFrame, threshold: Threshold) -> DataFrame:
+    """Pairs (u, v) of members of one group in different components (s, c, n, l) that sizes and coarse histograms do not rule out.
+
+    Groups are cut into blocks of about BLOCK members; each pair of blocks is one bounded piece of work, dealt by its own key.
+    """
+    sizes = groups.groupBy("s").agg(F.count("*").alias("k"))
+    own = groups.join(coarse, "c").join(sizes, "s").withColumn("nb", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
+    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "c", "n", "l", "h")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """All pairs inside the pieces of work of sorted rows, those a distance apart at once."""
+        key, i, j, b, c, n, label = (rows[k].to_numpy() for k in ("s", "i", "j", "b", "c", "n", "l"))
+        new = np.ones(len(rows), bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        piece = np.cumsum(new)
+        h = np.frombuffer(b"".join(rows["h"]), np.uint8).reshape(len(rows), COARSE).astype(np.int16)
+        us, vs = [], []
+        x = np.arange(len(rows))
+        for apart in range(1, len(rows)):
+            x = x[x + apart < len(rows)]
+            x = x[piece[x] == piece[x + apart]]
+            if not len(x):
+                break
+            y = x + apart
+            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            ok = ((i[x] == j[x]) | (b[x] != b[y])) & (label[x] != label[y]) & (threshold.whole * low >= threshold.part * high)
+            p, q = x[ok], y[ok]
+            near = np.abs(h[p] - h[q]).sum(axis=1) <= (threshold.whole - threshold.part) * (n[p] + n[q]) // (threshold.whole + threshold.part)
+            us.append(np.minimum(c[p[near]], c[q[near]]))
+            vs.append(np.maximum(c[p[near]], c[q[near]]))
+        empty = np.empty(0, np.int64)
+        return pd.DataFrame({"u": np.concatenate([empty, *us]), "v": np.concatenate([empty, *vs])})
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            end = pdf[["s", "i", "j"]].iloc[-1]
+            last = int(((pdf["s"] == end["s"]) & (pdf["i"] == end["i"]) & (pdf["j"] == end["j"])).to_numpy().argmax())
+            held = pdf.iloc[last:]
+            if last:
+                yield compare(pdf.iloc[:last])
+        if held is not None and len(held):
+            yield compare(held)
+
+    return dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInPandas(run, "u long, v long").distinct()
+
+
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
@@ -184,49 +283,71 @@ def linked(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85,
     spark = shipped(docs.sparkSession)
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
 
-    def classes(batches):
-        for pdf, sets in _token_sets(batches, width):
-            yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(d) else int(d) for d in pdf["doc_id"].tolist()], "Int64"), "n": [len(s) for s in sets], "c": [_class_of(s) for s in sets]})
-
-    members = written(rows.mapInPandas(classes, "doc_id long, n long, c long"), "members")
-    sizes = members.where("n > 0").groupBy("n").agg(F.approx_count_distinct("c").alias("k"))
-    most = members.agg(F.max("n")).first()[0] or 0
-    lows = bands_up_to(most)
-    band_of = F.expr("cast(array_size(filter(lows, x -> x <= n)) - 1 as int)")
-    population = {r["band"]: r["k"] for r in sizes.withColumn("lows", F.array(*[F.lit(int(x)) for x in lows])).groupBy(band_of.alias("band")).agg(F.sum("k").alias("k")).collect()}  # a row a band
+    # sizes are not known yet: the cost model takes them from lengths, and no size has more tokens than half of its bytes
+    length = F.octet_length(F.coalesce("text", F.lit("")))
+    lows = bands_up_to((rows.agg(F.max(length).alias("m")).first()["m"] or 0) // 2 + 1)
+    guessed = F.array_size(F.filter(F.array(*[F.lit(int(x)) for x in lows]), lambda x: x <= length / BYTES_A_WORD)) - 1
+    population = {r["band"]: r["k"] for r in rows.groupBy(guessed.alias("band")).agg(F.count("*").alias("k")).collect()}  # a row a band
     plans = {i: allocated(int(lows[i]), int(lows[i + 1]) - 1, population.get(i, 0) + population.get(i + 1, 0), threshold) for i in range(len(lows) - 1)}
     index = spark.sparkContext.broadcast(Index(threshold, lows, plans))
 
-    def entries(test):
-        def run(batches):
-            for pdf, sets in _token_sets(batches, width):
-                out, seen = [], {}
-                for tokens in sets:
-                    if len(tokens) and (c := _class_of(tokens)) not in seen:
-                        seen[c] = True
-                        s = index.value.signatures(tokens)
-                        if test is not None:
-                            s = s[test.value.might_hold(s)]
-                        out.append((s, c, len(tokens)))
-                if out:
-                    counts = [len(s) for s, _, _ in out]
-                    yield pd.DataFrame({"s": np.concatenate([s for s, _, _ in out]), "c": np.repeat(np.array([c for _, c, _ in out], np.int64), counts), "n": np.repeat(np.array([n for _, _, n in out], np.int32), counts)})
-
-        return rows.mapInPandas(run, "s long, c long, n int")
-
-    # entries that one class alone has are left behind before anything else: by partial aggregation, then by a Bloom filter
-    shared = written(entries(None).groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("s"), "shared")
+    def entries(batches):
+        """One row a text (s null, with its histogram), and one (s, c, band, spare) for each entry of its set."""
+        seen = {}
+        for pdf, sets in _token_sets(batches, width):
+            names = np.array([_class_of(t) for t in sets], np.int64)
+            counts = np.array([len(t) for t in sets], np.int64)
+            ids = pd.array([None if pd.isna(d) else int(d) for d in pdf["doc_id"].tolist()], "Int64")
+            yield pd.DataFrame({"doc_id": ids, "n": counts, "c": names, "sketch": [histogram(t) if len(t) else None for t in sets], "h": [coarse_histogram(t) if len(t) else None for t in sets], "s": _nulls(len(sets)), "band": 0, "spare": 0})
+            own = []
+            for i, tokens in enumerate(sets):
+                if len(tokens) and names[i] not in seen:  # copies in one task are indexed once
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen[names[i]] = True
+                    own += [(i, *x) for x in index.value.entries(tokens)]
+            if own:
+                repeat = lambda k: np.repeat([x[k] for x in own], [len(x[1]) for x in own])
+                at = repeat(0)
+                yield pd.DataFrame({"doc_id": _nulls(len(at)), "n": counts[at], "c": names[at], "sketch": None, "h": None, "s": np.concatenate([x[1] for x in own]), "band": repeat(2), "spare": repeat(3)})
+        give_back()
+
+    both = written(rows.mapInPandas(entries, "doc_id long, n long, c long, sketch binary, h binary, s long, band int, spare int"), "entries")
+    members = both.where("s is null").select("doc_id", "n", "c")
+    # entries that there is one of are left behind by a count of hashes alone and a Bloom filter; then those of one class
+    shared = written(both.where("s is not null").select("s").groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared")
     test = spark.sparkContext.broadcast(bloom.build(shared, F.col("s"), shared.count()))
-    met = written(entries(test).join(shared, "s", "left_semi").groupBy("s", "c").agg(F.first("n").alias("n")), "met")
-    # one text a class that met another
-    own = members.join(met.select("c").distinct(), "c", "left_semi").where("doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    by_class = rows.join(own, "doc_id").select("c", "text").withColumn("h", F.xxhash64("text"))
-    texts = written(by_class.mapInPandas(lambda batches: _true_texts(batches, width), "c long, text string").groupBy("c").agg(F.min("text").alias("text")), "class-texts")
+
+    @F.pandas_udf("boolean")
+    def again(entry: pd.Series) -> pd.Series:
+        return pd.Series(test.value.might_hold(entry.to_numpy(np.int64)))
+
+    few = both.where("s is not null").select("s", "c", "n", "band", "spare").where(again("s"))
+    pool = written(few.groupBy("s", "c", "n", "band", "spare").agg(F.count("*").alias("copies")).drop("copies"), "pool")
+    several = pool.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    # the costliest entries of a text in a band go while they are at most ``spare``; equal costs go together
+    ahead = Window.partitionBy("c", "band").orderBy(F.desc("k")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    costly = pool.join(several, "s").withColumn("ahead", F.count("*").over(ahead)).where("ahead > spare").select("s", "c", "n")
+    left = costly.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    shares = written(costly.join(left, "s"), "shares")
+    # how much a text shares with others: a text that many were copied from has most
+    weight = shares.groupBy("c").agg(F.sum("k").alias("weight"))
+    met = written(shares.drop("k").join(weight, "c"), "met")
+    sketches = both.where("s is null and n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("h").alias("h")).join(met.select("c").distinct(), "c", "left_semi")
+    sketches = written(sketches, "sketches")
+    owners = members.where("doc_id is not null and n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        likely = written(_likely(pairs, sketches, threshold), "likely")
+        classes = likely.select(F.explode(F.array("u", "v")).alias("c")).distinct()
+        return written(_verified(likely, _texts(rows, owners, classes, width), width, threshold), "links")
+
     fits = F.expr(f"{threshold.whole} * least(n, pn) >= {threshold.part} * greatest(n, pn)")
     label = tried = links = None
-    for kind in ("min", "max"):
+    ranks = [F.struct("weight", "c", "n"), F.struct(F.xxhash64("c").alias("h"), "c", "n")]
+    for rank in ranks:
         groups = met if label is None else met.join(label.select(F.col("v").alias("c"), F.col("c").alias("l")), "c", "left").withColumn("l", F.coalesce("l", "c"))
-        pivots = groups.groupBy("s").agg(*([] if label is None else [F.min("l").alias("l0"), F.max("l").alias("l1")]), getattr(F, kind)(F.struct(F.xxhash64("c").alias("h"), "c", "n")).alias("p"))
+        pivots = groups.groupBy("s").agg(*([] if label is None else [F.min("l").alias("l0"), F.max("l").alias("l1")]), F.max(rank).alias("p"))
         if label is not None:
             pivots = pivots.where("l0 != l1")
         star = groups.join(pivots.select("s", F.col("p.c").alias("pc"), F.col("p.n").alias("pn")), "s").where("c != pc").where(fits)
@@ -234,7 +355,7 @@ def linked(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85,
             star = star.join(label.select(F.col("v").alias("pc"), F.col("c").alias("pl")), "pc", "left").where(F.col("l") != F.coalesce("pl", "pc"))
         pairs = star.select(*_pair("c", "pc")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        found = written(_tested(pairs, texts, width, threshold), "links")
+        found = similar(pairs)
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         label = components(links)
@@ -242,9 +363,8 @@ def linked(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85,
     tagged = met.join(label.select(F.col("v").alias("c"), F.col("c").alias("l")), "c", "left").withColumn("l", F.coalesce("l", "c"))
     mixed_groups = tagged.groupBy("s").agg(F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 != l1").select("s")
     apart = written(tagged.join(mixed_groups, "s", "left_semi"), "apart")
-    other = apart.select("s", F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("l").alias("pl"))
-    rest = apart.join(other, "s").where("c < pc and l != pl").where(fits).select(*_pair("c", "pc")).distinct().join(tried, ["u", "v"], "left_anti")
-    links = links.union(written(_tested(written(rest, "pairs"), texts, width, threshold), "links"))
+    rest = _across(apart.select("s", "c", "n", "l"), sketches.select("c", "h"), threshold).join(tried, ["u", "v"], "left_anti")
+    links = links.union(similar(written(rest, "pairs")))
     final = components(links)
     least = members.join(final.select(F.col("v").alias("c"), F.col("c").alias("l")), "c", "left").where("n > 0").groupBy(F.coalesce("l", "c").alias("l")).agg(F.min("doc_id").alias("component_id"))
     labelled = members.join(final.select(F.col("v").alias("c"), F.col("c").alias("l")), "c", "left").withColumn("l", F.when(F.col("n") > 0, F.coalesce("l", "c")))

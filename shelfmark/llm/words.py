@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -52,7 +52,7 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if n < width:
         return mixed(np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=width + n)], np.uint64))
-    h = mixed(hashed(words))
+    h = hashed(words)
     out = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : n - width + 1 + k]
