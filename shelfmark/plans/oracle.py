@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shelfmark.functions.money import CURRENCIES
 from shelfmark.functions.urls import CATEGORY_PATHS, PRODUCT_PATHS, TRACKING, UNSCANNABLE
 from shelfmark.plans import vectors as V
 from shelfmark.schema import DEFAULT_SETTINGS, PRODUCT_FIELDS
@@ -204,3 +205,41 @@ SQL["queue_update"] = f"WITH {_QUEUE}, u AS (SELECT *, url = 'https://q.example/
 SQL["host_failures"] = """WITH log AS (SELECT 's' AS scan_id, (user_id % 50)::VARCHAR AS host, value < 20 AS bad, ts, event_id FROM events),
 r AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY host ORDER BY ts, event_id) AS run FROM log), k AS (SELECT scan_id, host, run, count(*) FILTER (bad) AS k, count(*) AS n FROM r GROUP BY ALL)
 SELECT scan_id, host, sum(n)::BIGINT AS requests, max(k) AS failures_in_a_row, max(k) >= 3 AS dead, sum(n) > 500 AS over_cap FROM k GROUP BY scan_id, host"""
+
+# --- cells, links, sitemaps ---
+SQL["formula_guard"] = f"""SELECT i, CASE WHEN substr(v, 1, 1) IN ('=', '+', '-', '@') THEN '''' || v ELSE v END AS guarded,
+CASE WHEN regexp_matches(v, '[",;\\n\\r]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS cell, regexp_replace(v || ' | ', '[\\s|]+$', '') AS reason FROM {values(V.CELLS)}"""
+SQL["html_links"] = f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*>.{{0,300}}?</a>') AS l FROM pages),
+u AS (SELECT page_id, unnest(l) AS tag, generate_subscripts(l, 1) AS k FROM a),
+h AS (SELECT page_id, k, {_decode("regexp_extract(regexp_extract(tag, '(?is)^<a\\b[^>]*>'), '(?i)href\\s*=\\s*(?:\"([^\"]*)\"|[^\\s\">]+)', 1)")} AS href, {_visible("regexp_replace(tag, '(?is)^<a\\b[^>]*>|</a>$', '', 'g')")} AS text FROM u)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS "at", href, text FROM h WHERE href <> ''"""
+SQL["sitemap_locations"] = f"""WITH x AS (SELECT i, regexp_matches(v, '(?i)<sitemapindex') AS is_index, regexp_extract_all(v, '(?is)<loc>\\s*(.*?)\\s*</loc>', 1) AS l FROM {values(V.SITEMAPS)}),
+u AS (SELECT i, is_index, trim(replace(unnest(l), '&amp;', '&')) AS loc, generate_subscripts(l, 1) AS k FROM x)
+SELECT i, is_index, (row_number() OVER (PARTITION BY i ORDER BY k) - 1)::INT AS "at", loc FROM u WHERE loc <> ''"""
+
+# --- prices ---
+_SAME = "CASE WHEN regexp_matches({0}, '^[0-9]{{1,3}}([.][0-9]{{3}})+$') OR regexp_matches({0}, '^[0-9]{{1,3}}(,[0-9]{{3}})+$') OR regexp_matches({0}, '^[0-9]{{1,3}}( [0-9]{{3}})+$') THEN '' WHEN NOT regexp_matches({0}, '^[0-9]{{1,3}}[., ]') THEN 'first_group_not_1_to_3_digits' ELSE 'later_group_not_3_digits (' || {0} || ')' END"
+_STEPS = [f"p0 AS (SELECT i, v, trim(v) AS raw, trim(v) AS s, []::VARCHAR[] AS codes, []::VARCHAR[] AS strips FROM {values(V.PRICES)})"]
+for _k, (_pattern, _code) in enumerate(CURRENCIES):
+    _STEPS.append(f"p{_k + 1} AS (SELECT i, v, raw, regexp_replace(s, {text(_pattern)}, ' ', 'g') AS s, CASE WHEN regexp_matches(s, {text(_pattern)}) THEN list_append(codes, '{_code}') ELSE codes END AS codes, CASE WHEN regexp_matches(s, {text(_pattern)}) THEN list_append(strips, array_to_string(regexp_extract_all(s, {text(_pattern)}), '')) ELSE strips END AS strips FROM p{_k})")
+SQL["price_parse_table"] = "WITH " + ",\n".join(_STEPS) + f""",
+b AS (SELECT *, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS bare FROM p{len(CURRENCIES)}),
+g AS (SELECT *, contains(bare, '.')::INT + contains(bare, ',')::INT + contains(bare, ' ')::INT AS kinds, regexp_extract(bare, '^(.*)[., ]([0-9]*)$', 1) AS whole, regexp_extract(bare, '^(.*)[., ]([0-9]*)$', 2) AS part, regexp_extract(bare, '([., ])[0-9]*$', 1) AS last FROM b),
+r AS (SELECT *, CASE WHEN kinds = 0 THEN '' WHEN kinds > 2 THEN 'too_many_separators' WHEN kinds = 1 THEN {_SAME.format("bare")} WHEN NOT regexp_matches(part, '^[0-9]{{1,2}}$') THEN 'bad_fraction' WHEN contains(whole, last) THEN 'first_group_not_1_to_3_digits' ELSE {_SAME.format("whole")} END AS why,
+  CASE WHEN raw = '' THEN 'blank' WHEN len(codes) > 1 THEN 'different_currencies' WHEN regexp_matches(s, '(?i)[0-9]\\s*((k|nghìn|nghin|ngàn|ngan|tr|trieu|triệu|m|cu|ty|b)([^0-9A-Za-z_]|$)|(củ|tỷ)[0-9A-Za-z_])') THEN 'shorthand (' || trim(v) || ')'
+    WHEN regexp_matches(s, '[a-zA-ZÀ-ỹ]') THEN 'letters_left' WHEN contains(s, '-') THEN 'minus_or_range' WHEN bare = '' THEN 'no_digits' WHEN NOT regexp_matches(bare, '^[0-9][0-9., ]*$') THEN 'odd_character' END AS early FROM g)
+SELECT i, CASE WHEN early IS NULL AND why = '' THEN CASE WHEN kinds < 2 THEN regexp_replace(bare, '[., ]', '', 'g')::DOUBLE ELSE (regexp_replace(whole, '[., ]', '', 'g') || '.' || part)::DOUBLE END END AS price,
+  CASE WHEN early IS NULL OR early NOT IN ('blank', 'different_currencies') THEN codes[1] END AS currency, CASE WHEN raw = '' THEN '' WHEN len(codes) > 1 THEN strips[2] ELSE coalesce(strips[1], '') END AS stripped,
+  coalesce(early, nullif(why, ''), CASE WHEN len(codes) = 0 THEN 'no_currency_seen' END, '') AS reason FROM r"""
+SQL["flexible_price_table"] = f"""WITH h AS ({SQL["price_parse_table"]}),
+m AS (SELECT h.*, CASE WHEN regexp_matches(trim(v), '^[0-9]+(\\.[0-9]+)?$') THEN trim(v)::DOUBLE END AS machine FROM h JOIN {values(V.PRICES)} USING (i)),
+r AS (SELECT i, coalesce(machine, price) AS price, CASE WHEN machine IS NOT NULL THEN 'VND' ELSE coalesce(currency, CASE WHEN price IS NOT NULL THEN 'VND' END) END AS currency FROM m)
+SELECT i, price, currency, coalesce(currency = 'VND' AND (price < 1000 OR price <> floor(price)), false) AS warned FROM r"""
+
+# --- robots: the lines that apply to the agent, as patterns ---
+SQL["robots_longest_match"] = (
+    "WITH rules(origin, kind, value, pattern, n) AS (VALUES ('https://a.example', 'disallow', '/private', '^/private', 8), ('https://a.example', 'allow', '/private/open', '^/private/open', 13), ('https://b.example', 'disallow', '/*.pdf$', '^/.*\\.pdf$', 6), ('https://b.example', 'disallow', '/x*y', '^/x.*y', 4)), "
+    + "o(origin) AS (VALUES " + ", ".join(f"({text(origin)})" for origin, _ in V.ROBOTS) + "), p(path) AS (VALUES " + ", ".join(f"({text(x)})" for x in V.ROBOT_PATHS) + "), "
+    + "m AS (SELECT o.origin, p.path, max(n) FILTER (kind = 'allow') AS a, max(n) FILTER (kind = 'disallow') AS d, max_by(value, n) FILTER (kind = 'disallow') AS rule FROM o CROSS JOIN p LEFT JOIN rules r ON r.origin = o.origin AND regexp_matches(CASE WHEN p.path = '' THEN '/' ELSE p.path END, r.pattern) GROUP BY o.origin, p.path) "
+    + "SELECT origin, path, NOT coalesce(d > coalesce(a, -1), false) AS allowed, CASE WHEN d > coalesce(a, -1) THEN rule END AS rule FROM m"
+)

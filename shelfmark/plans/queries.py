@@ -301,8 +301,7 @@ def js_shell_flag(spark, sf_dir):
 
 @query
 def sitemap_locations(spark, sf_dir):
-    xml = ["<sitemapindex><sitemap><loc> https://a.example/s1.xml </loc></sitemap></sitemapindex>", "<urlset><url><loc>https://a.example/?a=1&amp;b=2</loc></url><url><LOC>\n</LOC></url></urlset>"]
-    return inline(spark, xml).select("i", H.is_sitemap_index(F.col("v")).alias("is_index"), F.posexplode(H.sitemap_locations(F.col("v"))).alias("at", "loc"))
+    return inline(spark, V.SITEMAPS).select("i", H.is_sitemap_index(F.col("v")).alias("is_index"), F.posexplode(H.sitemap_locations(F.col("v"))).alias("at", "loc"))
 
 
 @query
@@ -449,8 +448,7 @@ def csv_lines(spark, sf_dir):
 
 @query
 def formula_guard(spark, sf_dir):
-    cells = ["=1+1", "+1", "-1", "@x", "plain", "", "'=ok", "a,b", 'say "hi"', "x;y", "two\nlines"]
-    return inline(spark, cells).select("i", sinks.guarded(F.col("v")).alias("guarded"), sinks.csv_cell(F.col("v")).alias("cell"), sinks.cut_reason(F.concat("v", F.lit(" | "))).alias("reason"))
+    return inline(spark, V.CELLS).select("i", sinks.guarded(F.col("v")).alias("guarded"), sinks.csv_cell(F.col("v")).alias("cell"), sinks.cut_reason(F.concat("v", F.lit(" | "))).alias("reason"))
 
 
 def ingested_rows(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:

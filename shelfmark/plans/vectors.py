@@ -45,3 +45,5 @@ OG_PAGE = '<meta property="og:title" content="Og mat"><meta property="product:pr
 MICRO_PAGE = '<div itemscope><h1 itemprop="name">Micro mat</h1><span itemprop="price" content="329000">329.000</span><meta itemprop="priceCurrency" content="VND"><link itemprop="availability" href="https://schema.org/OutOfStock"><span itemprop="sku">MM-1</span></div>'
 GUESS_PAGE = '<a href="/products/a">Mat A</a> <span>1.250.000₫</span><a href="/products/b">Mat B</a><b>250.000 đ</b><a href="/products/c">Mat C</a> Liên hệ<a href="https://o.example/z">Away</a> 99.000₫'
 PAGES = [("s1", "https://x.example/products/mat", LD_PAGE), ("s2", "https://x.example/products/og", OG_PAGE), ("s3", "https://x.example/products/micro", MICRO_PAGE), ("s4", "https://x.example/", GUESS_PAGE)]
+CELLS = ["=1+1", "+1", "-1", "@x", "plain", "", "'=ok", "a,b", 'say "hi"', "x;y", "two\nlines"]
+SITEMAPS = ["<sitemapindex><sitemap><loc> https://a.example/s1.xml </loc></sitemap></sitemapindex>", "<urlset><url><loc>https://a.example/?a=1&amp;b=2</loc></url><url><LOC>\n</LOC></url></urlset>"]
