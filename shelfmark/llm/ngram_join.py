@@ -161,7 +161,7 @@ def _nulls(n: int) -> pd.arrays.IntegerArray:
     return pd.arrays.IntegerArray(np.zeros(n, np.int64), np.ones(n, bool))
 
 
-def _token_sets(batches, width: int, rows: int = 1000):
+def _token_sets(batches, width: int, rows: int = 300):
     """Some rows, and the sorted distinct tokens of their texts."""
     for pdf in batches:
         for begin in range(0, len(pdf), rows):
@@ -185,6 +185,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: Threshold) -> Data
         for pdf in batches:
             ok = [least_difference(x, y) <= threshold.most_different(a, b) for x, y, a, b in zip(pdf["x"], pdf["y"], pdf["a"], pdf["b"], strict=True)]
             yield pdf.loc[ok, ["u", "v"]]
+        give_back()
 
     with_v = pairs.join(sketches.select(F.col("c").alias("v"), F.col("n").alias("b"), F.col("sketch").alias("y")), "v")
     return with_v.join(sketches.select(F.col("c").alias("u"), F.col("n").alias("a"), F.col("sketch").alias("x")), "u").mapInPandas(run, "u long, v long")
@@ -206,6 +207,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: Thresho
                     us.append(u)
                     vs.append(v)
             yield pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+        give_back()
 
     with_v = pairs.join(texts.select(F.col("c").alias("v"), F.col("text").alias("b")), "v")
     return with_v.join(texts.select(F.col("c").alias("u"), F.col("text").alias("a")), "u").select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
@@ -270,6 +272,7 @@ def _across(groups: DataFrame, coarse: DataFrame, threshold: Threshold) -> DataF
                 yield compare(pdf.iloc[:last])
         if held is not None and len(held):
             yield compare(held)
+        give_back()
 
     return dealt.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j").mapInPandas(run, "u long, v long").distinct()
 
@@ -316,7 +319,7 @@ def linked(docs: DataFrame, width: int = 4, threshold: Threshold = Threshold(85,
     members = both.where("s is null").select("doc_id", "n", "c")
     # entries that there is one of are left behind by a count of hashes alone and a Bloom filter; then those of one class
     shared = written(both.where("s is not null").select("s").groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared")
-    test = spark.sparkContext.broadcast(bloom.build(shared, F.col("s"), shared.count()))
+    test = spark.sparkContext.broadcast(bloom.build(shared, F.col("s"), shared.count(), 8))
 
     @F.pandas_udf("boolean")
     def again(entry: pd.Series) -> pd.Series:
@@ -377,4 +380,5 @@ def _true_texts(batches, width: int):
     for pdf in batches:
         ok = [_class_of(np.unique(shingle_hashes(words_of(t), width))) == c for t, c in zip(pdf["text"], pdf["c"], strict=True)]
         yield pdf.loc[ok, ["c", "text"]]
+    give_back()
 
