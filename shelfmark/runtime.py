@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 #: Rows of an Arrow batch where the session leaves Spark's default: texts can be long, and a worker holds a batch several times over.
-BATCH_ROWS = "2000"
+BATCH_ROWS = "1000"
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
