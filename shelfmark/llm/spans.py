@@ -53,6 +53,7 @@ def _hashed(words: list[str]) -> np.ndarray:
 
 RUN_SCHEMA = "h long, doc long, rid int, at int, sentences int, again boolean"
 NO_ID = -(2**63)
+RUN_BASE = 1 << 31
 CUT = np.uint64(8)
 
 
@@ -112,6 +113,10 @@ def text_runs(text: str | None, min_sentences: int, min_words: int, max_words: i
     return mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64), first, last
 
 
+def _covered(runs) -> set[int]:
+    return {s for r in runs for s in range(r // RUN_BASE, r // RUN_BASE + r % RUN_BASE)}
+
+
 def without(text: str, gone: set[int], max_words: int) -> str:
     """The text without the sentences numbered in ``gone``; each takes the white space after it along."""
     spans, words, starts, at = [], [], [], 0
@@ -134,7 +139,7 @@ def without(text: str, gone: set[int], max_words: int) -> str:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20, max_words: int = 16) -> DataFrame:
-    """All rows and columns of ``docs``; the text without repeated sentences, and a column ``removed_sentences``."""
+    """All rows and columns of ``docs``; the text without repeated sentences, and a column ``removed_runs`` (how many later places of runs it held)."""
     spark = shipped(docs.sparkSession)
     key = F.coalesce(column(docs, id_col).cast("long"), F.lit(NO_ID))
     text = column(docs, text_col).cast("string")
@@ -168,15 +173,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = shared.groupBy("h").agg(F.min("doc").alias("first"))
     later = shared.join(first, "h").where("doc != first").select("doc", "rid", "at", "sentences")
     later = later.unionByName(places.where("again").select("doc", "rid", "at", "sentences"))
-    gone = later.select("doc", "rid", F.explode(F.sequence("at", F.col("at") + F.col("sentences") - 1)).alias("s")).groupBy("doc", "rid").agg(F.collect_set("s").alias("gone"))
+    # a run is one number, place times RUN_BASE plus length; they are spread to sentences where the text is cut
+    run = F.col("at").cast("long") * RUN_BASE + F.col("sentences")
+    gone = later.groupBy("doc", "rid").agg(F.collect_set(run).alias("gone"))
 
     @F.pandas_udf("string")
     def cut(t: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series([x if y is None else without(x, set(y), max_words) for x, y in zip(t, g, strict=True)], dtype=object)
+        return pd.Series([x if y is None else without(x, _covered(y), max_words) for x, y in zip(t, g, strict=True)], dtype=object)
 
     tagged = docs.select(*[column(docs, c) for c in docs.columns], key.alias("__doc"), F.hash(text).alias("__rid"))
     found = gone.select(F.col("doc").alias("__doc"), F.col("rid").alias("__rid"), F.col("gone").alias("__gone"))
     joined = tagged.join(found, ["__doc", "__rid"], "left")
     new = F.when(F.col("__gone").isNull(), text).otherwise(cut(F.coalesce(text, F.lit("")), F.col("__gone")))
-    return joined.select(*[(new.alias(c) if c == text_col else column(joined, c)) for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("removed_sentences"))
+    return joined.select(*[(new.alias(c) if c == text_col else column(joined, c)) for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("removed_runs"))
 

@@ -39,7 +39,7 @@ def test_spans_against_brute_force(spark):
         rows.append((i, rng.choice([" ", "\n"]).join(parts)))
     rows += [(100, None), (101, ""), (102, " \n "), (103, "short."), (104, "Und " * 3000), (105, "Und " * 3000), (106, passage * 3)]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, gone string").repartition(4)
-    got = {r["doc_id"]: (r["text"], r["gone"], r["removed_sentences"]) for r in spans.deduplicated(docs).collect()}
+    got = {r["doc_id"]: (r["text"], r["gone"], r["removed_runs"]) for r in spans.deduplicated(docs).collect()}
     want = brute_spans(rows)
     assert {d: t[0] for d, t in got.items()} == want and {t[1] for t in got.values()} == {"c"}
     kept = [d for d, t in rows if t and passage in t and passage in got[d][0]]
@@ -52,7 +52,7 @@ def test_repeated_rows_stay_alike(spark):
     rng = random.Random(6)
     text = " ".join(sentence(rng, 12) for _ in range(5))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
-    got = sorted(((r["doc_id"] or 0, r["removed_sentences"] > 0) for r in spans.deduplicated(docs).collect()))
+    got = sorted(((r["doc_id"] or 0, r["removed_runs"] > 0) for r in spans.deduplicated(docs).collect()))
     assert got == [(0, False), (1, True), (1, True), (2, True)]
 
 
@@ -133,4 +133,4 @@ def test_components(spark):
 
 def test_extra_columns_survive(spark):
     docs = spark.createDataFrame([(1, "t", 2)], "doc_id long, text string, h int").withColumn("first", F.lit(1))
-    assert spans.deduplicated(docs).columns == ["doc_id", "text", "h", "first", "removed_sentences"]
+    assert spans.deduplicated(docs).columns == ["doc_id", "text", "h", "first", "removed_runs"]
