@@ -1,8 +1,9 @@
 """Operator 5: removal of sentences that repeated runs cover.
 
-A text is cut into sentences after ``. ! ?`` before white space and at line ends; a sentence of more than
-``max_words`` words counts as several, cut before words whose hash is a multiple of CUT (so that a passage is cut alike wherever it begins). From
-every sentence starts one run: the shortest of at least ``min_sentences`` sentences and ``min_words`` words. Runs
+A text is cut into sentences after ``. ! ?`` before white space and at line ends; a sentence of ``max_words``
+words or more counts as several, cut before the word with the least hash (the last of equal ones) of each window of ``max_words // 2`` words.
+So a passage is cut alike wherever it begins, whatever its words: each window in it has a cut, and with the default settings
+any passage of over 50 words holds a run. From every sentence starts one run: the shortest of at least ``min_sentences`` sentences and ``min_words`` words. Runs
 are compared by a 64-bit hash of their words over the whole corpus; the first place of a run is the first one in
 the document with the smallest doc_id, and the sentences under any other place are removed.
 
@@ -54,7 +55,20 @@ def _hashed(words: list[str]) -> np.ndarray:
 RUN_SCHEMA = "h long, doc long, rid int, at int, sentences int, again boolean"
 NO_ID = -(2**63)
 RUN_BASE = 1 << 31
-CUT = np.uint64(8)
+PLACE = np.uint64(2**32 - 1)
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The places of the least hash of every window of so many words, the last one of equals."""
+    if len(h) < width:
+        return np.empty(0, np.int64)
+    key = h & ~PLACE | PLACE - np.arange(len(h), dtype=np.uint64)
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        key = np.minimum(key[:-step], key[step:])
+        have += step
+    return np.unique(PLACE - (key & PLACE)).astype(np.int64)
 
 
 def _begins(h: np.ndarray, line_starts: list[int], max_words: int) -> np.ndarray:
@@ -65,9 +79,9 @@ def _begins(h: np.ndarray, line_starts: list[int], max_words: int) -> np.ndarray
     first[line_starts] = True
     first[0] = first[n] = True
     at = np.flatnonzero(first)
-    long = np.flatnonzero(np.diff(at) > max_words)
+    long = np.flatnonzero(np.diff(at) >= max_words)
     if len(long):
-        marked = np.flatnonzero((h >> np.uint64(1)) % CUT == 0)
+        marked = _least(h, max(1, max_words // 2))
         inside = np.isin(np.searchsorted(at, marked, side="right") - 1, long)
         first[marked[inside]] = True
         at = np.flatnonzero(first)

@@ -56,6 +56,43 @@ def test_repeated_rows_stay_alike(spark):
     assert got == [(0, False), (1, True), (1, True), (2, True)]
 
 
+def words(rng, n, kinds=0):
+    few = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(kinds)]
+    return [rng.choice(few) if few else "".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+
+
+def marked(rng, n, ends):
+    """So many words, sentences ending now and then or at given numbers of words."""
+    out = words(rng, n)
+    for i in ends if isinstance(ends, list) else [i for i in range(n) if rng.random() < ends]:
+        out[i] += "."
+    return out
+
+
+def shared_words(passage, rng):
+    """Which words of a passage lie in a run that two hosts share, the passage standing mid-sentence in both; by the windows of words."""
+    texts = [[*words(rng, rng.randrange(1, 40)), *passage, *words(rng, rng.randrange(1, 40))] for _ in range(2)]
+    starts = [next(i for i in range(len(t)) if t[i : i + len(passage)] == passage) for t in texts]
+    found = []
+    for t in texts:
+        h, a, b = spans.text_runs(" ".join(t), 2, 20, 16)
+        begins = spans._begins(spans._hashed(t), [0], 16)
+        found.append({(k, tuple(t[x:y])): (x, y) for k, x, y in zip(h.tolist(), begins[a].tolist(), begins[b].tolist(), strict=True)})
+    assert {k for k, _ in found[0]} & {k for k, _ in found[1]} == {k for k, _ in found[0].keys() & found[1].keys()}
+    got = set()
+    for k in found[0].keys() & found[1].keys():
+        x, y = found[0][k]
+        got |= set(range(x - starts[0], y - starts[0]))
+    return got & set(range(len(passage)))
+
+
+def test_passages_over_50_words_always_hold_a_run():
+    rng = random.Random(11)
+    passages = [words(rng, 51) for _ in range(600)] + [words(rng, 51, k) for k in (1, 2, 3) for _ in range(40)] + [["tim"] * 120]
+    passages += [marked(rng, 51, p) for p in (0.03, 0.07, 0.15, 0.3) for _ in range(150)] + [marked(rng, 51, [15, 34]) for _ in range(50)]
+    assert [p for p in passages if not shared_words(p, rng)] == []
+
+
 def brute_join(rows, width, part, whole):
     sets = {d: set(shingle_hashes(words_of(t), width).tolist()) for d, t in rows}
     parent = {d: d for d in sets}
