@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 from shelfmark.plans.oracle import SQL
-from shelfmark.plans.queries import QUERIES
+from shelfmark.plans.queries import QUERIES, ingested_counts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -44,3 +44,10 @@ def test_streaming_restart_adds_nothing(spark, tmp_path):
     n = first.count()
     again = ingest(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/other-checkpoint", schema=spark.read.parquet(f"{tmp_path}/in/a").schema)
     assert again.count() == n
+
+
+def test_ingestion_takes_all_stores(spark, db):
+    whole = SQL["ingest_idempotent"].replace("WHERE store IN ('NATION_3', 'NATION_4') ", "")
+    got = ingested_counts(spark, DATA).toPandas()
+    assert rows(got) == rows(db.execute(whole).fetchdf())
+    assert got["store"].nunique() == 10  # all that this small table has
