@@ -5,13 +5,14 @@ words or more counts as several, cut before the word with the least hash (the la
 So a passage is cut alike wherever it begins, whatever its words: each window in it has a cut, and with the default settings
 any passage of over 50 words holds a run. From every sentence starts one run: the shortest of at least ``min_sentences`` sentences and ``min_words`` words. Runs
 are compared by a 64-bit hash of their words over the whole corpus; the first place of a run is the first one in
-the document with the smallest doc_id, and the sentences under any other place are removed.
+the document with the smallest doc_id (and of several texts under one id, that with the smallest text hash), and the sentences under any other place are removed.
 
 Repeats inside a document are found where it is read. Across documents hashes alone are counted first, by partial
 aggregation; then a Bloom filter of the repeated hashes tells which places are joined. Hot runs are spread by adaptive skew splits; nothing is dropped.
 
 Defined cases: a null text stays null; an empty text or one too short for a run stays as it is; rows that repeat an id
-count as one document, and keep what they only share with each other; a null id comes before all others; other columns pass through unchanged.
+and its text count as one document, and keep what they only share with each other; different texts under one id, or without an id, are
+documents of their own; a null id comes before all others; other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def _hashed(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-RUN_SCHEMA = "h long, doc long, rid int, at int, sentences int, again boolean"
+RUN_SCHEMA = "h long, doc long, rid long, at int, sentences int, again boolean"
 NO_ID = -(2**63)
 RUN_BASE = 1 << 31
 PLACE = np.uint64(2**32 - 1)
@@ -157,7 +158,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = shipped(docs.sparkSession)
     key = F.coalesce(column(docs, id_col).cast("long"), F.lit(NO_ID))
     text = column(docs, text_col).cast("string")
-    rows = docs.select(key.alias("doc"), F.hash(text).alias("rid"), text.alias("text"))
+    rows = docs.select(key.alias("doc"), F.xxhash64(text).alias("rid"), text.alias("text"))
 
     def runs(batches):
         for pdf in (whole.iloc[i : i + 1000] for whole in batches for i in range(0, len(whole), 1000)):
@@ -184,8 +185,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.Series(test.value.might_hold(h.to_numpy(np.int64)))
 
     shared = once.where(elsewhere("h")).select("h", "doc", "rid", "at", "sentences")
-    first = shared.groupBy("h").agg(F.min("doc").alias("first"))
-    later = shared.join(first, "h").where("doc != first").select("doc", "rid", "at", "sentences")
+    place = F.struct("doc", "rid")
+    first = shared.groupBy("h").agg(F.min(place).alias("first"))
+    later = shared.join(first, "h").where(place != F.col("first")).select("doc", "rid", "at", "sentences")
     later = later.unionByName(places.where("again").select("doc", "rid", "at", "sentences"))
     # a run is one number, place times RUN_BASE plus length; they are spread to sentences where the text is cut
     run = F.col("at").cast("long") * RUN_BASE + F.col("sentences")
@@ -195,7 +197,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(t: pd.Series, g: pd.Series) -> pd.Series:
         return pd.Series([x if y is None else without(x, _covered(y), max_words) for x, y in zip(t, g, strict=True)], dtype=object)
 
-    tagged = docs.select(*[column(docs, c) for c in docs.columns], key.alias("__doc"), F.hash(text).alias("__rid"))
+    tagged = docs.select(*[column(docs, c) for c in docs.columns], key.alias("__doc"), F.xxhash64(text).alias("__rid"))
     found = gone.select(F.col("doc").alias("__doc"), F.col("rid").alias("__rid"), F.col("gone").alias("__gone"))
     joined = tagged.join(found, ["__doc", "__rid"], "left")
     new = F.when(F.col("__gone").isNull(), text).otherwise(cut(F.coalesce(text, F.lit("")), F.col("__gone")))

@@ -56,6 +56,17 @@ def test_repeated_rows_stay_alike(spark):
     assert got == [(0, False), (1, True), (1, True), (2, True)]
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    passage = " ".join(sentence(rng, 12) for _ in range(5))
+    for ids in ([7] * 6, [None] * 6, [None, None, 3, 3, 4, 4]):
+        rows = [(i, f"{sentence(rng, 25)} {passage} {sentence(rng, 25)}") for i in ids]
+        got = spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        kept = [r["doc_id"] for r in got if passage in r["text"]]
+        assert kept == [ids[0]] and sum(r["removed_runs"] > 0 for r in got) == 5
+        assert all(passage[:20] not in r["text"] for r in got if r["removed_runs"])
+
+
 def words(rng, n, kinds=0):
     few = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(kinds)]
     return [rng.choice(few) if few else "".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
