@@ -3,7 +3,8 @@
 A text is cut into sentences after ``. ! ?`` before white space and at line ends; a sentence of ``max_words``
 words or more counts as several, cut before the word with the least hash (the last of equal ones) of each window of ``max_words // 2`` words.
 So a passage is cut alike wherever it begins, whatever its words: each window in it has a cut, and with the default settings
-any passage of over 50 words holds a run. From every sentence starts one run: the shortest of at least ``min_sentences`` sentences and ``min_words`` words. Runs
+any passage of over 50 words holds a run. From every sentence starts one run, and at every sentence ends one: the shortest of at least ``min_sentences`` sentences and ``min_words``
+words. So the sentences at both edges of a repeated passage are in runs; a passage of fewer words has none and stays. Runs
 are compared by a 64-bit hash of their words over the whole corpus; the first place of a run is the first one in
 the document with the smallest doc_id (and of several texts under one id, that with the smallest text hash), and the sentences under any other place are removed.
 
@@ -90,12 +91,14 @@ def _begins(h: np.ndarray, line_starts: list[int], max_words: int) -> np.ndarray
 
 
 def _runs(begins: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and one past the last sentence of every run."""
+    """First and one past the last sentence of every run, in order and each once."""
     n = len(begins) - 1
-    first = np.arange(n)
-    last = np.maximum(first + min_sentences, np.searchsorted(begins, begins[:-1] + min_words, side="left"))
-    whole = last <= n
-    return first[whole], last[whole]
+    at = np.arange(n + 1)
+    last = np.maximum(at[:-1] + min_sentences, np.searchsorted(begins, begins[:-1] + min_words, side="left"))
+    first = np.minimum(at[1:] - min_sentences, np.searchsorted(begins, begins[1:] - min_words, side="right") - 1)
+    after, before = last <= n, first >= 0
+    both = np.concatenate([at[:-1][after] * (n + 1) + last[after], first[before] * (n + 1) + at[1:][before]])
+    return np.divmod(np.unique(both), n + 1)
 
 
 _known: dict[int, np.ndarray] = {}

@@ -67,6 +67,15 @@ def test_texts_under_one_id_are_documents_of_their_own(spark):
         assert all(passage[:20] not in r["text"] for r in got if r["removed_runs"])
 
 
+def test_closing_sentences_of_a_passage_go(spark):
+    rng = random.Random(9)
+    for lengths in ((15, 15, 3), (3, 15, 15), (12, 9, 14, 1, 2)):
+        passage = " ".join(sentence(rng, n) for n in lengths)
+        rows = [(i, f"{sentence(rng, 9)} {passage} {sentence(rng, 9)}") for i in range(4)]
+        got = {r["doc_id"]: r["text"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: t if i == 0 else t.replace(f"{passage} ", "") for i, t in rows}
+
+
 def words(rng, n, kinds=0):
     few = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(kinds)]
     return [rng.choice(few) if few else "".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
