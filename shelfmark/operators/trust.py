@@ -68,8 +68,8 @@ def action(verdict_: Column) -> Column:
     return F.when(verdict_ == "HIGH", "use as it is").when(verdict_ == "MEDIUM", "spot-check").when(verdict_ == "LOW", "verify all").when(verdict_ == "UNSCANNABLE", "get the data another way")
 
 
-def warnings(rows: DataFrame, small_groups: list[str] | None = None) -> DataFrame:
-    """(ord, severity, code, detail) of the rules that a selection breaks, from one pass over it and one over its scans."""
+def warnings(rows: DataFrame, small_groups: list[str] | None = None, small_count: int | None = None) -> DataFrame:
+    """(ord, severity, code, detail) of the rules that a selection breaks, from one pass over it and one over its scans. Of many small groups their count and the first names are enough."""
     own = rows.agg(
         F.count("*").alias("n"), F.count("price").alias("priced"), F.count_if(F.col("price").isNotNull() & (F.coalesce(F.trim("currency"), F.lit("")) == "")).alias("blank"),
         F.array_sort(F.collect_set(F.when(F.col("price").isNotNull(), F.nullif(F.trim("currency"), F.lit(""))))).alias("currencies"),
@@ -78,12 +78,13 @@ def warnings(rows: DataFrame, small_groups: list[str] | None = None) -> DataFram
     pct = lambda x: F.concat(F.floor(x * 100 + 0.5).cast("string"), F.lit("%"))
     make = lambda i, severity, code, when, detail: F.when(when, F.struct(F.lit(i).alias("ord"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), detail.alias("detail")))
     small = small_groups or []
+    many = len(small) if small_count is None else small_count
     found = F.array_compact(F.array(
         make(1, "high", "mixed_currency", F.size("currencies") > 1, F.array_join("currencies", ", ")),
         make(2, "mid", "blank_currency", (F.col("priced") > 0) & (F.col("blank") / F.greatest("priced", F.lit(1)) > BLANK_CURRENCY_SHARE), pct(F.col("blank") / F.greatest("priced", F.lit(1)))),
         make(3, "high", "few_prices", (F.col("n") > 0) & (F.col("priced") / F.greatest("n", F.lit(1)) < PRICE_FILL_LEAST), pct(F.col("priced") / F.greatest("n", F.lit(1)))),
         make(4, "mid", "distant_scans", (F.col("scans") > 1) & (F.col("days") > DAYS_APART), F.concat(F.floor(F.col("days") + 0.5).cast("string"), F.lit(" days"))),
-        make(5, "low", "small_groups", F.lit(bool(small)), F.lit(f"{len(small)}: " + ", ".join(small[:5]) + ("..." if len(small) > 5 else ""))),
+        make(5, "low", "small_groups", F.lit(bool(small)), F.lit(f"{many}: " + ", ".join(small[:5]) + ("..." if many > 5 else ""))),
     ))
     return own.join(seen).select(F.explode(found).alias("w")).select("w.*")
 

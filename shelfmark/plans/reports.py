@@ -41,8 +41,9 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 def price_ladder(store: Store, rows: DataFrame, by: str = "brand") -> Report:
     ladder = stats.by_group(rows, by)
-    small = [r["grp"] for r in ladder.where((F.col("n") > 0) & (F.col("n") < SMALL_GROUP)).select("grp").limit(1000).collect()]
-    return Report("PRICE_LADDER", f"Price ladder by {by}", ["grp", "rows", "fill", "min", "p25", "median", "p75", "max", "in_stock", "currency"], ladder, trust.trust_summary(rows), trust.warnings(rows, small), stats.ladder_chart(ladder), _tiles(rows), {"by": by})
+    few = ladder.where((F.col("n") > 0) & (F.col("n") < SMALL_GROUP)).select("grp")
+    small = few.count(), [r["grp"] for r in few.limit(6).collect()]
+    return Report("PRICE_LADDER", f"Price ladder by {by}", ["grp", "rows", "fill", "min", "p25", "median", "p75", "max", "in_stock", "currency"], ladder, trust.trust_summary(rows), trust.warnings(rows, small[1], small[0]), stats.ladder_chart(ladder), _tiles(rows), {"by": by})
 
 
 def price_distribution(store: Store, rows: DataFrame, bins: int = 12) -> Report:

@@ -169,3 +169,10 @@ def test_idempotent_appends(store, tmp_path):
     assert sinks.append_listings(a, path) == 6
     assert sinks.append_listings(a, path) == 0
     assert sinks.append_listings(store.listings, path) == 10
+
+
+def test_price_ladder_counts_all_small_groups(spark):
+    store = small_store(spark)
+    many = store.joined().where("scan_id = 'A' and row_seq = 1").withColumn("brand", F.explode(F.transform(F.sequence(F.lit(1), F.lit(1200)), lambda i: F.concat(F.lit("B"), i.cast("string")))))
+    found = reports.REPORTS["PRICE_LADDER"](store, many, by="brand").warnings.where("code = 'small_groups'").collect()
+    assert [w["detail"].split(":")[0] for w in found] == ["1200"] and found[0]["detail"].endswith("...") and found[0]["detail"].count(",") == 4
