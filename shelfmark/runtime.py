@@ -28,3 +28,19 @@ def shipped(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(target))
         context._shelfmark_shipped = True
     return spark
+
+
+#: Where scratch goes if the session names no shared folder and runs in one process, as in tests.
+LOCAL_SCRATCH = "file:///tmp/checkpoints/shelfmark"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The URI of the folder that driver and executors share, without a slash at its end."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors and the driver need a folder that they share")
+        root = LOCAL_SCRATCH
+    if "://" not in root:
+        root = f"file://{root}" if not root.startswith("file:") else root.replace("file:", "file://", 1)
+    return root.rstrip("/")
