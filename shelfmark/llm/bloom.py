@@ -1,8 +1,8 @@
 """Bloom filters built with DataFrame aggregates and probed with numpy.
 
 Keys are 64-bit hashes (signed longs in Spark). Bit i of a key is (low + i * odd high) mod m, m a power of two.
-A filter has at most MAX_BITS bits whatever the input, so its broadcast has a fixed bound; with more keys
-it only lets more through, and callers check what it lets through exactly.
+A filter has at most MAX_BITS bits whatever the input, so its broadcast has a fixed bound; ``thinned`` joins
+larger sets of keys instead, and callers check what a filter lets through exactly.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class Bloom:
 
 
 def size_for(n: int, bits_per_key: int = 12) -> int:
-    return min(MAX_BITS, max(1024, 1 << max(1, int(n) * bits_per_key - 1).bit_length()))
+    return min(MAX_BITS, max(64, 1 << max(1, int(n) * bits_per_key - 1).bit_length()))
 
 
 def build(df: DataFrame, key: Column, n: int, bits_per_key: int = 12) -> Bloom:
@@ -64,3 +64,20 @@ def build(df: DataFrame, key: Column, n: int, bits_per_key: int = 12) -> Bloom:
     for row in filled.repartition(F.floor(F.col("w") / BLOCK)).mapInPandas(pack, "k long, words binary").collect():
         words[row["k"] * BLOCK : (row["k"] + 1) * BLOCK] = np.frombuffer(row["words"], np.uint64)
     return Bloom(bits, words)
+
+
+def thinned(rows: DataFrame, key: Column, keys: DataFrame, bits_per_key: int = 12) -> DataFrame:
+    """The rows whose ``key`` is likely among ``keys`` (one column h, distinct longs), all that are in it included.
+
+    A filter that fits MAX_BITS is broadcast; beyond that the keys are joined, which shuffles both sides but has no bound.
+    """
+    n = keys.count()
+    if n * bits_per_key > MAX_BITS:
+        return rows.withColumn("__key", key).join(keys.select(F.col("h").alias("__key")), "__key", "left_semi").drop("__key")
+    test = rows.sparkSession.sparkContext.broadcast(build(keys, F.col("h"), n, bits_per_key))
+
+    @F.pandas_udf("boolean")
+    def likely(h: pd.Series) -> pd.Series:
+        return pd.Series(test.value.might_hold(h.to_numpy(np.int64)))
+
+    return rows.where(likely(key))

@@ -1,7 +1,7 @@
 """The shared folder: scratch tables, and binary files that executors write and range-read.
 
-Scratch lives below ``spark.checkpoint.dir`` of the session. Only where that is unset, as in tests, a
-folder of this library is used. Files are opened through ``pyarrow.fs``, so any scheme that it
+Scratch lives below ``spark.checkpoint.dir`` of the session. Only where that is unset and Spark runs in one process, as in tests, a
+folder of this library is used; on a cluster without the setting nothing is written. Files are opened through ``pyarrow.fs``, so any scheme that it
 knows (file, hdfs, s3, gs) works on executors; paths are always full URIs.
 """
 
@@ -10,16 +10,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-DEFAULT_SCRATCH = "file:///tmp/checkpoints/shelfmark"
-
+from shelfmark.runtime import shared_folder
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder URI in the shared folder of the cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH
-    if "://" not in root:
-        root = f"file://{root}" if not root.startswith("file:") else root.replace("file:", "file://", 1)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +37,14 @@ def dropped(df: DataFrame) -> None:
         target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let go of plans that are done: Spark deletes their shuffle files as soon as the driver has collected its garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def opened(uri: str):
     """(filesystem, path) for a full URI; works on executors."""
     from pyarrow import fs
@@ -47,9 +52,16 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def column(df: DataFrame, name: str):
-    """A column by exact name, even if it holds dots."""
-    return df["`" + name.replace("`", "``") + "`"]
+def picked(df: DataFrame, **names: str) -> DataFrame:
+    """Columns by their exact names, renamed; whatever other columns are called, even the same but for case or with dots."""
+    at = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return at.select(*[F.col(f"c{df.columns.index(name)}").alias(new) for new, name in names.items()])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or where a column has it, the first of name_1, name_2 and so on that is free; case does not tell names apart."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for i in range(len(taken) + 1) if (x := f"{name}_{i}" if i else name).lower() not in taken)
 
 
 def in_task(spark: SparkSession, job):
@@ -79,3 +91,8 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def column(df: DataFrame, name: str):
+    """A column by exact name, even if it holds dots."""
+    return df["`" + name.replace("`", "``") + "`"]
