@@ -2,17 +2,17 @@
 
 Words (matches of the tokenizer's pattern) that a worker has not met are grouped by length into padded matrices
 of token ids. In each round every row merges its leftmost pair of least rank, pairs are looked up in an open hash table, and the row is
-compacted; rows without a pair leave the matrix. Words met before come from a bounded cache. Decoding gathers token bytes.
+compacted; rows without a pair leave the matrix. A word beyond the last bucket is a matrix row of its own length, in which the rounds that would merge
+one pair after another are taken at once. Words met before come from a bounded cache. Decoding gathers token bytes.
 
-Defined cases: a null text is empty and has no ids; texts of any length are encoded whole; a word longer than
-LONG_WORD bytes is merged with a heap instead of a matrix, to the same ids; extra columns are ignored.
+Defined cases: a null text is empty and has no ids; texts and words of any length are encoded whole; rows that repeat an id are encoded
+each; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.store import column
+from shelfmark.llm.store import picked
 from shelfmark.runtime import shipped
 
 BUCKETS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64, 128, 512, 4096)
-LONG_WORD, CACHE_WORDS, MATRIX_CELLS = 4096, 500_000, 1 << 20
+CACHE_WORDS, MATRIX_CELLS = 500_000, 1 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -114,8 +114,8 @@ class Encoder:
             for i in range(0, len(own), step):
                 self._matrix(rows, own[i : i + step], sizes, high, out)
             low = high
-        for i in np.flatnonzero(sizes > LONG_WORD):
-            out[i] = self._heap(rows[i])
+        for i in np.flatnonzero(sizes > low):
+            out[i] = self._row(rows[i])
         return out  # type: ignore[return-value]
 
     def _matrix(self, rows: list[bytes], own: np.ndarray, sizes: np.ndarray, width: int, out: list) -> None:
@@ -153,30 +153,33 @@ class Encoder:
             if keep + 4 < ids.shape[1]:
                 ids, rank = ids[:, : keep + 1], rank[:, :keep]
 
-    def _heap(self, word: bytes) -> np.ndarray:
-        parts = [word[i : i + 1] for i in range(len(word))]
-        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < len(parts) and (r := self.ranks.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (r, i, parts[i] + parts[j]))
-
-        for i in range(len(parts) - 1):
-            push(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            j = after[i]
-            if not parts[i] or j >= len(parts) or parts[i] + parts[j] != both:
-                continue
-            parts[i], parts[j], after[i] = both, b"", after[j]
-            if after[j] < len(parts):
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([self.ranks[p] for p in parts if p], np.int32)
+    def _row(self, word: bytes) -> np.ndarray:
+        """One long row: all places of its least pair, from the left and not overlapping, unless a merge makes a pair of lower rank."""
+        ids = self.single[np.frombuffer(word, np.uint8)]
+        rank = self.pairs.find(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            run = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(np.diff(at) != 1) + 1])
+            nth = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+            at = at[nth % 2 == 0]
+            done = self._merge(ids, rank, at, best)
+            if done[1].size and done[1].min() < best:
+                done = self._merge(ids, rank, at[:1], best)
+            ids, rank = done
+        return ids
+
+    def _merge(self, ids: np.ndarray, rank: np.ndarray, at: np.ndarray, token: int) -> tuple[np.ndarray, np.ndarray]:
+        """A row and its ranks after the pairs that begin at ``at`` became ``token``."""
+        ids = ids.copy()
+        ids[at] = token
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        new = at - np.arange(len(at))
+        ids, rank = ids[keep], np.append(rank, NONE)[keep][:-1]
+        for side in (new - 1, new):
+            side = side[(side >= 0) & (side < len(rank))]
+            rank[side] = self.pairs.find(ids[side], ids[side + 1])
+        return ids, rank
 
     def _learn(self, new: list[str]) -> None:
         rows, whole = [w.encode("utf-8", "surrogatepass") for w in new], self.ranks.get
@@ -266,5 +269,5 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
                 at += len(texts)
 
     shipped(docs.sparkSession)
-    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInPandas(run, ENCODED_SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -6,8 +6,8 @@ solved on it by the revised simplex method; a knapsack dynamic program over the
 down; what is left, at most a few rests for each pattern, is packed by best fit. Every rest has a rank among those of its length, and its
 rank alone tells its pattern, copy and place, so documents are assigned without any group in one task.
 
-Defined cases: a null text is empty and gives one piece with the end token alone; rows that repeat an id are
-packed each; an empty table gives no piece; other columns are ignored. Sequences are filled from 0 without gaps; the rest is padding.
+Defined cases: a null text is empty and gives one piece with the end token alone; the string of an added token inside a text gives that token's id
+(``keep_added``); rows that repeat an id are packed each; an empty table gives no piece; other columns are ignored. Sequences are filled from 0 without gaps; the rest is padding.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe import groups
-from shelfmark.llm.store import column, in_task, written
+from shelfmark.llm.store import dropped, in_task, picked, written
 from shelfmark.runtime import shipped
 
 CAPACITY, GRAIN, END_ID = 2048, 8, 1
 PIECE_SCHEMA = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, bin int, task int, nth long"
+
+
 def byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -33,16 +35,53 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class VocabularyEncoder:
-    """Ids of a byte-level BPE vocabulary file of the ``tokenizers`` library.
+#: Fixed value: how the byte-level pre-tokenizer of ``tokenizers`` splits a text.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _alone(letters: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """What the merges make of one word."""
+    while len(letters) > 1:
+        best = min(range(len(letters) - 1), key=lambda i: ranks.get((letters[i], letters[i + 1]), len(ranks)))
+        if (letters[best], letters[best + 1]) not in ranks:
+            break
+        letters[best : best + 2] = [letters[best] + letters[best + 1]]
+    return letters
 
-    If the file's merges make its ids in order, the same merges are run by the faster ``tiktoken`` engine. The first texts that
-    a worker meets are encoded by both, and from the first difference on the library encodes everything itself.
+
+@lru_cache(maxsize=8)
+def same_merges(path: str, pattern: str) -> bool:
+    """Whether a vocabulary file is proven to give the ids of an engine that splits by ``pattern`` and merges by the ids of the results.
+
+    The file must have no step but a byte-level split and merges, and these must make ids in order. Then both apply the same merges if every token comes
+    out whole when its letters are merged alone: a pair that makes a token, but is not its own merge, would be left over there.
     """
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split, letters = spec["model"], spec.get("pre_tokenizer") or {}, byte_letters()
+    plain = not any(spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
+    plain = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and pattern == BYTE_LEVEL
+    plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain:
+        return False
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    order = [model["vocab"][a + b] for a, b in pairs]
+    ranks = {m: i for i, m in enumerate(pairs)}
+    if order != sorted(set(order)) or not all(c in model["vocab"] for c in letters) or any(model["vocab"][c] >= order[0] for c in letters):
+        return False
+    return {*model["vocab"]} == {*letters, *(a + b for a, b in pairs)} and all(_alone(list(a + b), ranks) == [a + b] for a, b in pairs)
+
 
-    CHECKED = 200
+class VocabularyEncoder:
+    """Ids of a vocabulary file of the ``tokenizers`` library, as its encode without adding special tokens gives them.
+
+    With ``fast`` (see ``same_merges``) the same merges are run by the ``tiktoken`` engine; texts that hold the string of an added token go to the library.
+    With ``keep_added`` off, strings of special tokens are ordinary letters.
+    """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, fast: bool, keep_added: bool = True):
         import json
         import os
 
@@ -51,17 +90,14 @@ class VocabularyEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        letters = byte_letters()
-        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-        order = [model["vocab"][m] for m in merged]
-        self.engine, self.left = None, self.CHECKED
-        if order == sorted(order) and not model.get("dropout") and all(c in letters for m in merged for c in m):
-            made = set(order)
-            ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token in letters or i in made}
-            self.engine = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.tokenizer.encode_special_tokens = not keep_added
+        self.engine, self.added = None, []
+        if fast:
+            with open(path, encoding="utf-8") as file:
+                spec = json.load(file)
+            letters = byte_letters()
+            self.added = [t["content"] for t in spec.get("added_tokens") or [] if keep_added or not t.get("special")]
+            self.engine = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks={bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}, special_tokens={})
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,29 +105,23 @@ class VocabularyEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.engine is None:
             return self.library(texts)
-        out = [self.engine.encode_to_numpy(t, disallowed_special=()) for t in texts]
-        if self.left > 0:
-            part = texts[: self.left]
-            self.left -= len(part)
-            if not all(np.array_equal(a, b) for a, b in zip(out, self.library(part), strict=False)):
-                self.engine = None
-                return self.library(texts)
-        return out
+        return [self.library([t])[0] if any(a in t for a in self.added) else self.engine.encode_to_numpy(t, disallowed_special=()) for t in texts]
 
 
 @lru_cache(maxsize=2)
-def vocabulary_encoder(path: str, pattern: str) -> VocabularyEncoder:
+def vocabulary_encoder(path: str, pattern: str, fast: bool, keep_added: bool = True) -> VocabularyEncoder:
     """One a worker."""
-    return VocabularyEncoder(path, pattern)
+    return VocabularyEncoder(path, pattern, fast, keep_added)
 
 
-def cut(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int | None = END_ID, keep_added: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PIECE_SCHEMA: full pieces (bin 0) and rests (bin = length in grains, rounded up), numbered within task and bin."""
+    fast = same_merges(vocabulary, pattern)
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, coder, counts = TaskContext.get().partitionId(), vocabulary_encoder(vocabulary, pattern), np.zeros(capacity // grain + 2, np.int64)
+        task, coder, counts = TaskContext.get().partitionId(), vocabulary_encoder(vocabulary, pattern, fast, keep_added), np.zeros(capacity // grain + 2, np.int64)
         for pdf in batches:
             doc_ids, done = pdf["doc_id"].tolist(), 0
             for texts in groups([t or "" for t in pdf["text"]], 1 << 20):
@@ -110,7 +140,7 @@ def cut(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY
                 frame["doc_id"] = pd.array([None if pd.isna(d) else int(d) for d in frame["doc_id"]], "Int64")
                 yield frame
 
-    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInPandas(run, PIECE_SCHEMA)
 
 
@@ -200,10 +230,10 @@ def patterns_for(demand: dict[int, int], capacity: int, most_rounds: int = 4000,
     return chosen + [(row, 1) for rows in by_space.values() for row in rows]
 
 
-def packed(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int | None = END_ID) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int | None = END_ID, keep_added: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: each token in exactly one piece, sequences of at most ``capacity``."""
     shipped(docs.sparkSession)
-    pieces = written(cut(docs, vocabulary, pattern, capacity, grain, end_id), "pieces")
+    pieces = written(cut(docs, vocabulary, pattern, capacity, grain, end_id, keep_added), "pieces")
     per_task = pieces.groupBy("bin", "task").agg(F.count("*").alias("n"))
     before = written(per_task.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("bin").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "ranks")
     histogram = {int(r["bin"]): int(r["n"]) for r in before.groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # at most capacity / grain + 1 rows
