@@ -7,7 +7,8 @@ edit distance (insertions and deletions), after runs of a letter are cut to thre
 a row in common (half of the letters, if the shorter one has fewer than 14) are unlike.
 
 Defined cases: a null text is empty and has fingerprint ``1::``; equal texts have equal fingerprints and likeness 1; with a
-single row the next document is the row itself; rows with equal ids follow each other by text; a null id sorts after all others.
+single row the next document is the row itself; rows with equal ids follow each other by a hash of the text, the larger first; a null id sorts after
+all others; an empty table gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.store import column
+from shelfmark.llm.store import picked
 from shelfmark.runtime import shipped
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, LONG, SHORT, COMMON = 7, 64, 32, 7
 #: Bytes hashed at once.
 BLOCK_BYTES = 2 << 20
+#: Bytes of text in a bucket of neighbouring documents.
+BUCKET_BYTES = 64 << 20
 
 
 def _triggers(data: np.ndarray) -> np.ndarray:
@@ -134,31 +137,43 @@ def likeness(pairs: list[tuple[str, str]]) -> np.ndarray:
     return out
 
 
-def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Rows (bucket, role, doc_id, text) such that within a bucket, by role and descending id, every role 0 row is followed by its next document.
 
-    Ids are dealt to buckets by quantiles; the first rows of the next bucket come again with role 1. One shuffle of the texts.
+    Ids are dealt to buckets of about ``bucket_bytes`` of text by quantiles, rows without an id by a hash of their text; the first rows of the next bucket come again with role 1. One
+    shuffle of the texts, a task for each bucket.
     """
     spark = shipped(docs.sparkSession)
-    rows = docs.select(F.coalesce(column(docs, id_col).cast("long"), F.lit(-(2**63))).alias("key"), column(docs, id_col).cast("long").alias("doc_id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = rows.select(F.col("key").cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
+    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("named", F.col("doc_id").isNotNull()).withColumn("key", F.coalesce("doc_id", F.lit(0))).withColumn("h", F.xxhash64("text"))
+    size = F.octet_length("text").cast("long")
+    total = rows.agg(F.coalesce(F.sum(F.when(F.col("named"), size)), F.lit(0)).alias("named"), F.coalesce(F.sum(F.when(~F.col("named"), size)), F.lit(0)).alias("other")).first()
+    unnamed = 1 + total["other"] // bucket_bytes
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total["named"] // bucket_bytes)
+    marks = rows.where("named").select(F.col("key").cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
     bounds = np.unique(np.array(marks, np.float64))
 
+    def buckets(named: pd.Series, key: pd.Series, h: pd.Series) -> np.ndarray:
+        spread = np.minimum((h.to_numpy(np.int64).astype(np.float64) / 2.0**64 + 0.5) * unnamed, unnamed - 1).astype(np.int64)
+        return np.where(named.to_numpy(bool), unnamed + np.searchsorted(bounds, key.to_numpy(np.float64), side="left"), spread)
+
     @F.pandas_udf("long")
-    def bucket_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(np.float64), side="left"))
+    def bucket_of(named: pd.Series, key: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(buckets(named, key, h))
 
-    tops = sorted(rows.select("key").groupBy(bucket_of("key").alias("b")).agg(F.max("key").alias("top")).collect())
-    again = {tops[i]["top"]: tops[(i + 1) % len(tops)]["b"] for i in range(len(tops))}
+    place = F.struct("named", "key", "h")
+    tops = rows.select("named", "key", "h").groupBy(bucket_of("named", "key", "h").alias("b")).agg(F.max(place).alias("top"))
+    tops = sorted((r["b"], tuple(r["top"])) for r in tops.collect())  # a row a bucket
+    again = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
 
     @F.pandas_udf("array<struct<bucket:long,role:int>>")
-    def places(key: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, key.to_numpy(np.float64), side="left")
-        return pd.Series([[(int(b), 0)] + ([(again[k], 1)] if k in again else []) for k, b in zip(key, own, strict=True)])
+    def places(named: pd.Series, key: pd.Series, h: pd.Series) -> pd.Series:
+        own = zip(buckets(named, key, h).tolist(), zip(named.tolist(), key.tolist(), h.tolist(), strict=True), strict=True)
+        return pd.Series([[(b, 0)] + ([(again[k], 1)] if k in again else []) for b, k in own])
 
-    dealt = rows.select(F.explode(places("key")).alias("p"), "key", "doc_id", "text").select("p.bucket", "p.role", "key", "doc_id", "text")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "role", F.desc("key"), "text")
+    dealt = rows.select(F.explode(places("named", "key", "h")).alias("p"), "named", "key", "h", "doc_id", "text").select("p.bucket", "p.role", "named", "key", "h", "doc_id", "text")
+    order = ["bucket", "role", F.desc("named"), F.desc("key"), F.desc("h"), "text"]
+    return dealt.repartitionById(unnamed + len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions(*order)
 
 
 RESULT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
