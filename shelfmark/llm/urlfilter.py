@@ -8,7 +8,8 @@ Keys are host suffix + path prefix. A url asks for one key for each suffix of it
 that a rule has. The longest listed key wins (host plus path; the longer host if equal).
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path; a url that no rule
-fits is allowed, as its keys are not listed; rows keep their number; repeated and clashing rules: the last one counts.
+fits is allowed, as its keys are not listed; rows keep their number, equal ones and null ids too; repeated and clashing rules: the last one counts; an
+empty table or no rule is no special case; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bloom
-from shelfmark.llm.store import column, written
+from shelfmark.llm.store import picked, written
 from shelfmark.runtime import shipped
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,37 +48,57 @@ def key_hash(key: Column, level: int) -> Column:
 
 @dataclass
 class Cascade:
-    levels: list[bloom.Bloom]
+    """Levels by part of the key space; a key's part is its hash modulo the number of parts."""
+
+    parts: list[list[bloom.Bloom]]
+
+    @property
+    def deep(self) -> int:
+        return max([0, *map(len, self.parts)])
 
     def listed(self, hashes: list[np.ndarray]) -> np.ndarray:
-        """Per key of the universe, whether it is listed; hashes: one array a level."""
-        n = len(hashes[0]) if hashes else 0
-        passed, out = np.ones(n, bool), np.zeros(n, bool)
-        for i, level in enumerate(self.levels):
-            now = passed & level.might_hold(hashes[i])
-            out[passed & ~now] = i % 2 == 1
-            passed = now
-        out[passed] = len(self.levels) % 2 == 1
+        """Per key of the universe, whether it is listed; hashes: one array a level, and at the end one that deals keys to parts."""
+        out = np.zeros(len(hashes[-1]), bool)
+        part = (hashes[-1].view(np.uint64) % np.uint64(max(1, len(self.parts)))).astype(np.int64)
+        for p, levels in enumerate(self.parts):
+            own = np.flatnonzero(part == p)
+            passed = own
+            for i, level in enumerate(levels):
+                now = level.might_hold(hashes[i][passed])
+                out[passed[~now]] = i % 2 == 1
+                passed = passed[now]
+            out[passed] = len(levels) % 2 == 1
         return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 8, most_levels: int = 40) -> Cascade:
-    """A cascade for the keys in ``listed`` over ``universe`` (both: column key, distinct). Both sides stay distributed; only filters reach the driver."""
-    cascade = Cascade([])
-    inside, outside = listed.select("key"), universe.join(listed.select("key"), "key", "left_anti")
-    n = inside.count()
-    while n and len(cascade.levels) < most_levels:
-        i = len(cascade.levels)
-        cascade.levels.append(bloom.build(inside, key_hash(F.col("key"), i), n, bits_per_key))
+PART_LEVEL = -1
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 8) -> Cascade:
+    """A cascade for the keys in ``listed`` over ``universe`` (both: column key, distinct). Both sides stay distributed; only filters reach the driver.
+
+    A list that would fill a filter of MAX_BITS is dealt to parts by hash, each with a cascade of its own, so that no list is too long; all filters
+    together have some two bytes a key.
+    """
+    parts = -(-listed.count() * bits_per_key // bloom.MAX_BITS)
+    if parts <= 1:
+        return Cascade([_levels(listed.select("key"), universe.select("key"), bits_per_key)] * parts)
+    dealt = lambda df, p: df.where(F.expr(f"cast(conv(hex(xxhash64(key, {PART_LEVEL})), 16, 10) as decimal(20)) % {parts} = {p}")).select("key")
+    return Cascade([_levels(dealt(listed, p), dealt(universe, p), bits_per_key) for p in range(parts)])
+
+
+def _levels(inside: DataFrame, universe: DataFrame, bits_per_key: int) -> list[bloom.Bloom]:
+    """Filters in turn for keys inside, and for those outside that the filter before takes for them, until none is left."""
+    levels: list[bloom.Bloom] = []
+    outside = universe.join(inside, "key", "left_anti")
+    while n := inside.count():
+        i = len(levels)
+        levels.append(bloom.build(inside, key_hash(F.col("key"), i), n, bits_per_key))
+        passing = _passing(outside, levels[i], i)
         if i == 0:
-            outside = written(_passing(outside, cascade.levels[i], i), "cascade")  # few are left: later levels scan only these
-            inside, outside = outside, inside
-        else:
-            inside, outside = _passing(outside, cascade.levels[i], i), inside
-        n = inside.count()
-    if n:
-        raise RuntimeError("the cascade does not end: universe and list share keys under every hash")
-    return cascade
+            passing = written(passing, "cascade")  # few are left: later levels scan only these
+        inside, outside = passing, inside
+    return levels
 
 
 def _passing(keys: DataFrame, level: bloom.Bloom, i: int) -> DataFrame:
@@ -92,13 +113,13 @@ def _passing(keys: DataFrame, level: bloom.Bloom, i: int) -> DataFrame:
     return keys.where(passes(key_hash(F.col("key"), i)))
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", id_col: str = "page_id") -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", id_col: str = "page_id", bits_per_key: int = 8) -> DataFrame:
     """page_id, host, path, rule, verdict by ``rules`` (verdict, host, path)."""
     spark = shipped(pages.sparkSession)
     verdicts = {host.translate(str.maketrans(UPPER, LOWER)) + path: verdict for verdict, host, path in rules}
     lengths = sorted({len(path) for _, _, path in rules})
-    host, path = host_and_path(column(pages, url_col).cast("string"))
-    rows = pages.select(column(pages, id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    host, path = host_and_path(F.col("url").cast("string"))
+    rows = picked(pages, page_id=id_col, url=url_col).select("page_id", host.alias("host"), path.alias("path"))
     if not rules:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     keyed = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
@@ -106,8 +127,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "
     cascades = {}
     for verdict in ("allow", "block"):
         own = [(k,) for k, v in verdicts.items() if v == verdict]
-        cascades[verdict] = build_cascade(spark.createDataFrame(own, "key string"), universe)
-    deep = max(1, *(len(c.levels) for c in cascades.values()))
+        listed = spark.createDataFrame(own, "key string")
+        cascades[verdict] = build_cascade(listed, universe, bits_per_key)
+    deep = max(c.deep for c in cascades.values())
     shared = spark.sparkContext.broadcast(cascades)
 
     @F.pandas_udf("rule string, verdict string")
@@ -116,8 +138,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "
 
         sizes = np.fromiter((0 if k is None else len(k) for k in keys), np.int64, len(keys))
         flat = np.concatenate([*[k for k in keys if k is not None], np.empty(0, object)])
-        stacked = np.concatenate([*[np.stack([np.asarray(x, np.int64) for x in h]) for h in hashes if h is not None and len(h)], np.empty((0, deep), np.int64)])
-        by = [np.ascontiguousarray(stacked[:, i]) for i in range(deep)]
+        stacked = np.concatenate([*[np.stack([np.asarray(x, np.int64) for x in h]) for h in hashes if h is not None and len(h)], np.empty((0, deep + 1), np.int64)])
+        by = [np.ascontiguousarray(stacked[:, i]) for i in range(deep + 1)]
         allow, block = shared.value["allow"].listed(by), shared.value["block"].listed(by)
         hit = np.flatnonzero(allow | block)
         row = np.repeat(np.arange(len(keys)), sizes)[hit]
@@ -127,7 +149,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "
         verdict[first[0]] = np.where(block[hit[first[1]]], "block", "allow")
         return pd.DataFrame({"rule": rule, "verdict": verdict})
 
-    hashes = F.transform("keys", lambda k: F.array(*[key_hash(k, i) for i in range(deep)]))
+    hashes = F.transform("keys", lambda k: F.array(*[key_hash(k, i) for i in [*range(deep), PART_LEVEL]]))
     return keyed.withColumn("v", verdict_of(F.col("keys"), hashes)).select("page_id", "host", "path", "v.rule", "v.verdict")
 
 
