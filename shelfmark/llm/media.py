@@ -20,16 +20,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.store import column, opened, scratch, written
+from shelfmark.llm.store import opened, picked, scratch, written
 from shelfmark.runtime import shipped
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
 HEADER_BYTES = 33
+#: Bytes of media for a reading task, and of a shard that are read together.
+TASK_BYTES, STRETCH_BYTES = 32 << 20, 8 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 INDEX_SCHEMA = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-FEATURE_SCHEMA = "digest string, width long, height long, bit_depth int, colour int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURE_SCHEMA = "digest string, shard string, offset long, length long, width long, height long, bit_depth int, colour int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def padded(data: bytes, to: int = WIDTH) -> bytes:
@@ -126,7 +128,7 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             out.close()
 
     shipped(docs.sparkSession)
-    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(rows.mapInPandas(put, INDEX_SCHEMA), "media-index")
 
 
@@ -135,8 +137,8 @@ def addresses(index: DataFrame) -> DataFrame:
     return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a")).select("digest", "a.*")
 
 
-def media_columns(where: DataFrame, payloads: bool = True) -> DataFrame:
-    """FEATURE_SCHEMA for rows (digest, shard, offset, length).
+def media_columns(where: DataFrame, payloads: bool = True, tasks: int | None = None) -> DataFrame:
+    """FEATURE_SCHEMA for rows (digest, shard, offset, length), read by so many tasks.
 
     Metadata columns need the header's range only; without ``payloads`` nothing else is read and the other columns are null.
     """
@@ -154,7 +156,7 @@ def media_columns(where: DataFrame, payloads: bool = True) -> DataFrame:
                         file.close()
                     fs, name = opened(shard)
                     path, file = shard, fs.open_input_file(name)
-                row = {"digest": digest} | png_header(file.read_at(HEADER_BYTES, offset))
+                row = {"digest": digest, "shard": shard.rsplit("/", 1)[-1], "offset": offset, "length": length} | png_header(file.read_at(HEADER_BYTES, offset))
                 if payloads:
                     media = file.read_at(length, offset)
                     payload = png_payload(media)
@@ -165,13 +167,19 @@ def media_columns(where: DataFrame, payloads: bool = True) -> DataFrame:
         if file is not None:
             file.close()
 
-    shipped(where.sparkSession)
-    spread = where.repartition(F.col("shard")).sortWithinPartitions("shard", "offset")
+    spark = shipped(where.sparkSession)
+    if tasks is None:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a stretch of a shard is read by one task, in order
+    spread = where.repartition(max(1, tasks), "shard", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("shard", "offset")
     return spread.mapInPandas(get, FEATURE_SCHEMA)
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Every text stored, read back and described; one row a document."""
+    """Every text stored, read back and described; one row a document, with digest, shard file, offset and length of its medium."""
     index = store_media(docs, scratch(docs.sparkSession, "media"))
-    got = media_columns(addresses(index)).withColumn("feature", F.format_string("png;%dx%d;%d;%s", "width", "height", "bit_depth", "feature"))
-    return index.select("doc_id", "n_bytes", "digest").join(got, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    stored = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-stored // TASK_BYTES))
+    got = media_columns(addresses(index), tasks=tasks).withColumn("feature", F.format_string("png;%dx%d;%d;%s", "width", "height", "bit_depth", "feature"))
+    out = index.select("doc_id", "n_bytes", "digest").join(got, "digest")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length")
