@@ -8,7 +8,8 @@ The fit uses at most ``most_labelled`` labelled rows, those with the smallest ha
 classifier, which also bounds its broadcast (most_labelled * (dims + 1) floats plus terms * dims floats). Scoring covers every whole text.
 
 Defined cases: null and empty texts have no terms and score the share of label 1 in the fit; equal texts score
-alike; a document labelled twice has the smaller label; without any labelled row every score is 0.5.
+alike; a document labelled twice has the smaller label; without any labelled row every score is 0.5; null ids are never
+labelled or held out; an empty table gives no row; columns are taken by their exact names, and other columns change nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.store import column
+from shelfmark.llm.store import free_name, picked
 from shelfmark.runtime import shipped
 
 TRIGRAMS, SHAPES, COUNTS = 1024, 512, 24
@@ -131,16 +132,17 @@ def held_out(doc_id: Column) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """The model of the labelled rows that are not held out, at most ``most_labelled`` of them."""
     spark = shipped(docs.sparkSession)
-    key = column(labels, id_col).cast("long")
-    known = labels.select(key.alias("doc_id"), column(labels, label_col).cast("int").alias("label")).where("doc_id is not null and label is not null").where(~held_out(F.col("doc_id")))
+    known = picked(labels, doc_id=id_col, label=label_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    known = known.where("doc_id is not null and label is not null").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    texts = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text")).where("text != ''")
+    texts = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text != ''")
     ids = {r["doc_id"]: r["label"] for r in chosen.collect()}  # at most most_labelled rows
     lookup = spark.sparkContext.broadcast(ids)
+    # the bounded list of ids is broadcast, so only texts of the fit reach Python
+    few = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
 
     def run(batches):
-        for pdf in batches:
-            own = pdf[pdf["doc_id"].isin(lookup.value)]
+        for own in batches:
             if len(own):
                 yield pd.DataFrame({"doc_id": own["doc_id"], "terms": [t.astype(np.float16).tobytes() for t in terms(own["text"].tolist())]})
 
@@ -151,22 +153,24 @@ def fitted(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLE
         yield pd.DataFrame({"model": [pickle.dumps(fit(rows, np.array([lookup.value[int(d)] for d in got["doc_id"]], np.float64)))]})
 
     # rows that repeat an id count once; the fit's one task gets at most most_labelled rows of TERMS half floats
-    found = texts.mapInPandas(run, "doc_id long, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms"))
+    found = texts.join(few, "doc_id", "left_semi").mapInPandas(run, "doc_id long, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms"))
     return pickle.loads(found.repartition(1).mapInPandas(fit_all, "model binary").first()["model"])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """All rows and columns of ``docs`` with score and predicted."""
+    """All rows and columns of ``docs``, whatever their names, with score and predicted (score_1, predicted_1 and so on where a column has the name)."""
     shared = shipped(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores([t if isinstance(t, str) else None for t in texts]))
 
-    return docs.withColumn("score", score(column(docs, text_col).cast("string"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    out = docs.toDF(*names).withColumn("score", score(F.col(names[docs.columns.index(text_col)]).cast("string")))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).toDF(*docs.columns, free_name(docs, "score"), free_name(docs, "predicted"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    rows = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))
+    rows = picked(docs, doc_id="doc_id", text="text")
     return scored(rows, fitted(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
