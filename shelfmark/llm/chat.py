@@ -70,7 +70,9 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 def record_paths(record: Column) -> Column:
     """The same for a JSON record of up to two levels (an object of scalars and of lists of objects), sorted and distinct."""
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    inner = lambda k: F.coalesce(F.from_json(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("']"))), "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))
+    value = lambda k, tail: F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit(tail)))
+    # only a list has a first item; a text that looks like a list stays a scalar
+    inner = lambda k: F.coalesce(F.when(value(k, "'][0]").isNotNull(), F.from_json(value(k, "']"), "array<map<string,string>>")), F.array().cast("array<map<string,string>>"))
     below = lambda k: F.array_distinct(F.flatten(F.transform(inner(k), lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>")))))
     paths = F.transform(top, lambda k: F.when(F.size(below(k)) > 0, F.transform(below(k), lambda n: F.concat(k, F.lit("[]."), n))).otherwise(F.array(k)))
     return F.array_sort(F.array_distinct(F.flatten(paths)))
@@ -161,6 +163,32 @@ def grouped_turns(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     return rows.groupBy(F.col(id_col).alias("conv_id")).agg(F.struct(turns.alias("turns")).alias("record"))
 
 
+def mixed_records(grouped: DataFrame) -> DataFrame:
+    """(conv_id, record): conversations of one message list each (as from ``grouped_turns``) as JSON records of many layouts, without loss.
+
+    Where the roles allow it and no text is empty, a conversation becomes a pair or an instruction: user and assistant a prompt with a completion, a prompt
+    with a response or an instruction with an output, by the hash of its id; two user turns and an assistant an instruction with an input; system,
+    user and assistant a system prompt with an instruction. All others are lists: of messages, of turns, or where every role is one of user, assistant and
+    system, also of from and value.
+    """
+    turns = F.col("record")["turns"]
+    roles = F.array_join(F.transform(turns, lambda t: F.replace(t["role"], F.lit(","), F.lit(", "))), ",")
+    full = ~F.exists(turns, lambda t: t["text"] == "")
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(3))
+    text = lambda i: turns[i]["text"]
+    record = lambda **parts: F.to_json(F.struct(*[column.alias(name) for name, column in parts.items()]))
+    listed = lambda name, role, words, names: record(**{name: F.transform(turns, lambda t: F.struct(_renamed(t["role"], names).alias(role), t["text"].alias(words)))})
+    plain = F.forall(turns, lambda t: t["role"].isin("user", "assistant", "system"))
+    out = F.when(full & (roles == "user,assistant") & (kind == 0), record(prompt=text(0), completion=text(1)))
+    out = out.when(full & (roles == "user,assistant") & (kind == 1), record(prompt=text(0), response=text(1)))
+    out = out.when(full & (roles == "user,assistant"), record(instruction=text(0), output=text(1)))
+    out = out.when(full & (roles == "user,user,assistant"), record(instruction=text(0), input=text(1), output=text(2)))
+    out = out.when(full & (roles == "system,user,assistant"), record(system=text(0), instruction=text(1), output=text(2)))
+    out = out.when(plain & (kind == 0), listed("conversations", "from", "value", {"user": "human", "assistant": "gpt"}))
+    out = out.when(kind == 1, listed("turns", "role", "text", {}))
+    return grouped.select("conv_id", out.otherwise(listed("messages", "role", "content", {})).alias("record"))
+
+
 def formatted(records: DataFrame, name: str = "record") -> DataFrame:
     """conv_id, formatted, loss_spans for a column of typed or JSON records."""
     turns = turns_of_records(F.col(name)) if isinstance(records.schema[name].dataType, T.StringType) else turns_of_column(records, name)

@@ -47,7 +47,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spans.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), max_words=spans.PASSAGE_CUT)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    return chat.read_back(chat.formatted(chat.grouped_turns(rows.unionByName(probe))))
+    return chat.read_back(chat.formatted(chat.mixed_records(chat.grouped_turns(rows.unionByName(probe)))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_media, op3_url_filter, op4_fingerprints, op5_substring_dedup, op6_packing, op7_bpe, op8_ngram_join, op9_quality, op10_chat)}
