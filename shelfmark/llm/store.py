@@ -91,8 +91,3 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
-
-
-def column(df: DataFrame, name: str):
-    """A column by exact name, even if it holds dots."""
-    return df["`" + name.replace("`", "``") + "`"]

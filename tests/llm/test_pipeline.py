@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import pandas as pd
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from test_spans_join import brute_join, brute_spans
 
 from shelfmark.llm import knn, packing
@@ -33,17 +34,44 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     left = [(r[0], r[1]) for r in rows if r[0] % 10 != 3]
     groups = brute_join(left, 5, 80, 100)
     unique = [(d, t) for d, t in left if groups[d][1] == d]
-    final = brute_spans(unique)
-    coder = packing.vocabulary_encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    final = brute_spans(unique, 16)
+    coder = packing.vocabulary_encoder(P.path("byte_bpe_50k.json"), P.PATTERN, True)
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     want = {d: len(ids) + 1 for d, ids in zip(final, coder.encode(list(final.values())), strict=True)}
     assert got.groupby("doc_id").length.sum().to_dict() == want
     assert len(unique) < len(left) and any(final[d] != t for d, t in unique)
 
 
-def test_stages_take_empty_tables(spark):
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns with clashing names."""
+    text, other = "These five words are here. " * 3 + "One more of them. And the last one.", "Nothing like it at all. Is it not so. Yes it is."
+    rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, text, None, None, None), (None, text, "en", "s", 5), (3, None, "en", "s", None), (4, "", "en", "s", 0), (5, "w" * 200000, "en", "s", 9), (6, "long words " * 50000, "en", "s", 9), (None, other, "en", "s", 9), (None, other, "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    pd.DataFrame(rows, columns=docs.columns).astype({"doc_id": "Int64", "n_chars": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame([(1, 1), (2, 1), (3, 0), (5, 1)], columns=["doc_id", "quality"]).to_parquet(tmp_path / "labels.parquet")
+    clash = docs.withColumn("score", F.lit("x")).withColumn("removed_runs", F.lit(1)).withColumn("c0", F.lit(1)).withColumn("tag", F.lit("x")).toDF(*docs.columns, "score", "removed_runs", "c0", "TEXT")
+    for name, stage in corpus_pipeline.STAGES:
+        plain = stage(spark, docs, f"file://{tmp_path}")
+        again = stage(spark, clash, f"file://{tmp_path}")
+        assert plain.columns == again.columns and (name == "packing" or plain.columns == corpus_pipeline.COLUMNS)
+        order = lambda df: sorted(map(str, df.drop("sequence_id", "offset").collect()))
+        assert order(plain) == order(again), name
+        if name == "near_duplicates":
+            kept = sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in plain.collect())
+            assert kept == sorted([(1, len(text)), (3, 0), (4, 0), (5, 200000), (6, 550000), (0, len(other))])
+        if name == "repeated_passages":
+            got = {(r["doc_id"], r["text"], r["n_chars"]) for r in plain.collect()}
+            assert (3, None, None) in got and (4, "", 0) in got and (5, "w" * 200000, 9) in got and plain.count() == len(rows)
+        if name == "packing":
+            assert plain.groupBy("doc_id").agg(F.countDistinct("start", "length", "ids_crc32")).count() == 7
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() > 0
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        out = stage(spark, docs, "unused")
+    docs.toPandas().astype({"doc_id": "int64"}).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame({"doc_id": [1], "quality": [1]}).to_parquet(tmp_path / "labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, f"file://{tmp_path}")
         assert out.count() == 0, name
     assert knn.judged(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 0

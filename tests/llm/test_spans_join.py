@@ -1,34 +1,73 @@
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from shelfmark.llm import graph, ngram_join, spans
-from shelfmark.llm.words import shingle_hashes, words_of
 
 
 def sentence(rng, n):
     return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n)) + "."
 
 
-def brute_spans(rows, min_sentences=2, min_words=20, max_words=16):
+def plain_pieces(text, max_words=None):
+    """(place of the first character, words, whether a sentence begins) of each piece, written without the module's helpers."""
+    found = [(m.start(), m[0]) for m in re.finditer(r"\S+", text or "")]
+    begins = {0: True}
+    for i in range(1, len(found)):
+        end = found[i - 1][0] + len(found[i - 1][1])
+        if found[i - 1][1][-1] in ".!?" or len((text[end : found[i][0]] + "x").splitlines()) > 1:
+            begins[i] = True
+    if max_words:
+        edges = [*sorted(begins), len(found)]
+        width = max_words // 2
+        value = [xxhash.xxh64_intdigest(w.encode()) >> 32 for _, w in found]
+        marks = {max(range(i, i + width), key=lambda k: (-value[k], k)) for i in range(len(found) - width + 1)}
+        for a, b in zip(edges, edges[1:]):
+            for m in marks if b - a >= max_words else ():
+                if a < m < b:
+                    begins[m] = False
+    edges = [*sorted(begins), len(found)]
+    return [(found[a][0], tuple(w for _, w in found[a:b]), begins[a]) for a, b in zip(edges, edges[1:]) if a < b]
+
+
+def plain_runs(pieces, sentences=3, max_words=None, passage_words=20):
+    """(first, past the last) of every run."""
+    n, out = len(pieces), set()
+    whole = [i for i, p in enumerate(pieces) if p[2]] + [n]
+    out |= {(whole[i], whole[i + sentences]) for i in range(len(whole) - sentences)}
+    size = lambda a, b: sum(len(p[1]) for p in pieces[a:b])
+    for i in range(n if max_words else 0):
+        out |= set([(i, j) for j in range(i + 2, n + 1) if size(i, j) >= passage_words][:1])
+        out |= set([(j, i + 1) for j in range(i - 1, -1, -1) if size(j, i + 1) >= passage_words][:1])
+    return out
+
+
+def brute_spans(rows, max_words=None):
     """Places by document in order of id; every later place of a run goes."""
-    first, gone = {}, {}
-    for doc, text in sorted(rows, key=lambda r: r[0]):
-        h, a, b = spans.text_runs(text, min_sentences, min_words, max_words)
+    first, gone, cut = {}, {}, {d: plain_pieces(t, max_words) for d, t in rows}
+    for doc, _ in sorted(rows, key=lambda r: r[0]):
         local = set()
-        for key, x, y in zip(h.tolist(), a.tolist(), b.tolist(), strict=True):
+        for a, b in sorted(plain_runs(cut[doc], max_words=max_words)):
+            key = tuple(w for p in cut[doc][a:b] for w in p[1])
             if first.setdefault(key, doc) != doc or key in local:
-                gone.setdefault(doc, set()).update(range(x, y))
+                gone.setdefault(doc, set()).update(range(a, b))
             local.add(key)
-    return {d: spans.without(t, gone[d], max_words) if d in gone else t for d, t in rows}
+    out = {}
+    for doc, text in rows:
+        at = [p[0] for p in cut[doc]] + [len(text or "")]
+        out[doc] = "".join([text[: at[0]], *[text[at[i] : at[i + 1]] for i in range(len(cut[doc])) if i not in gone[doc]]]) if doc in gone else text
+    return out
 
 
-def test_spans_against_brute_force(spark):
+@pytest.mark.parametrize("max_words", [None, 16])
+def test_spans_against_brute_force(spark, max_words):
     rng = random.Random(5)
     passage = " ".join(sentence(rng, k) for k in (9, 12, 30, 8))
-    long_sentence = sentence(rng, 70)
+    long_sentence, short = sentence(rng, 70), "Five words are in here. So few. And five in here too."
     rows = []
     for i in range(60):
         parts = [sentence(rng, rng.randrange(1, 20)) for _ in range(rng.randrange(1, 8))]
@@ -36,18 +75,32 @@ def test_spans_against_brute_force(spark):
             parts.insert(rng.randrange(len(parts) + 1), passage)
         if i % 7 == 0:
             parts.insert(0, "lead in words " + long_sentence)
+        if i % 5 == 0:
+            parts.insert(rng.randrange(len(parts) + 1), short)
         rows.append((i, rng.choice([" ", "\n"]).join(parts)))
-    rows += [(100, None), (101, ""), (102, " \n "), (103, "short."), (104, "Und " * 3000), (105, "Und " * 3000), (106, passage * 3)]
+    rows += [(100, None), (101, ""), (102, " \n "), (103, "short."), (104, "Und " * 3000), (105, "Und " * 3000), (106, passage * 3), (107, f" \n{short}\n\n"), (108, f"{short} {short}")]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, gone string").repartition(4)
-    got = {r["doc_id"]: (r["text"], r["gone"], r["removed_runs"]) for r in spans.deduplicated(docs).collect()}
-    want = brute_spans(rows)
+    got = {r["doc_id"]: (r["text"], r["gone"], r["removed_runs"]) for r in spans.deduplicated(docs, max_words=max_words).collect()}
+    want = brute_spans(rows, max_words)
     assert {d: t[0] for d, t in got.items()} == want and {t[1] for t in got.values()} == {"c"}
     kept = [d for d, t in rows if t and passage in t and passage in got[d][0]]
-    assert kept == [0]
-    assert got[103][2] == 0 and got[100][0] is None
+    assert kept == [0] and [d for d, t in rows if t and short in t and short in got[d][0]] == [0]
+    assert got[103][2] == 0 and got[100][0] is None and (got[105][0] == "") == bool(max_words)
+    assert max_words or "lead in words" not in got[7][0] or long_sentence in got[7][0]
     assert spans.deduplicated(docs.where("false")).count() == 0
 
 
+def test_sentences_are_whole_by_default(spark):
+    """Without cutting, nothing but whole sentences goes."""
+    rng = random.Random(14)
+    passage = " ".join(words(rng, 60))
+    rows = [(i, f"{sentence(rng, 9)} lead {i} {passage} tail {i}. {sentence(rng, 5)}") for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows)
+    got = {r["doc_id"]: r["text"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), max_words=spans.PASSAGE_CUT).collect()}
+    assert got[0] == rows[0][1] and all(len(got[i].split()) < len(rows[i][1].split()) - 40 and f"lead {i}" in got[i] for i in (1, 2))
+
+
 def test_repeated_rows_stay_alike(spark):
     rng = random.Random(6)
     text = " ".join(sentence(rng, 12) for _ in range(5))
@@ -72,7 +125,7 @@ def test_closing_sentences_of_a_passage_go(spark):
     for lengths in ((15, 15, 3), (3, 15, 15), (12, 9, 14, 1, 2)):
         passage = " ".join(sentence(rng, n) for n in lengths)
         rows = [(i, f"{sentence(rng, 9)} {passage} {sentence(rng, 9)}") for i in range(4)]
-        got = {r["doc_id"]: r["text"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        got = {r["doc_id"]: r["text"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), max_words=spans.PASSAGE_CUT).collect()}
         assert got == {i: t if i == 0 else t.replace(f"{passage} ", "") for i, t in rows}
 
 
@@ -95,8 +148,8 @@ def shared_words(passage, rng):
     starts = [next(i for i in range(len(t)) if t[i : i + len(passage)] == passage) for t in texts]
     found = []
     for t in texts:
-        h, a, b = spans.text_runs(" ".join(t), 2, 20, 16)
-        begins = spans._begins(spans._hashed(t), [0], 16)
+        h, _, a, b = spans.text_runs(" ".join(t), 3, 16, 20)
+        begins, _ = spans._begins(spans._hashed(t), [0], 16)
         found.append({(k, tuple(t[x:y])): (x, y) for k, x, y in zip(h.tolist(), begins[a].tolist(), begins[b].tolist(), strict=True)})
     assert {k for k, _ in found[0]} & {k for k, _ in found[1]} == {k for k, _ in found[0].keys() & found[1].keys()}
     got = set()
@@ -113,8 +166,16 @@ def test_passages_over_50_words_always_hold_a_run():
     assert [p for p in passages if not shared_words(p, rng)] == []
 
 
+def plain_shingles(text, width):
+    """Written without the module's helpers."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if len(found) < width:
+        return {tuple(found)} if found else set()
+    return {tuple(found[i : i + width]) for i in range(len(found) - width + 1)}
+
+
 def brute_join(rows, width, part, whole):
-    sets = {d: set(shingle_hashes(words_of(t), width).tolist()) for d, t in rows}
+    sets = {d: plain_shingles(t, width) for d, t in rows}
     parent = {d: d for d in sets}
 
     def find(x):
@@ -159,14 +220,51 @@ def test_join_edges(spark):
     assert ngram_join.linked(docs.where("false")).count() == 0
 
 
-def test_histograms_never_reject_similar_sets():
+def test_join_of_a_large_group_of_near_copies(spark):
+    """No pair is listed for members of one component, and few for those that only come near."""
+    rng = random.Random(12)
+    base = words(rng, 120)
+    rows = []
+    for i in range(900):
+        text, changes = list(base), 0 if i % 9 == 0 else rng.randrange(1, 7)
+        for _ in range(changes):
+            text[rng.randrange(len(text))] = "x%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(docs).collect()}
+    assert got == brute_join(rows, 4, 85, 100)
+    assert len({c for _, c in got.values()}) > 20
+
+
+def test_join_takes_long_texts_and_clashing_columns(spark):
+    rng = random.Random(13)
+    long = words(rng, 30000)
+    rows = [(1, " ".join(long)), (2, " ".join(long[:28000])), (3, " ".join(long[:20000])), (4, "w" * 300000), (5, "w" * 300000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("n", "s", "k", "c", "o", "l", "TEXT", "sketch"):
+        docs = docs.withColumn(name + ("" if name != "TEXT" else " "), F.lit("clash"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(docs).collect()}
+    assert got == brute_join(rows, 4, 85, 100) and got[2][1] == 1 and got[3][1] == 3 and got[5][1] == 4
+
+
+def test_ids_with_several_texts_join_their_links(spark):
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(5, a), (3, a), (5, b), (7, b), (7, c), (9, c), (None, c), (11, "none like it"), (11, "")]
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got if r["doc_id"] in (3, 5, 7, 9)} == {3} and {r["component_id"] for r in got if r["doc_id"] == 11} == {11}
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None] and len(got) == len(rows)
+
+
+def test_sketches_never_reject_similar_sets():
     rng = np.random.default_rng(8)
     for n in (3, 20, 200, 5000):
         a = np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: n * 9 // 10], rng.integers(0, 2**64 - 1, n // 3, dtype=np.uint64)]))
         apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
-        assert ngram_join.least_difference(ngram_join.histogram(a), ngram_join.histogram(b)) <= apart
-        assert ngram_join.least_difference(ngram_join.coarse_histogram(a), ngram_join.coarse_histogram(b)) <= apart
+        x, y = ngram_join.sketch(a), ngram_join.sketch(b)
+        assert ngram_join.least_difference(x, y) <= apart
+        assert ngram_join.least_difference(ngram_join.folded(x, 128), ngram_join.folded(y, 128)) <= apart
+        assert ngram_join.least_difference(x, x) == 0 and ngram_join.least_difference(x, y) > apart // 2
 
 
 def test_components(spark):
@@ -186,8 +284,29 @@ def test_components(spark):
     got = {r["v"]: r["c"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {v: find(v) for a, b in edges if a != b for v in (a, b)}
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    first = graph.components(spark.createDataFrame(edges[:50], "u long, v long"))
+    got = {r["v"]: r["c"] for r in graph.merged(first, spark.createDataFrame(edges[30:], "u long, v long")).collect()}
+    assert got == {v: find(v) for a, b in edges if a != b for v in (a, b)}
 
 
 def test_extra_columns_survive(spark):
-    docs = spark.createDataFrame([(1, "t", 2)], "doc_id long, text string, h int").withColumn("first", F.lit(1))
-    assert spans.deduplicated(docs).columns == ["doc_id", "text", "h", "first", "removed_runs"]
+    names = ["doc_id", "text", "TEXT", "gone", "doc", "rid", "removed_runs", "Removed_Runs_1", "c0", "a.b", "__doc"]
+    rows = [(i, "One is here. Two is here. Three is here.", f"own {i}", *["x"] * 8) for i in range(3)]
+    docs = spark.createDataFrame(rows, [f"n{i}" for i in range(len(names))]).toDF(*names)
+    out = spans.deduplicated(docs)
+    assert out.columns == [*names, "removed_runs_2"]
+    assert sorted((r[0], r[1], r[2], r[10], r[11]) for r in out.collect()) == [(0, rows[0][1], "own 0", "x", 0), (1, "", "own 1", "x", 1), (2, "", "own 2", "x", 1)]
+    assert ngram_join.linked(docs, 2).where("component_id = 0").count() == 3
+
+
+def test_representatives(spark):
+    rng = random.Random(15)
+    text, other = " ".join(words(rng, 40)), " ".join(words(rng, 30))
+    near = text + " tail"
+    rows = [(1, text, "a"), (1, text, "a"), (2, near, "b"), (None, text, "c"), (None, text, "d"), (1, other, "e"), (5, other, "f"), (None, "alone here", "g"), (None, "alone here", "g"), (7, "", "h"), (7, None, "h"), (7, "", "h"), (9, "alone too", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(3)
+    got = ngram_join.representatives(docs)
+    assert got.columns == ["doc_id", "text", "tag"]
+    kept = sorted(((r["doc_id"], r["text"], r["tag"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, text, "a"), (1, other, "e"), (None, "alone here", "g"), (7, "", "h"), (7, None, "h"), (7, "", "h"), (9, "alone too", "i")], key=str)
+    assert ngram_join.representatives(docs.where("false")).count() == 0

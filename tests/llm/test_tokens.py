@@ -32,11 +32,37 @@ def test_encoder(reference):
         assert coder.decode(ids) == text.encode()
 
 
-def test_long_words_take_the_heap(reference):
+def test_long_words_are_rows_of_their_own(reference):
     coder = bpe.encoder(RANKS, P.PATTERN)
     rng = random.Random(2)
-    for word in ("a" * 5000, "".join(rng.choices("abcde", k=6000))):
-        assert coder._heap(word.encode()).tolist() == reference.encode_ordinary(word)
+    words = ["a" * 5000, "a" * 5001, "".join(rng.choices("abcde", k=6000)), "".join(rng.choices("th", k=9000)), "".join(rng.choices("thequickbrown", k=60000)), "é" * 4097]
+    for word in words:
+        assert coder._row(word.encode()).tolist() == reference.encode_ordinary(word)
+    assert [x.tolist() for x in coder.encode(words)] == [reference.encode_ordinary(w) for w in words]
+    for word in ["a", "ab", "hello", "ing", "zqzq", "aaa"]:
+        assert coder._row(word.encode()).tolist() == reference.encode_ordinary(word)
+
+
+def plain_merges(word, ranks):
+    """Byte pair encoding written out: the leftmost pair of least rank, again and again."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], 10**9), i) for i in range(len(parts) - 1))
+        if rank == 10**9:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_rows_where_a_merge_makes_a_lower_rank():
+    """Ranks that no training gives: merging the second pair makes a pair that goes first."""
+    ranks = {bytes([b]): 300 + b for b in range(256)} | {b"ab": 90, b"abc": 5, b"ca": 50, b"abca": 4, b"aa": 60, b"aaa": 7, b"aaaa": 8}
+    rng = random.Random(3)
+    coder = bpe.Encoder(ranks, P.PATTERN)
+    for _ in range(300):
+        word = bytes(rng.choices(b"abcaa", k=rng.randrange(1, 40)))
+        assert coder._row(word).tolist() == plain_merges(word, ranks)
+        assert coder.merged_rows([word])[0].tolist() == plain_merges(word, ranks)
 
 
 def test_pair_table():
@@ -62,19 +88,38 @@ def test_encoded_table(spark, reference):
     assert bpe.encoded(docs.where("false"), RANKS, P.PATTERN).count() == 0
 
 
+ADDED = ["<|endoftext|>", "<|endoftext|> x", "a <|endoftext|> b", "tail<|endoftext|>", "<|endoftext|><|endoftext|>\n", "<|endoftext|", "x<|endoftext|>" * 300]
+
+
 def test_vocabulary_encoder_is_the_library():
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
-    coder = packing.vocabulary_encoder(JSON, P.PATTERN)
+    assert packing.same_merges(JSON, P.PATTERN) and not packing.same_merges(JSON, P.PATTERN + "|x") and not packing.same_merges(P.path("word_bpe_49k.json"), P.PATTERN)
+    coder = packing.vocabulary_encoder(JSON, P.PATTERN, True)
     assert coder.engine is not None
-    assert [x.tolist() for x in coder.encode(TEXTS)] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
+    rng = random.Random(6)
+    texts = TEXTS + ["".join(rng.choices("abcdefgh é.,\n'tsd 019ßñ", k=rng.randrange(300))) for _ in range(400)] + ADDED
+    assert [x.tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.encode(["<|endoftext|> x"])[0].tolist() == [50256, 2124]
+    slow = packing.vocabulary_encoder(JSON, P.PATTERN, False)
+    assert slow.engine is None and [x.tolist() for x in slow.encode(texts)] == [x.tolist() for x in coder.encode(texts)]
+    library.encode_special_tokens = True
+    assert [x.tolist() for x in packing.vocabulary_encoder(JSON, P.PATTERN, True, False).encode(ADDED)] == [library.encode(t, add_special_tokens=False).ids for t in ADDED]
+
+
+def test_every_code_point_is_split_alike():
+    """The engine and the library know the same letters, numbers and spaces."""
+    library, coder = Tokenizer.from_file(JSON), packing.vocabulary_encoder(JSON, P.PATTERN, True)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b 1{c}2 !{c}?{c}{c}" for c in points[i : i + 3000]) for i in range(0, len(points), 3000)]
+    for begin in range(0, len(texts), 20):
+        part = texts[begin : begin + 20]
+        assert all(np.array_equal(x, np.array(e.ids, np.uint32)) for x, e in zip(coder.encode(part), library.encode_batch_fast(part, add_special_tokens=False), strict=True))
 
 
 def test_packing(spark):
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     rng = random.Random(4)
-    texts = ["".join(rng.choices(["the ", "cat ", "zq", "\n", "é"], k=int(rng.expovariate(1 / 600)))) for _ in range(400)] + ["the " * 9000, "", None, "same text"] + ["same text"] * 50
+    texts = ["".join(rng.choices(["the ", "cat ", "zq", "\n", "é"], k=int(rng.expovariate(1 / 600)))) for _ in range(400)] + ["the " * 9000, "", None, "same text"] + ["same text"] * 50 + ADDED
     rows = [(i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bin", F.lit("clash")).repartition(5)
     got = packing.packed(docs, JSON, P.PATTERN).toPandas()
