@@ -29,6 +29,7 @@ texts link with; a null id links nothing and has a null component; extra columns
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,8 @@ BAND_RATIO = 1.3
 SPARE, CHANCE = 0.25, 0.05
 #: Bits of the sketches that are compared inside index groups, bits of the largest ones, and members of a block.
 COARSE, FINE, BLOCK = 1 << 10, 1 << 15, 128
+#: In how many passes over the entries their hashes are counted, which divides the disk that the shuffle takes.
+COUNT_PASSES = 2
 #: Bytes of a text for each of its shingles, for the cost model.
 BYTES_A_WORD = 6.5
 
@@ -383,12 +386,17 @@ def _linked(rows: DataFrame, width: int, threshold: Threshold, by_id: bool) -> D
     members = heads.drop("sketch")
     # entries that there is one of are left behind by a count of hashes alone; then those of one class
     keyed = both.where("s is not null")
-    shared = written(keyed.select("s").groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared")
-    freed(spark)
+    counted = []
+    for part in range(COUNT_PASSES):  # the shuffle of one part is given back before the next
+        own = keyed.select("s").where(F.pmod(F.col("s"), F.lit(COUNT_PASSES)) == part)
+        counted.append(written(own.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared"))
+        freed(spark)
+    shared = reduce(DataFrame.union, counted)
     few = bloom.thinned(keyed.select("s", "c", "n", "band", "spare"), F.col("s"), shared.select(F.col("s").alias("h")), 8)
     pool = written(few.groupBy("s", "c", "n", "band", "spare").agg(F.count("*").alias("copies")).drop("copies"), "pool")
     dropped(both)
-    dropped(shared)
+    for table in counted:
+        dropped(table)
     freed(spark)
     several = pool.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
     # the costliest entries of a text in a band go while they are at most ``spare``; equal costs go together
