@@ -21,11 +21,11 @@ def rules(files: DataFrame, key: str = "origin", body: str = "body") -> DataFram
     inside = field.where("kind != 'sitemap'")
     opens = (F.col("kind") == "user-agent") & (F.coalesce(F.lag("kind").over(order), F.lit("")) != "user-agent")
     blocks = inside.withColumn("block", F.sum(opens.cast("int")).over(order))
-    agents = blocks.where("kind = 'user-agent'").select(key, "block", F.lower("value").alias("agent")).distinct()
-    own = blocks.where("kind in ('allow', 'disallow', 'crawl-delay') and block > 0").join(agents, [key, "block"])
+    agents = blocks.where("kind = 'user-agent'").groupBy(key, "block", F.lower("value").alias("agent")).agg(F.min("line").alias("agent_line"))
+    own = blocks.where("kind in ('allow', 'disallow', 'crawl-delay') and block > 0").join(agents.drop("agent_line"), [key, "block"])
     maps = field.where("kind = 'sitemap'").select(key, F.lit(None).cast("string").alias("agent"), "kind", "value", "line")
-    # an agent without lines still counts as a group
-    bare = agents.select(key, "agent", F.lit("group").alias("kind"), F.lit("").alias("value"), F.lit(-1).alias("line"))
+    # an agent without lines still counts as a group; its line, below 0, tells where the agent came first
+    bare = agents.groupBy(key, "agent").agg((-1 - F.min("agent_line")).alias("line")).select(key, "agent", F.lit("group").alias("kind"), F.lit("").alias("value"), "line")
     return own.select(key, "agent", "kind", "value", "line").unionByName(maps).unionByName(bare)
 
 
@@ -36,8 +36,8 @@ def agent_token(user_agent: Column) -> Column:
 def applying(rule_rows: DataFrame, token: str, key: str = "origin") -> DataFrame:
     """The rules of the group for ``token``: an agent that is the token or a prefix of it, the last such group, else ``*``."""
     fit = F.lit(token).startswith(F.col("agent")) & (F.col("agent") != "*") & (F.col("agent") != "") if token else F.lit(False)
-    named = rule_rows.where(F.col("agent").isNotNull() & (fit | (F.col("agent") == "*")))
-    place = F.struct((F.col("agent") != "*").alias("named"), F.length("agent").alias("n"))
+    named = rule_rows.where("kind = 'group'").where(fit | (F.col("agent") == "*"))
+    place = F.struct((F.col("agent") != "*").alias("named"), (-F.col("line")).alias("at"))
     best = named.groupBy(key).agg(F.max_by("agent", place).alias("agent"))
     return rule_rows.join(best, [key, "agent"], "left_semi")
 
@@ -62,6 +62,15 @@ def allowed(paths: DataFrame, rule_rows: DataFrame, key: str = "origin") -> Data
     return tagged.join(best, [key, "__path"], "left").select(*paths.columns, (~F.coalesce(blocked, F.lit(False))).alias("allowed"), F.when(blocked, F.col("d.value")).alias("rule"))
 
 
+def allowed_by_origin(paths: DataFrame, answers: DataFrame, token: str) -> DataFrame:
+    """paths (origin, path) with ``policy``, ``allowed`` and ``rule``: what robots.txt of the origin says (answers: origin, status, body; one a row); an origin never asked is disallowed."""
+    policy = answers.select("origin", fetch_policy(F.col("status")).alias("policy"))
+    read = answers.join(policy.where("policy = 'read'"), "origin", "left_semi")
+    judged = allowed(paths.join(policy, "origin", "left"), applying(rules(read), token))
+    verdict = F.when(F.col("policy") == "read", F.col("allowed")).otherwise(F.coalesce(F.col("policy") == "allow_all", F.lit(False)))
+    return judged.select(*paths.columns, F.coalesce("policy", F.lit("disallow_all")).alias("policy"), verdict.alias("allowed"), F.when(F.col("policy") == "read", F.col("rule")).alias("rule"))
+
+
 def fetch_policy(status: Column) -> Column:
     """What the answer to robots.txt itself means: read, allow_all (4xx) or disallow_all (5xx or no answer)."""
-    return F.when(status.between(200, 299), "read").when(status.between(400, 499), "allow_all").otherwise("disallow_all")
+    return F.when(status.between(200, 299), "read").when(status.between(400, 499), "allow_all").otherwise("disallow_all")  # null too

@@ -35,16 +35,16 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.where("change is not null").select("source_url", "external_id", F.coalesce("new_title", "old_title").alias("title"), "change", "old_price", "new_price", delta.alias("delta"), pct.alias("pct"), "old_stock", "new_stock", "old_scan", "new_scan")
 
 
-def latest_two(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the scan before the last and of the last scan of every source that was scanned twice."""
-    two = ranked_scans(rows, 2)
+def latest_two(rows: DataFrame, scans: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the scan before the last and of the last scan of every source that was scanned twice. A ledger ``scans`` with first_seen saves ranking them by their rows."""
+    two = ranked_scans(rows if scans is None or "first_seen" not in scans.columns else scans, 2)
     twice = two.where("place = 2").select("source_url")
     pick = lambda k: rows.join(two.where(F.col("place") == k).join(twice, "source_url", "left_semi").select("source_url", "scan_id"), ["source_url", "scan_id"], "left_semi")
     return pick(2), pick(1)
 
 
-def latest_changes(rows: DataFrame) -> DataFrame:
-    old, new = latest_two(rows)
+def latest_changes(rows: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    old, new = latest_two(rows, scans)
     return compared(old, new)
 
 

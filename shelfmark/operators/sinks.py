@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.snapshot import first_wins
@@ -46,29 +46,44 @@ def stamped(rows: DataFrame, scan_id: str, source_url: str, store: str, platform
 
 
 def append_listings(batch: DataFrame, path: str) -> int:
-    """Append the rows of a batch that are not written yet: the first of each (scan_id, external_id); blank ids never clash. Partitioned by store.
+    """Append the rows of a batch that are not written yet: the first of each (scan_id, external_id), and rows without an id by their place, so that a replay adds none.
 
-    Returns how many rows were appended.
+    The table is partitioned by store and scan, and only the partitions of the batch's scans are read. The batch is worked out once. Returns how many
+    rows were appended.
     """
     spark = batch.sparkSession
-    fresh = first_wins(batch)
+    fresh = first_wins(batch).withColumn("__key", row_key())
+    if _exists(spark, path):
+        have = spark.read.schema(batch.schema).parquet(path)
+        scans = [r["scan_id"] for r in batch.select("scan_id").distinct().limit(MOST_SCANS + 1).collect()]
+        if len(scans) <= MOST_SCANS:  # names of partitions: the others are not even listed
+            have = have.where(F.col("scan_id").isin([x for x in scans if x is not None]) | F.lit(None in scans) & F.col("scan_id").isNull())
+        written = have.select(F.col("scan_id").alias("__scan"), row_key().alias("__written"))
+        fresh = fresh.join(written, F.col("scan_id").eqNullSafe(F.col("__scan")) & (F.col("__key") == F.col("__written")), "left_anti")
+    seen = Observation()
+    fresh.drop("__key").observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("store", "scan_id").parquet(path)
+    return seen.get["n"]
+
+
+#: Up to so many scans of a batch prune the table's partitions by name.
+MOST_SCANS = 1000
+
+
+def row_key() -> Column:
+    """What tells a row from others of its scan: its id, or without one its place."""
+    return F.coalesce(F.concat(F.lit("id "), "external_id"), F.concat(F.lit("at "), F.to_json(F.struct("row_seq"))))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jvm_path):
-        scans = fresh.select("scan_id").distinct()
-        have = spark.read.parquet(path).select("scan_id", "external_id").join(scans, "scan_id", "left_semi").where("external_id is not null")
-        fresh = fresh.join(have, ["scan_id", "external_id"], "left_anti")
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").partitionBy("store").parquet(path)
-    return n
+    return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jvm_path)
 
 
 def append_ledger(finished: DataFrame, path: str) -> None:
     """One ledger row for each finished scan that has none yet."""
     spark = finished.sparkSession
     rows = scan_ledger(finished)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jvm_path):
+    if _exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select("scan_id"), "scan_id", "left_anti")
     rows.write.mode("append").parquet(path)
 

@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from shelfmark.schema import HEAVY_COLUMNS, PAGE_DEFAULT, PAGE_LIMIT
 
 
+#: Whether a row's scan is the newest of its source, where the ledger told it.
+LATEST = "latest_scan"
+
+
 @dataclass(frozen=True)
 class FilterSpec:
     """A conjunction; empty parts pass. ``latest_only`` picks the newest scan of each source before anything else."""
@@ -52,8 +56,15 @@ def latest_scans(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_url").agg(F.min_by("scan_id", newest_first()).alias("scan_id"))
 
 
+def latest_of_ledger(scans: DataFrame) -> DataFrame:
+    """The same from a ledger that knows each scan's newest row: a row a scan instead of all listings."""
+    return scans.groupBy(F.col("entered_url").alias("source_url")).agg(F.min_by("scan_id", newest_first("finished", "newest_seq")).alias("scan_id"))
+
+
 def latest_snapshot(rows: DataFrame, finished_only: bool = False) -> DataFrame:
-    """All rows of the newest scan of each source; ``finished_only`` leaves scans without a ledger row aside."""
+    """All rows of the newest scan of each source; ``finished_only`` leaves scans without a ledger row aside. A column LATEST from the ledger saves looking for it."""
+    if LATEST in rows.columns:
+        return rows.where(LATEST)
     pool = rows.where(F.col("verdict").isNotNull()) if finished_only else rows
     return rows.join(latest_scans(pool), ["source_url", "scan_id"], "left_semi")
 
@@ -100,13 +111,13 @@ def page(rows: DataFrame, number: int = 1, size: int = PAGE_DEFAULT, name: str =
     total = rows.count() if total is None else total
     last = max(1, -(-total // size))
     number = max(1, min(number, last))
-    return rows.drop(*HEAVY_COLUMNS).orderBy(*order_by(rows, name, descending)).offset((number - 1) * size).limit(size)
+    return rows.drop(*HEAVY_COLUMNS, LATEST).orderBy(*order_by(rows, name, descending)).offset((number - 1) * size).limit(size)
 
 
 def first_wins(rows: DataFrame) -> DataFrame:
-    """One row for each external_id of a scan, the first; rows without an id all stay. Whole rows are not gathered: a partial aggregate keeps one a key."""
-    named = rows.where("external_id is not null").groupBy("scan_id", "external_id").agg(F.min_by(F.struct(*rows.columns), F.col("row_seq")).alias("x")).select("x.*")
-    return named.unionByName(rows.where("external_id is null"))
+    """One row for each external_id of a scan, the first; rows without an id all stay, each by its own place. One partial aggregate keeps one row a key."""
+    own = F.when(F.col("external_id").isNull(), F.col("row_seq"))
+    return rows.groupBy("scan_id", "external_id", own.alias("__own")).agg(F.min_by(F.struct(*rows.columns), F.col("row_seq")).alias("__x")).select("__x.*")
 
 
 def last_wins(rows: DataFrame, *keys: str) -> DataFrame:
@@ -116,7 +127,10 @@ def last_wins(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def ranked_scans(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """(source_url, scan_id, seen, rows, place): scans of each source by the time of their first row, newest first."""
-    per = rows.groupBy("source_url", "scan_id").agg(F.min_by("captured_at", "row_seq").alias("seen"), F.count("*").alias("rows"))
+    """(source_url, scan_id, seen, rows, place): scans of each source by the time of their first row, newest first; from listings, or from a ledger that has first_seen."""
+    if "first_seen" in rows.columns:
+        per = rows.select(F.col("entered_url").alias("source_url"), "scan_id", F.col("first_seen").alias("seen"), F.col("n_rows").alias("rows"))
+    else:
+        per = rows.groupBy("source_url", "scan_id").agg(F.min_by("captured_at", "row_seq").alias("seen"), F.count("*").alias("rows"))
     out = per.withColumn("place", F.row_number().over(Window.partitionBy("source_url").orderBy(F.desc("seen"), F.desc("scan_id"))))
     return out if most is None else out.where(F.col("place") <= most)

@@ -33,10 +33,11 @@ def mostly_missing() -> Column:
 
 def scan_ledger(listings: DataFrame) -> DataFrame:
     """One row a scan with its measured verdict; ``listings`` carry the rung that yielded them."""
-    fills = scan_fills(listings, F.max("rung").alias("rung"), F.min("captured_at").alias("started"), F.max("captured_at").alias("finished"), F.min("row_seq").alias("row_seq"), F.first("source_url").alias("entered_url"), F.first("platform").alias("platform"))
+    newest = F.min(F.struct((-F.unix_micros(F.col("captured_at").cast("timestamp"))).alias("age"), F.col("row_seq").alias("seq")))["seq"]
+    fills = scan_fills(listings, F.min_by("captured_at", "row_seq").alias("first_seen"), newest.alias("newest_seq"), F.max("rung").alias("rung"), F.min("captured_at").alias("started"), F.max("captured_at").alias("finished"), F.min("row_seq").alias("row_seq"), F.first("source_url").alias("entered_url"), F.first("platform").alias("platform"))
     price_fill = F.col("n_price") / F.col("n")
     key_fill = F.least(*[F.col(f"n_{c}") / F.col("n") for c in KEY_FIELDS])
-    return fills.select("scan_id", "started", "finished", "entered_url", "platform", "rung", F.col("n").alias("n_rows"), half_up(price_fill * 100, 1).alias("price_fill_pct"), mostly_missing().alias("mostly_missing"), verdict(F.col("n"), F.col("rung"), price_fill, key_fill).alias("verdict"), "row_seq")
+    return fills.select("scan_id", "started", "finished", "entered_url", "platform", "rung", F.col("n").alias("n_rows"), half_up(price_fill * 100, 1).alias("price_fill_pct"), mostly_missing().alias("mostly_missing"), verdict(F.col("n"), F.col("rung"), price_fill, key_fill).alias("verdict"), "row_seq", "first_seen", "newest_seq")
 
 
 def worst(verdicts: Column) -> Column:

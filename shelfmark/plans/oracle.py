@@ -129,8 +129,8 @@ UNION ALL SELECT 4, 'mid', 'distant_scans', floor(days + 0.5)::BIGINT || ' days'
     "url_scan_counts": over("SELECT source_url, count(DISTINCT scan_id) AS scans, count(*) AS rows FROM listings GROUP BY source_url"),
     "number_format": over("SELECT store, replace(format('{:,}', floor(max(price) + 0.5)::BIGINT), ',', '.') AS highest FROM listings WHERE price IS NOT NULL GROUP BY store"),
     "scan_so_far": over("SELECT count(*) AS rows, count(DISTINCT external_id) AS ids, count(price) AS filled_price, count(currency) AS filled_currency, count(title) AS filled_title FROM listings WHERE scan_id = 'NATION_3-1997'"),
-    "csv_lines": over(f"SELECT concat_ws(',', scan_id, title, coalesce(price::VARCHAR, ''), coalesce(currency, ''), source_url) AS line, {SEQ} FROM latest WHERE store = 'NATION_3'"),
-    "ingest_idempotent": over("SELECT store, scan_id, count(DISTINCT external_id) AS rows, count(DISTINCT external_id) AS ids FROM listings WHERE store IN ('NATION_3', 'NATION_4') GROUP BY store, scan_id"),
+    "csv_lines": over(f"SELECT concat_ws(',', scan_id, title, coalesce(price::VARCHAR, ''), coalesce(currency, ''), source_url) AS line, {SEQ} FROM latest").replace("scan_id, title, coalesce", "scan_id, '\"' || title || '; \"\"' || brand || '\"\"\"', coalesce"),
+    "ingest_idempotent": over("SELECT store, scan_id, count(DISTINCT external_id) FILTER (l_partkey % 17 <> 0) + count(*) FILTER (l_partkey % 17 = 0) AS rows, count(DISTINCT external_id) FILTER (l_partkey % 17 <> 0) AS ids FROM listings GROUP BY store, scan_id"),
 }
 
 # the eight stores with most priced rows, and the forty categories; six there are

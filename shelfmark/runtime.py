@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows of an Arrow batch where the session leaves Spark's default: texts can be long, and a worker holds a batch several times over.
@@ -34,6 +35,13 @@ def shipped(spark: SparkSession) -> SparkSession:
 LOCAL_SCRATCH = "file:///tmp/checkpoints/shelfmark"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read back from a Parquet table in the shared folder, so that what reads them several times works them out once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The URI of the folder that driver and executors share, without a slash at its end."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators.snapshot import LATEST, latest_of_ledger
 from shelfmark.operators.trust import scan_ledger
+from shelfmark.runtime import materialized
 
 SEQ = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
@@ -18,10 +20,14 @@ class Store:
 
     listings: DataFrame
     scans: DataFrame
+    complete: bool = False
 
     def joined(self) -> DataFrame:
         """Listings with verdict and rung of their scan (null without a ledger row); the ledger keeps one row a scan, the last."""
         last = self.scans.groupBy("scan_id").agg(F.max_by(F.struct("verdict", "rung"), "row_seq").alias("x")).select("scan_id", "x.verdict", "x.rung")
+        if self.complete:  # every scan is in the ledger, so that it tells the latest of each source as well
+            latest = latest_of_ledger(self.scans).select("scan_id", F.lit(True).alias(LATEST))
+            last = last.join(latest, "scan_id", "left").withColumn(LATEST, F.coalesce(LATEST, F.lit(False)))
         return self.listings.where("scan_id is not null").join(last, "scan_id", "left")
 
 
@@ -51,5 +57,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
+    """Listings, and their ledger: written once a session and folder, a row a scan, as a store keeps it."""
     rows = listings(spark, sf_dir)
-    return Store(rows.drop("rung"), scan_ledger(rows))
+    ledgers = spark.sparkContext.__dict__.setdefault("_shelfmark_ledgers", {})
+    if sf_dir not in ledgers:
+        ledgers[sf_dir] = materialized(scan_ledger(rows), "ledger")
+    return Store(rows.drop("rung"), ledgers[sf_dir], True)

@@ -47,7 +47,6 @@ def test_streaming_restart_adds_nothing(spark, tmp_path):
 
 
 def test_ingestion_takes_all_stores(spark, db):
-    whole = SQL["ingest_idempotent"].replace("WHERE store IN ('NATION_3', 'NATION_4') ", "")
     got = ingested_counts(spark, DATA).toPandas()
-    assert rows(got) == rows(db.execute(whole).fetchdf())
+    assert rows(got) == rows(db.execute(SQL["ingest_idempotent"]).fetchdf()) and (got["rows"] > got["ids"]).any()
     assert got["store"].nunique() == 10  # all that this small table has
