@@ -118,6 +118,11 @@ def dotted(x: Column) -> Column:
     return F.translate(F.format_number(F.floor(x + 0.5), 0), ",", ".")
 
 
+def day(text: Column) -> Column:
+    """A date or a moment from text; null if it is neither."""
+    return F.try_to_timestamp(F.replace(trimmed(text), F.lit("T"), F.lit(" ")))
+
+
 def days_between(a: Column, b: Column) -> Column:
     return F.abs(F.unix_micros(a) - F.unix_micros(b)) / 86400e6
 

@@ -48,6 +48,23 @@ def latest_changes(rows: DataFrame, scans: DataFrame | None = None) -> DataFrame
     return compared(old, new)
 
 
+def caveats(rows: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """(source_url, code, detail) of what to mind about the changes of each source: one_scan, half_day, identical, gone."""
+    ranked = ranked_scans(rows if scans is None or "first_seen" not in scans.columns else scans, 2)
+    seen = F.unix_micros(F.col("seen").cast("timestamp")) / 86400e6
+    per = ranked.groupBy("source_url").agg(F.count("*").alias("scans"), F.abs(F.max(F.when(F.col("place") == 1, seen)) - F.max(F.when(F.col("place") == 2, seen))).alias("days"))
+    found = latest_changes(rows, scans).groupBy("source_url").agg(F.count("*").alias("changes"), F.count_if(F.col("change") == "GONE").alias("gone"))
+    twice, n = F.col("scans") > 1, F.coalesce("changes", F.lit(0))
+    make = lambda code, when, detail: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(detail).alias("detail") if isinstance(detail, str) else detail.alias("detail")))
+    says = F.array_compact(F.array(
+        make("one_scan", ~twice, "needs at least two scans"),
+        make("half_day", twice & (F.col("days") < 0.5), "less than half a day apart: likely an hourly offer, not a change of price"),
+        make("identical", twice & (n == 0), "both scans are the same"),
+        make("gone", twice & (F.coalesce("gone", F.lit(0)) > 0), F.concat(F.col("gone").cast("string"), F.lit(" rows gone may also mean a page limit or new ids"))),
+    ))
+    return per.join(found, "source_url", "left").select("source_url", F.explode(says).alias("x")).select("source_url", "x.*")
+
+
 def consecutive_changes(rows: DataFrame) -> DataFrame:
     """The same over every pair of consecutive scans: (source_url, external_id, scan_id, previous price, price)."""
     from pyspark.sql import Window

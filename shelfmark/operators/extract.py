@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import html as H
 from shelfmark.functions import money as M
 from shelfmark.functions import urls as U
-from shelfmark.runtime import shipped
+from shelfmark.runtime import materialized, shipped
 from shelfmark.schema import PRODUCT_FIELDS
 
 KINDS = {"price": "double", "list_price": "double", "rating": "double", "stock_qty": "long", "review_count": "long", "sold_count": "long"}
@@ -271,9 +271,48 @@ def html_guess(pages: DataFrame, keep: list[str]) -> DataFrame:
     return as_rows(both, values, {"price": F.concat(F.lit("unreadable price: "), read["reason"]), "currency": "no currency named"}, [F.lit("guessed from HTML; verify by hand")], keep)
 
 
+# What product sitemaps and product pages are called, and how many of each a scan reads.
+PRODUCT_SITEMAP, SITEMAP_CHILDREN, SITEMAP_PRODUCTS = r"(?i)product|san-pham|sanpham", 10, 200
+
+
+def sitemap_plan(sitemaps: DataFrame, children: int | None = SITEMAP_CHILDREN, products: int | None = SITEMAP_PRODUCTS) -> DataFrame:
+    """(scan_id, kind, place, url) of what captured sitemaps (scan_id, seq, url, body) lead to: the child sitemaps of an index, product ones first, and product pages.
+
+    Of a list without product addresses all count if its own name speaks of products. Each address counts once, at its first place; ``None`` lifts a limit.
+    """
+    body = F.col("body")
+    found = sitemaps.select("scan_id", "seq", "url", H.is_sitemap_index(body).alias("index"), F.posexplode(H.sitemap_locations(body)).alias("at", "loc"))
+    fits = U.any_of(F.coalesce(U.split_url(F.col("loc"))["path"], F.lit("")), U.PRODUCT_PATHS)
+    listed = found.withColumn("product", fits).withColumn("any", F.max("product").over(Window.partitionBy("scan_id", "seq")))
+    first = F.when(F.col("index"), F.when(F.col("loc").rlike(PRODUCT_SITEMAP), 0).otherwise(1)).otherwise(0)
+    kept = listed.where(F.col("index") | F.col("product") | (~F.col("any") & F.col("url").rlike(PRODUCT_SITEMAP)))
+    kind = F.when(F.col("index"), "sitemap").otherwise("product")
+    once = kept.groupBy("scan_id", kind.alias("kind"), F.col("loc").alias("url")).agg(F.min(F.struct(first.alias("first"), "seq", "at")).alias("p"))
+    out = once.withColumn("place", F.row_number().over(Window.partitionBy("scan_id", "kind").orderBy("p")) - 1)
+    limit = F.when(F.col("kind") == "sitemap", F.lit(children)).otherwise(F.lit(products))
+    return out.where(limit.isNull() | (F.col("place") < limit)).select("scan_id", "kind", "place", "url")
+
+
+def gated(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """(scan_id, entered, kind, rung, rows, note) of every request (scan_id, url, redirect): which rung gave rows, by the rules that stand before the rungs.
+
+    A redirect's target replaces the address and is judged like it. What is no address, and hosts that cannot be scanned, give rung 6 without work. For a
+    product address its product pages are not read (rung 3). A category whose rows come from the platform's feed gets the rows of the whole store.
+    """
+    asked = requests.withColumn("entered", F.coalesce("redirect", "url"))
+    n = U.normalised(F.col("entered"))
+    asked = asked.select("scan_id", "entered", U.url_kind(F.col("entered")).alias("kind"), F.when(n.isNull(), "not an http(s) address").otherwise(F.concat(F.lit("unscannable host: "), U.unscannable(n["host"]))).alias("stop"))
+    own = pages.join(asked.where("stop is null").select("scan_id", F.col("kind").alias("asked")), "scan_id")
+    rows = ladder(own.where(~((F.col("kind") == "product") & F.col("asked").isin("PRODUCT", "MARKETPLACE_PRODUCT"))).drop("asked"))
+    got = rows.groupBy("scan_id").agg(F.min("rung").alias("rung"), F.count("*").alias("rows"))
+    whole = (F.col("kind") == "CATEGORY") & (F.col("rung") <= 2)
+    note = F.coalesce("stop", F.when(F.col("rung").isNull(), "nothing could be read").when(whole, "rows of the whole store"))
+    return asked.join(got, "scan_id", "left").select("scan_id", "entered", "kind", F.coalesce("rung", F.lit(6)).alias("rung"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), note.alias("note"))
+
+
 def best_rung(rows: DataFrame) -> DataFrame:
     """Of all rungs' rows (scan_id, rung) those of the least rung that yielded any, scan by scan."""
-    rows = rows.persist()  # both sides of the join read it
+    rows = materialized(rows, "rungs")  # both sides of the join read it
     least = rows.groupBy("scan_id").agg(F.min("rung").alias("rung"))
     return rows.join(least, ["scan_id", "rung"], "left_semi")
 

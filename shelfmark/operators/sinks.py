@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfmark.operators.snapshot import first_wins
 from shelfmark.operators.trust import scan_ledger
+from shelfmark.runtime import exists
 from shelfmark.schema import LISTING_COLUMNS
 
 
@@ -27,11 +28,9 @@ def csv_line(rows: DataFrame, columns: list[str]) -> Column:
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str], before: list[str] = ()) -> None:
-    """A header (after lines ``before``) and a line a row, in order; written by one task as the file is one export."""
-    spark = rows.sparkSession
-    head = spark.createDataFrame([(i, line) for i, line in enumerate([*before, ",".join(columns)])], "at long, line string")
-    body = rows.select((F.monotonically_increasing_id() + len(before) + 1).alias("at"), csv_line(rows, columns).alias("line"))
-    head.union(body).repartition(1).sortWithinPartitions("at").select("line").write.mode("overwrite").text(path)
+    """A header (after lines ``before``) and a line a row, as part files whose order is that of the rows: the header's own, then one for each of their partitions."""
+    head = rows.sparkSession.createDataFrame([(line,) for line in [*before, ",".join(columns)]], "line string").coalesce(1)
+    head.union(rows.select(csv_line(rows, columns).alias("line"))).write.mode("overwrite").text(path)
 
 
 def cut_reason(c: Column) -> Column:
@@ -53,7 +52,7 @@ def append_listings(batch: DataFrame, path: str) -> int:
     """
     spark = batch.sparkSession
     fresh = first_wins(batch).withColumn("__key", row_key())
-    if _exists(spark, path):
+    if exists(spark, path):
         have = spark.read.schema(batch.schema).parquet(path)
         scans = [r["scan_id"] for r in batch.select("scan_id").distinct().limit(MOST_SCANS + 1).collect()]
         if len(scans) <= MOST_SCANS:  # names of partitions: the others are not even listed
@@ -74,23 +73,27 @@ def row_key() -> Column:
     return F.coalesce(F.concat(F.lit("id "), "external_id"), F.concat(F.lit("at "), F.to_json(F.struct("row_seq"))))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jvm_path)
 
 
 def append_ledger(finished: DataFrame, path: str) -> None:
     """One ledger row for each finished scan that has none yet."""
     spark = finished.sparkSession
     rows = scan_ledger(finished)
-    if _exists(spark, path):
+    if exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select("scan_id"), "scan_id", "left_anti")
     rows.write.mode("append").parquet(path)
 
 
-def rebuild(rows: DataFrame, path: str) -> None:
+def rebuild(rows: DataFrame, path: str) -> DataFrame:
     """A derived table, replaced as a whole."""
     rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def padded(rows: DataFrame, cells: str = "cells") -> DataFrame:
+    """Ragged rows (at, cells: list of strings) as columns c0, c1 and so on, blanks up to the widest."""
+    widest = rows.agg(F.coalesce(F.max(F.size(cells)), F.lit(0)).alias("n")).first()["n"]
+    return rows.select("at", *[F.coalesce(F.get(cells, F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(widest)])
 
 
 def with_status(queue: DataFrame, url: str, status: str, scan_id: str | None, note: str) -> DataFrame:

@@ -101,6 +101,11 @@ def reason_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("missing_reason").alias("field", "reason")).select("field", F.regexp_replace("reason", r"\s*\([^)]*\)\z", "").alias("reason")).groupBy("field", "reason").agg(F.count("*").alias("n"))
 
 
+def warning_counts(rows: DataFrame) -> DataFrame:
+    """(warning, n) over the rows' warnings (``row_warnings``: list), a trailing remark in brackets cut; mergeable, as a count by text is."""
+    return rows.select(F.explode("row_warnings").alias("w")).groupBy(F.regexp_replace("w", r"\s*\([^)]*\)\z", "").alias("warning")).agg(F.count("*").alias("n"))
+
+
 def top_reasons(counts: DataFrame, k: int = 3) -> DataFrame:
     order = Window.partitionBy("field").orderBy(F.desc("n"), "reason")
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

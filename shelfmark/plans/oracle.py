@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from shelfmark.functions.money import CURRENCIES
 from shelfmark.functions.urls import CATEGORY_PATHS, PRODUCT_PATHS, TRACKING, UNSCANNABLE
+from shelfmark.plans import expected
 from shelfmark.plans import vectors as V
-from shelfmark.schema import DEFAULT_SETTINGS, PRODUCT_FIELDS
+from shelfmark.schema import DEFAULT_SETTINGS, LISTING_COLUMNS, PRODUCT_FIELDS
 
 SEQ = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
 CORE = "scan_id, captured_at, source_url, store, external_id, brand, price, currency, stock_state"
@@ -96,7 +97,11 @@ SQL: dict[str, str] = {
         "f AS (SELECT *, floor(lo / step) * step AS start, least(201, floor((hi - floor(lo / step) * step) / step) + 1)::BIGINT AS bins FROM s)",
         "counted AS (SELECT least(greatest(floor((price - start) / step), 0), bins - 1)::BIGINT AS id, count(*) AS k FROM joined, f WHERE price IS NOT NULL GROUP BY 1)"),
     "facet_counts": over(" UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS n FROM joined WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("store", "platform", "brand", "category", "verdict"))),
-    "trust_summary": over("SELECT * FROM trust", TRUST),
+    "trust_summary": over("""SELECT *, CASE WHEN rows = 0 THEN 'No rows.' ELSE rows || ' rows of ' || scans || ' scans: ' || CASE worst WHEN 'HIGH' THEN 'read from platform feeds.' WHEN 'MEDIUM' THEN 'read from web pages; check three rows by hand.'
+  WHEN 'LOW' THEN 'guessed or short of prices; verify everything.' WHEN 'UNSCANNABLE' THEN 'nothing could be read.' ELSE 'trust unknown.' END END AS sentence,
+  CASE worst WHEN 'HIGH' THEN 'use as it is' WHEN 'MEDIUM' THEN 'spot-check' WHEN 'LOW' THEN 'verify all' WHEN 'UNSCANNABLE' THEN 'get the data another way' END AS action FROM trust""", TRUST),
+    "ledger_append": over("SELECT scan_id, rung, n_rows, price_fill_pct, verdict FROM scans"),
+    "warning_counts": over("SELECT 'implausible VND price' AS warning, count(*) AS n FROM listings WHERE currency = 'VND' AND (price < 1000 OR price <> floor(price)) HAVING count(*) > 0 UNION ALL SELECT 'no price', count(*) FROM listings WHERE price IS NULL HAVING count(*) > 0"),
     "trust_by_scan": over(f"SELECT scan_id, max(verdict) AS verdict, max(rung) AS rung, first(source_url ORDER BY {SEQ}) AS source_url, first(captured_at ORDER BY {SEQ}) AS first_seen, count(*) AS rows FROM joined GROUP BY scan_id"),
     "trust_worst_by_store": over("SELECT store, ['HIGH', 'MEDIUM', 'LOW', 'UNSCANNABLE'][max(list_position(['HIGH', 'MEDIUM', 'LOW', 'UNSCANNABLE'], verdict))] AS worst, count(*) AS rows FROM joined GROUP BY store"),
     "data_warnings": over(
@@ -243,3 +248,50 @@ SQL["robots_longest_match"] = (
     + "m AS (SELECT o.origin, p.path, max(n) FILTER (kind = 'allow') AS a, max(n) FILTER (kind = 'disallow') AS d, max_by(value, n) FILTER (kind = 'disallow') AS rule FROM o CROSS JOIN p LEFT JOIN rules r ON r.origin = o.origin AND regexp_matches(CASE WHEN p.path = '' THEN '/' ELSE p.path END, r.pattern) GROUP BY o.origin, p.path) "
     + "SELECT origin, path, NOT coalesce(d > coalesce(a, -1), false) AS allowed, CASE WHEN d > coalesce(a, -1) THEN rule END AS rule FROM m"
 )
+
+# --- reports ---
+_FLAT = "grp, rows, floor(n::DOUBLE / rows * 100 * 10 + 0.5) / 10 AS fill, min, p25, median, p75, max, in_stock, currency"
+_LABELS = ["Group", "Rows", "% priced", "Lowest", "25%", "Median", "75%", "Highest", "In stock", "Currency"]
+_NAMES = ["grp", "rows", "fill", "min", "p25", "median", "p75", "max", "in_stock", "currency"]
+SQL["report_flat"] = over("SELECT " + ", ".join(f'{n} AS "{x}"' for n, x in zip(_NAMES, _LABELS, strict=True)) + f" FROM (SELECT {_FLAT} FROM ladder)", ladder("latest", "brand"))
+_BASE = "WITH " + LISTINGS.strip()
+
+
+def _selecting(name: str, source: str) -> str:
+    """The SQL of a query over all rows, over other rows instead."""
+    return _BASE + SQL[name][len(_BASE) :].replace("FROM joined", f"FROM {source}")
+
+
+SQL["report_shares"] = _selecting("price_histogram", "latest").replace("coalesce(k, 0)::BIGINT AS n FROM f", "coalesce(k, 0)::BIGINT AS n, coalesce(k, 0)::DOUBLE / (SELECT count(price) FROM latest) AS share FROM f")
+SQL["report_tiles"] = over(f"SELECT count(*) AS rows, count(DISTINCT scan_id) AS scans, {STATS}, count(price)::DOUBLE / count(*) AS fill FROM latest")
+_TRUST_SAYS = SQL["trust_summary"].split("FROM trust")[0].rsplit("SELECT *, ", 1)[1]
+_WARN_CTES, _WARN_BODY = _selecting("data_warnings", "latest")[len("WITH ") :].split("\nSELECT 1::INT AS ord", 1)
+_SAYS = f"says AS (SELECT worst, {_TRUST_SAYS} FROM trust), warned AS (SELECT *, row_number() OVER (ORDER BY ord) AS k, count(*) OVER () AS many FROM (SELECT 1::INT AS ord{_WARN_BODY}))"
+_BLANKS = lambda k: ", ''" * k
+SQL["report_sheet"] = f"""WITH {_WARN_CTES}, {ladder("latest", "brand")}, {TRUST}, {_SAYS}, w AS (SELECT count(*) AS n FROM warned),
+few AS (SELECT grp, row_number() OVER (ORDER BY rows DESC, first_seq) AS k, count(*) OVER () AS many FROM ladder WHERE n > 0 AND n < 5),
+small AS (SELECT max(many) || ': ' || string_agg(grp, ', ' ORDER BY k) FILTER (k <= 5) || CASE WHEN max(many) > 5 THEN '...' ELSE '' END AS detail FROM few HAVING count(*) > 0),
+top AS (SELECT 0 AS "at", 'Price ladder by brand' AS c0, '' AS c1, '' AS c2, '' AS c3{"".join(f", '' AS c{i}" for i in range(4, 10))} UNION ALL SELECT 1, 'Trust', worst{_BLANKS(8)} FROM says UNION ALL SELECT 2, '', sentence{_BLANKS(8)} FROM says UNION ALL SELECT 3, 'Action', action{_BLANKS(8)} FROM says
+  UNION ALL SELECT 3 + k, 'Warning', severity, code, detail{_BLANKS(6)} FROM warned UNION ALL SELECT 4 + w.n, 'Warning', 'low', 'small_groups', detail{_BLANKS(6)} FROM small, w),
+mid AS (SELECT count(*) AS n FROM top),
+body AS (SELECT mid.n AS "at", 'Filter' AS c0, 'latest scan of each source' AS c1{"".join(f", '' AS c{i}" for i in range(2, 10))} FROM mid UNION ALL SELECT mid.n + 1, {", ".join(text(x) for x in _LABELS)} FROM mid
+  UNION ALL SELECT mid.n + 1 + row_number() OVER (ORDER BY rows DESC, first_seq), {", ".join(f"coalesce({x}::VARCHAR, '')" for x in _NAMES)} FROM (SELECT {_FLAT}, first_seq FROM ladder), mid)
+SELECT "at"::BIGINT AS "at", {", ".join(f"c{i}" for i in range(10))} FROM top UNION ALL SELECT "at"::BIGINT, {", ".join(f"c{i}" for i in range(10))} FROM body"""
+_CELL = lambda x: f"CASE WHEN regexp_matches({x}, '[\",;\\n\\r]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
+SQL["report_csv"] = f"""WITH {LISTINGS.strip()}, {ladder("latest", "platform")}, {TRUST}, says AS (SELECT worst, {_TRUST_SAYS} FROM trust)
+SELECT worst AS line FROM says UNION ALL SELECT sentence FROM says UNION ALL SELECT {text(",".join(_LABELS))} UNION ALL SELECT concat_ws(',', {", ".join(_CELL(f"coalesce({x}::VARCHAR, '')") for x in _NAMES)}) FROM (SELECT {_FLAT} FROM ladder)"""
+SQL["rows_csv"] = over(f"SELECT {text(','.join(LISTING_COLUMNS))} AS line UNION ALL SELECT concat_ws(',', {', '.join(_CELL(f'coalesce({c}::VARCHAR, {text("")})') for c in LISTING_COLUMNS)}) FROM latest WHERE platform = 'ASIA'")
+SQL["change_caveats"] = over(
+    """SELECT source_url, 'one_scan' AS code, 'needs at least two scans' AS detail FROM per WHERE scans = 1
+UNION ALL SELECT source_url, 'half_day', 'less than half a day apart: likely an hourly offer, not a change of price' FROM per WHERE days < 0.5
+UNION ALL SELECT source_url, 'identical', 'both scans are the same' FROM per WHERE scans > 1 AND source_url NOT IN (SELECT source_url FROM changes)
+UNION ALL SELECT source_url, 'gone', count(*) || ' rows gone may also mean a page limit or new ids' FROM changes WHERE change = 'GONE' GROUP BY source_url""",
+    RANKED, DIFF, "per AS (SELECT source_url, count(*) AS scans, max(seen) FILTER (place = 1)::DATE - max(seen) FILTER (place = 2)::DATE AS days FROM ranked WHERE place <= 2 GROUP BY source_url)")
+SQL["start_page"] = over("SELECT 'totals' AS part, 'rows' AS name, count(*) AS n FROM joined UNION ALL SELECT 'totals', 'scans', count(DISTINCT scan_id) FROM joined UNION ALL SELECT 'scans of', source_url, count(DISTINCT scan_id) FROM joined GROUP BY source_url UNION ALL SELECT 'rows of', scan_id, count(*) FROM joined GROUP BY scan_id UNION ALL SELECT * FROM (VALUES ('report', 'PRICE_LADDER', 0), ('report', 'PRICE_DISTRIBUTION', 1), ('report', 'COMPETITORS', 2), ('report', 'CHANGES', 3), ('report', 'SCAN_QUALITY', 4))")
+_MATCH = "match AS (SELECT * FROM latest WHERE price IS NOT NULL)"
+SQL["data_query"] = f"""{_BASE}, {_MATCH}{_selecting("data_warnings", "match")[len(_BASE) :].split(chr(10) + "SELECT 1::INT AS ord", 1)[0]}, {TRUST.replace("FROM latest", "FROM match")}, {_SAYS},
+pg AS (SELECT price FROM match ORDER BY price DESC, {SEQ} LIMIT 50 OFFSET 100)
+SELECT s.*, says.worst, trust.scans, sentence, (SELECT count(*) FROM pg) AS page_rows, (SELECT max(price) FROM pg) AS page_max, (SELECT min(price) FROM pg) AS page_min, (SELECT coalesce(string_agg(code, ',' ORDER BY code), '') FROM warned) AS warnings,
+  (SELECT count(*) FROM match) AS total_rows, 'priced; latest scan of each source' AS says FROM (SELECT {STATS} FROM match) s, says, trust"""
+
+SQL |= expected.SQL

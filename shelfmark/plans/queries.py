@@ -14,11 +14,13 @@ from shelfmark.functions import robots as R
 from shelfmark.functions import urls as U
 from shelfmark.operators import diff, extract, sinks, stats, trust
 from shelfmark.operators.snapshot import FilterSpec, filtered, first_wins, last_wins, latest_snapshot, page, ranked_scans
+from shelfmark.plans import reports
 from shelfmark.plans import vectors as V
 from shelfmark.runtime import materialized, shared_folder
 from shelfmark.schema import PRODUCT_FIELDS, half_up
 from shelfmark.sources import captured
 from shelfmark.sources.adapter import SEQ, Store, store
+from shelfmark.sources.adapter import listings as adapter_listings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,7 +132,7 @@ def competitor_pivot(spark, sf_dir):
 
 @query
 def trust_summary(spark, sf_dir):
-    return trust.trust_summary(filtered(joined(spark, sf_dir), FilterSpec())).drop("sentence", "action")
+    return trust.trust_summary(filtered(joined(spark, sf_dir), FilterSpec()))
 
 
 @query
@@ -346,6 +348,13 @@ def price_mentions(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(M.mentions(F.col("text"))).alias("at", "mention")).select("doc_id", F.col("at").cast("long").alias("at"), "mention")
 
 
+def told(rows: DataFrame) -> DataFrame:
+    """Reasons and warnings as plain text, counts as doubles."""
+    why = F.array_sort(F.transform(F.map_entries("missing_reason"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in ("stock_qty", "review_count", "sold_count")})
+    return rows.select("*", F.array_join(why, "; ").alias("missing"), F.array_join("row_warnings", "; ").alias("warned")).drop("missing_reason", "row_warnings")
+
+
 def _captured(spark) -> DataFrame:
     return spark.createDataFrame(V.PAGES, "scan_id string, url string, body string")
 
@@ -372,27 +381,27 @@ def robots_longest_match(spark, sf_dir):
 @query
 def products_json_explode(spark, sf_dir):
     docs = spark.createDataFrame([("f", "https://a.example", "https://a.example", "VND", V.FEED)], "scan_id string, origin string, url string, currency string, body string")
-    return extract.products_json(docs, ["scan_id"]).drop("missing_reason", "row_warnings")
+    return extract.products_json(docs, ["scan_id"]).transform(told).withColumn("v_at", F.coalesce("v_at", F.lit(-1)))
 
 
 @query
 def woo_json_explode(spark, sf_dir):
-    return extract.woo_json(spark.createDataFrame([("w", V.WOO)], "scan_id string, body string"), ["scan_id"]).drop("missing_reason", "row_warnings")
+    return extract.woo_json(spark.createDataFrame([("w", V.WOO)], "scan_id string, body string"), ["scan_id"]).transform(told)
 
 
 @query
 def jsonld_nodes(spark, sf_dir):
-    return extract.json_ld(_captured(spark), ["scan_id", "url"]).drop("missing_reason", "row_warnings")
+    return extract.json_ld(_captured(spark), ["scan_id", "url"]).transform(told)
 
 
 @query
 def microdata_open_graph(spark, sf_dir):
-    return extract.micro_or_graph(_captured(spark), ["scan_id", "url"]).drop("missing_reason", "row_warnings")
+    return extract.micro_or_graph(_captured(spark), ["scan_id", "url"]).transform(told)
 
 
 @query
 def html_guess_rows(spark, sf_dir):
-    return extract.html_guess(_captured(spark), ["scan_id", "url"]).drop("missing_reason", "row_warnings")
+    return extract.html_guess(_captured(spark), ["scan_id", "url"]).transform(told)
 
 
 @query
@@ -478,4 +487,210 @@ def ingest_idempotent(spark, sf_dir):
     return ingested_counts(spark, sf_dir)
 
 
+# --- documents and policies ---
+
+
+@query
+def json_bodies(spark, sf_dir):
+    parsed = captured.json_body(F.col("v"))
+    return inline(spark, V.BODIES).select("i", parsed.isNotNull().alias("parsed"), F.try_variant_get(parsed, "$.a", "string").alias("a"))
+
+
+@query
+def redirect_chains(spark, sf_dir):
+    return captured.final_urls(spark.createDataFrame(V.REDIRECTS, "url string, target string"))
+
+
+@query
+def agent_tokens(spark, sf_dir):
+    return inline(spark, V.AGENTS).select("i", R.agent_token(F.col("v")).alias("token"))
+
+
+@query
+def robots_policy(spark, sf_dir):
+    answers = spark.createDataFrame(V.ROBOT_ANSWERS, "origin string, status int, body string")
+    return R.allowed_by_origin(spark.createDataFrame(V.ROBOT_QUESTIONS, "origin string, path string"), answers, "shelfmarkbot")
+
+
+@query
+def robots_group_choice(spark, sf_dir):
+    paths = spark.createDataFrame([(origin, path) for origin, _ in V.GROUPS for path in ("/x", "/y")], "origin string, path string")
+    return R.allowed(paths, R.applying(R.rules(spark.createDataFrame(V.GROUPS, "origin string, body string")), "shelfmarkbot"))
+
+
+@query
+def fetch_attempts(spark, sf_dir):
+    log = spark.createDataFrame([(i, *x) for i, x in enumerate(V.FETCHES)], "seq int, scan_id string, url string, status int, body string")
+    return captured.attempts(log.withColumn("fetched_at", F.lit(0).cast("timestamp")).withColumn("final_url", F.col("url"))).select("scan_id", "url", F.coalesce("status", F.lit(0)).alias("status"), "outcome", "try")
+
+
+@query
+def page_states(spark, sf_dir):
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(V.STATES)], "i int, status int, body string")
+    return rows.select("i", H.challenge(F.col("body"), F.col("status")).alias("challenge"), H.platform(F.col("body")).alias("platform"), H.is_shell(F.col("body")).alias("shell"))
+
+
+@query
+def scalar_text(spark, sf_dir):
+    return inline(spark, V.SCALARS).select("i", extract.filled(F.col("v")).alias("value"))
+
+
+@query
+def day_gaps(spark, sf_dir):
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(V.DAYS)], "i int, a string, b string")
+    return rows.select("i", M.days_between(M.day(F.col("a")), M.day(F.col("b"))).alias("days"))
+
+
+@query
+def filter_descriptions(spark, sf_dir):
+    specs = [FilterSpec(), FilterSpec(stores=["a", "b"], has_price=True, latest_only=False), FilterSpec(platforms=["P"], brands=["B"], categories=["C"], verdicts=["LOW"], sources=["u"], stock_state="IN", price_from=5, price_to=7.5, keyword=" x y ")]
+    return inline(spark, [x.describe() for x in specs], "says")
+
+
+@query
+def sitemap_priority(spark, sf_dir):
+    return extract.sitemap_plan(spark.createDataFrame(V.SITEMAP_PAGES, "scan_id string, seq int, url string, body string"))
+
+
+@query
+def ladder_gating(spark, sf_dir):
+    pages = spark.createDataFrame(V.GATED_PAGES, "scan_id string, url string, body string, kind string")
+    pages = pages.select("scan_id", F.lit(200).alias("status"), "url", "body", F.lit(None).cast("timestamp").alias("fetched_at"), "kind", F.lit("VND").alias("currency"))
+    return extract.gated(spark.createDataFrame(V.REQUESTS, "scan_id string, url string, redirect string"), pages)
+
+
+@query
+def queue_worker(spark, sf_dir):
+    from shelfmark.streaming.worker import worked
+
+    urls = [u for _, u, _ in V.PAGES if "micro" not in u] + ["https://x.example/products/none"]
+    queue = spark.createDataFrame([(i, u, "RUNNING" if i == 1 else "PENDING") for i, u in enumerate(urls)], "row_seq int, url string, status string")
+    pages = _captured(spark).select(F.col("url").alias("entered"), F.lit(200).alias("status"), "url", "body", F.lit("entered").alias("kind"), F.lit("VND").alias("currency"))
+    once = materialized(worked(queue, pages), "queue")
+    again = worked(once.where("status = 'DONE'").select("url", "status", "row_seq"), pages)  # a second worker finds nothing to do
+    return once.join(again.where("status = 'DONE'").select("row_seq"), "row_seq", "left").drop("row_seq")
+
+
+# --- tables ---
+
+
+@query
+def stamped_rows(spark, sf_dir):
+    docs = spark.createDataFrame([("f", "https://a.example", "https://a.example", "VND", V.FEED)], "scan_id string, origin string, url string, currency string, body string")
+    rows = extract.products_json(docs, ["scan_id"]).withColumn("row_seq", (2 * F.col("p_at") + F.coalesce("v_at", F.lit(0)) - F.when(F.col("p_at") > 1, 1).otherwise(0)).cast("long"))
+    return sinks.stamped(rows, "scan-1", "https://a.example/", "a.example", "Shopify").select("scan_id", "source_url", "store", "platform", "external_id", "price", "currency", "row_seq")
+
+
+@query
+def catalog_tables(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    first = captured.ensure_tables(spark, folder)
+    spark.createDataFrame([(None,) * len(first["listings"].columns)], first["listings"].schema).write.mode("append").parquet(f"{folder}/listings")
+    again = captured.ensure_tables(spark, folder)
+    parts = [t.agg(F.lit(name).alias("name"), F.lit(len(t.columns)).cast("long").alias("columns"), F.count("*").alias("rows")) for name, t in again.items()]
+    return parts[0].union(parts[1])
+
+
+@query
+def derived_table(spark, sf_dir):
+    rows = sinks.padded(spark.createDataFrame(list(enumerate(V.RAGGED)), "at long, cells array<string>"))
+    path = f"{shared_folder(spark)}/derived-{uuid.uuid4().hex}"
+    sinks.rebuild(rows.where("at > 1"), path)
+    return sinks.rebuild(rows, path)
+
+
+@query
+def ledger_append(spark, sf_dir):
+    """All scans finished in two batches, the second with scans that the ledger has already."""
+    rows = adapter_listings(spark, sf_dir)
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    sinks.append_ledger(rows.where("rung < 3"), path)
+    sinks.append_ledger(rows, path)
+    return spark.read.parquet(path).select("scan_id", "rung", "n_rows", "price_fill_pct", "verdict")
+
+
+@query
+def warning_counts(spark, sf_dir):
+    rows = store(spark, sf_dir).listings
+    return trust.warning_counts(rows.select(F.array_compact(F.array(M.implausible(F.col("price"), F.col("currency")), F.when(F.col("price").isNull(), F.concat(F.lit("no price ("), "external_id", F.lit(")"))))).alias("row_warnings")))
+
+
+# --- reports ---
+
+
+def _report(spark, sf_dir, code: str = "PRICE_LADDER", spec: FilterSpec = FilterSpec(), **params) -> reports.Report:
+    return reports.report(store(spark, sf_dir), code, spec, **params)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def report_flat(spark, sf_dir):
+    return _report(spark, sf_dir).flat()
+
+
+@query
+def report_shares(spark, sf_dir):
+    return _report(spark, sf_dir, "PRICE_DISTRIBUTION").rows
+
+
+@query
+def report_tiles(spark, sf_dir):
+    return _report(spark, sf_dir).tiles
+
+
+@query
+def report_sheet(spark, sf_dir):
+    return reports.sheet(_report(spark, sf_dir), FilterSpec())
+
+
+@query
+def report_unknown(spark, sf_dir):
+    return _report(spark, sf_dir, "NONE").warnings
+
+
+@query
+def report_csv(spark, sf_dir):
+    path = f"{shared_folder(spark)}/report-csv-{uuid.uuid4().hex}"
+    reports.export_csv(_report(spark, sf_dir, by="platform"), path)
+    return _lines(spark, path)
+
+
+@query
+def rows_csv(spark, sf_dir):
+    """All matching rows with all columns; a checksum of the cells would hide nothing, so the lines themselves are returned."""
+    path = f"{shared_folder(spark)}/rows-csv-{uuid.uuid4().hex}"
+    reports.export_rows(store(spark, sf_dir), FilterSpec(platforms=["ASIA"]), path, "price", True)
+    return _lines(spark, path)
+
+
+@query
+def change_caveats(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return diff.caveats(s.listings, s.scans)
+
+
+@query
+def start_page(spark, sf_dir):
+    """Totals, sources, scans and reports as (part, name, n)."""
+    parts = reports.page_bundle(store(spark, sf_dir))
+    totals = parts["totals"].select(F.explode(F.array(*[F.struct(F.lit("totals").alias("part"), F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("rows", "scans")])).alias("x")).select("x.*")
+    sources = parts["sources"].select(F.lit("scans of").alias("part"), F.col("source_url").alias("name"), F.col("scans").alias("n"))
+    scans = parts["scans"].select(F.lit("rows of").alias("part"), F.col("scan_id").alias("name"), F.col("n_rows").alias("n"))
+    catalog = parts["catalog"].select(F.lit("report").alias("part"), F.col("code").alias("name"), F.col("place").alias("n"))
+    return totals.union(sources).union(scans).union(catalog)
+
+
+@query
+def data_query(spark, sf_dir):
+    """Page 3 of the priced rows, and what is told of the whole match beside it."""
+    found = reports.data_query(store(spark, sf_dir), FilterSpec(has_price=True), 3, 50, "price", True)
+    whole = found.stats.crossJoin(found.trust.select("worst", "scans", "sentence"))  # one row by one row
+    page = found.page.agg(F.count("*").alias("page_rows"), F.max("price").alias("page_max"), F.min("price").alias("page_min"))
+    warned = found.warnings.agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("warnings"))
+    return whole.crossJoin(page).crossJoin(warned).withColumn("total_rows", F.lit(found.total)).withColumn("says", F.lit(found.says))
+
+
 __all__ = ["QUERIES", "Store"]

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators import diff, stats, trust
 from shelfmark.operators.sinks import write_csv
-from shelfmark.operators.snapshot import FilterSpec, filtered, order_by
-from shelfmark.schema import LISTING_COLUMNS, SMALL_GROUP, half_up
+from shelfmark.operators.snapshot import LATEST, FilterSpec, filtered, order_by, page
+from shelfmark.runtime import materialized
+from shelfmark.schema import LISTING_COLUMNS, PAGE_DEFAULT, SMALL_GROUP, half_up
 from shelfmark.sources.adapter import Store
 
 LABELS = {"brand": "Brand", "category": "Category", "store": "Store", "platform": "Platform", "grp": "Group", "rows": "Rows", "fill": "% priced", "min": "Lowest", "p25": "25%", "median": "Median", "p75": "75%", "max": "Highest", "in_stock": "In stock", "currency": "Currency", "cheapest": "Cheapest"}
@@ -60,14 +61,14 @@ def competitors(store: Store, rows: DataFrame, by: str = "category") -> Report:
 
 def changes(store: Store, rows: DataFrame, source_url: str | None = None) -> Report:
     """Between the two latest scans of a source (of all sources without one). The filter does not apply."""
-    whole = store.joined()
-    whole = whole if source_url is None else whole.where(F.col("source_url") == source_url)
-    old, new = diff.latest_two(whole)
+    own = (lambda df, c: df) if source_url is None else (lambda df, c: df.where(F.col(c) == source_url))
+    whole, scans = own(store.joined(), "source_url"), own(store.scans, "entered_url") if "first_seen" in store.scans.columns else None
+    old, new = diff.latest_two(whole, scans)
     both = old.unionByName(new)
     found = diff.compared(old, new)
-    warn = trust.warnings(both)
-    if source_url is not None and new.isEmpty():
-        warn = store.listings.sparkSession.createDataFrame([(9, "mid", "one_scan", "needs at least two scans")], "ord int, severity string, code string, detail string")
+    severity = F.when(F.col("code").isin("one_scan", "half_day"), "mid").otherwise("low")
+    more = diff.caveats(whole, scans).select(F.lit(9).alias("ord"), severity.alias("severity"), "code", "detail")
+    warn = trust.warnings(both).union(more if source_url is not None else more.where("code != 'one_scan'").groupBy("ord", "severity", "code").agg(F.concat(F.count("*").cast("string"), F.lit(" sources")).alias("detail")))
     return Report("CHANGES", "Changes between two scans", found.columns, found, trust.trust_summary(both), warn, found.groupBy("change").agg(F.count("*").alias("n")), None, {"source_url": source_url})
 
 
@@ -98,11 +99,48 @@ def export_csv(rep: Report, path: str) -> None:
 
 
 def export_sheet(rep: Report, spec: FilterSpec) -> list[list[str]]:
-    """Title, trust, action, warnings and filter above the table; the table itself stays a DataFrame (``rep.flat()``)."""
+    """Title, trust, action, warnings and filter that stand above the table."""
     t = rep.trust.first()
     return [[rep.title], ["Trust", t["worst"] or ""], ["", t["sentence"]], ["Action", t["action"] or ""], *[["Warning", w["severity"], w["code"], w["detail"]] for w in rep.warnings.orderBy("ord").collect()], ["Filter", spec.describe()]]
 
 
+def sheet(rep: Report, spec: FilterSpec) -> DataFrame:
+    """The whole sheet as one table (at, cells c0, c1 and so on): what stands above, the labels, the rows in order; short rows are padded with blanks."""
+    flat = rep.flat()
+    above = [*export_sheet(rep, spec), flat.columns]
+    wide = max(len(flat.columns), *map(len, above))
+    names = [f"c{i}" for i in range(wide)]
+    head = rep.rows.sparkSession.createDataFrame([(i, *row, *[""] * (wide - len(row))) for i, row in enumerate(above)], "at long, " + ", ".join(f"{n} string" for n in names))
+    cells = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(f"`{x}`") for x in flat.columns)] + [F.lit("")] * (wide - len(flat.columns))
+    # places within partitions of ordered rows, and how many rows the partitions before have: a row a partition
+    rows = flat.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)], F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    rows = materialized(rows, "sheet")
+    before = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = before.select("part", "first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    body = rows.join(before, "part").select((F.lit(len(above)) + F.col("before") + F.col("id") - F.col("first")).alias("at"), *names)
+    return head.unionByName(body)
+
+
+@dataclass
+class Found:
+    """The answer to a data query: one page, and what holds for the whole match."""
+
+    page: DataFrame
+    total: int
+    stats: DataFrame
+    trust: DataFrame
+    warnings: DataFrame
+    tiles: DataFrame
+    says: str
+
+
+def data_query(store: Store, spec: FilterSpec, number: int = 1, size: int = PAGE_DEFAULT, name: str = "captured_at", descending: bool | None = None) -> Found:
+    """Filter, order and one page, with statistics, trust, warnings and tiles over all that matches; the match is worked out once."""
+    rows = materialized(filtered(store.joined(), spec).drop(LATEST), "match")
+    total = rows.count()
+    return Found(page(rows, number, size, name, descending, total), total, stats.described(rows), trust.trust_summary(rows), trust.warnings(rows), _tiles(rows), spec.describe())
+
+
 def export_rows(store: Store, spec: FilterSpec, path: str, name: str = "captured_at", descending: bool | None = None) -> None:
     """All matching rows with all columns, in order."""
     rows = filtered(store.joined(), spec)
@@ -112,4 +150,5 @@ def export_rows(store: Store, spec: FilterSpec, path: str, name: str = "captured
 def page_bundle(store: Store) -> dict[str, DataFrame]:
     """What a start page shows: scans newest first, sources by scans, facets, and totals."""
     rows = store.joined()
-    return {"scans": store.scans.orderBy(F.desc("started"), "scan_id"), "sources": stats.url_counts(rows), "facets": stats.facets(rows), "totals": rows.agg(F.count("*").alias("rows"), F.count_distinct("scan_id").alias("scans"))}
+    catalog = store.listings.sparkSession.createDataFrame([(i, code) for i, code in enumerate(REPORTS)], "place long, code string")
+    return {"catalog": catalog, "scans": store.scans.orderBy(F.desc("started"), "scan_id"), "sources": stats.url_counts(rows), "facets": stats.facets(rows), "totals": rows.agg(F.count("*").alias("rows"), F.count_distinct("scan_id").alias("scans"))}

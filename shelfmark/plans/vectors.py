@@ -45,5 +45,37 @@ OG_PAGE = '<meta property="og:title" content="Og mat"><meta property="product:pr
 MICRO_PAGE = '<div itemscope><h1 itemprop="name">Micro mat</h1><span itemprop="price" content="329000">329.000</span><meta itemprop="priceCurrency" content="VND"><link itemprop="availability" href="https://schema.org/OutOfStock"><span itemprop="sku">MM-1</span></div>'
 GUESS_PAGE = '<a href="/products/a">Mat A</a> <span>1.250.000₫</span><a href="/products/b">Mat B</a><b>250.000 đ</b><a href="/products/c">Mat C</a> Liên hệ<a href="https://o.example/z">Away</a> 99.000₫'
 PAGES = [("s1", "https://x.example/products/mat", LD_PAGE), ("s2", "https://x.example/products/og", OG_PAGE), ("s3", "https://x.example/products/micro", MICRO_PAGE), ("s4", "https://x.example/", GUESS_PAGE)]
+BODIES = ['\ufeff{"a": 1}', '{"a": "x"}', "{broken", "", "[1, 2]", None]
+REDIRECTS = [("a", "b"), ("b", "c"), *[(f"r{i}", f"r{i + 1}" if i < 6 else "end") for i in range(7)], ("self", "self")]
+AGENTS = ["ShelfmarkBot/1.0 (+https://a.example)", " Other ", "A/b/c", ""]
+ROBOT_ANSWERS = [("https://a.example", 200, ROBOTS[0][1]), ("https://gone.example", 404, "User-agent: *\nDisallow: /"), ("https://down.example", 503, ""), ("https://mute.example", None, None)]
+ROBOT_QUESTIONS = [("https://a.example", "/private"), ("https://a.example", "/open"), ("https://gone.example", "/private"), ("https://down.example", "/open"), ("https://mute.example", "/open"), ("https://never.example", "/open")]
+GROUPS = [
+    ("https://long.example", "User-agent: shelf\nDisallow: /y\n\nUser-agent: shelfmark\nDisallow: /x\n"), ("https://short.example", "User-agent: shelfmark\nDisallow: /x\n\nUser-agent: shelf\nDisallow: /y\n"),
+    ("https://star.example", "User-agent: marker\nDisallow: /y\n\nUser-agent: *\nDisallow: /\n"),
+]
+FETCHES = [
+    ("s", "u1", 503, ""), ("s", "u1", 200, "ok"), ("s", "u1", 404, ""), ("s", "u2", 429, ""), ("s", "u2", None, None), ("s", "u2", 503, ""), ("s", "u2", 200, "too late"), ("s", "u3", 404, ""),
+    ("s", "u4", 403, ""), ("s", "u5", 200, "<title>Just a moment...</title>"), ("s", "u6", 500, ""), ("s", "u7", None, None), ("t", "u1", 408, ""),
+]
+STATES = [
+    (200, "<title>Just a moment...</title><p>" + "words " * 200), (403, '<link href="https://cdn.shopify.com/x.css"><p>' + "words " * 200), (200, '<img src="/wp-content/a.png"><p>' + "words " * 200), (200, '<div id="app"></div><script>' + "x" * 50 + "</script>"),
+    (200, "<p>" + "words " * 200), (200, "<script src=\"//theme.hstatic.net/a.js\"></script><p>Giá 1.250.000₫</p>"), (200, "  "), (200, "<script>var c='captcha-delivery'</script><p>" + "words " * 200),
+]
+SCALARS = ["  a b ", "", "  ", "0", None]
+DAYS = [("2026-09-01", "2026-09-02"), ("2026-09-01 12:00:00", "2026-09-01"), ("no day", "2026-09-01"), (None, "2026-09-01"), ("2026-10-02", "2026-09-01"), ("2026-09-01T06:00:00", "2026-09-01T12:00:00")]
+SITEMAP_PAGES = [
+    ("s1", 0, "https://a.example/sitemap.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>https://a.example/{x}</loc></sitemap>" for x in ("pages.xml", "product-1.xml", "posts.xml", "san-pham-2.xml", "product-1.xml")) + "</sitemapindex>"),
+    ("s1", 1, "https://a.example/product-1.xml", "<urlset>" + "".join(f"<url><loc>https://a.example/{x}</loc></url>" for x in ("about", "products/a", "products/b", "products/a")) + "</urlset>"),
+    ("s2", 0, "https://b.example/products.xml", "<urlset><url><loc>https://b.example/one</loc></url><url><loc>https://b.example/two</loc></url></urlset>"),
+]
+RAGGED = [["a"], ["b", "c", "d"], [], ["e", "f"]]
+REQUESTS = [
+    ("g1", "https://x.example/products/mat", None), ("g2", "https://shopee.vn/brand", None), ("g3", "https://x.example/go", "https://shopee.vn/brand"), ("g4", "https://x.example/collections/mats", None), ("g5", "not an address", None), ("g6", "https://x.example/shell", None),
+]
+GATED_PAGES = [
+    ("g1", "https://x.example/products/mat", LD_PAGE, "entered"), ("g1", "https://x.example/products/micro", MICRO_PAGE, "product"), ("g2", "https://shopee.vn/brand", GUESS_PAGE, "entered"), ("g3", "https://shopee.vn/brand", GUESS_PAGE, "entered"),
+    ("g4", "https://x.example/products.json", FEED, "feed"), ("g4", "https://x.example/collections/mats", GUESS_PAGE, "entered"), ("g6", "https://x.example/shell", '<div id="root"></div>', "entered"),
+]
 CELLS = ["=1+1", "+1", "-1", "@x", "plain", "", "'=ok", "a,b", 'say "hi"', "x;y", "two\nlines"]
 SITEMAPS = ["<sitemapindex><sitemap><loc> https://a.example/s1.xml </loc></sitemap></sitemapindex>", "<urlset><url><loc>https://a.example/?a=1&amp;b=2</loc></url><url><LOC>\n</LOC></url></urlset>"]

@@ -42,6 +42,11 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The URI of the folder that driver and executors share, without a slash at its end."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.html import challenge
+from shelfmark.runtime import exists
 from shelfmark.schema import DEFAULT_SETTINGS, DELAY_FLOOR_MS, LEDGER_SCHEMA, LISTING_SCHEMA
 
 PAGE_SCHEMA = "url string, status int, content_type string, body string, fetched_at timestamp, final_url string, scan_id string"
 
 
-def captured_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAGE_SCHEMA).parquet(path)
-
-
 def json_body(body: Column) -> Column:
     """The parsed JSON of a body without its byte-order mark; null if it does not parse."""
     return F.try_parse_json(F.regexp_replace(body, r"^\ufeff", ""))
@@ -47,6 +44,7 @@ def final_urls(redirects: DataFrame, hops: int = 5) -> DataFrame:
     for _ in range(hops):
         joined = out.join(step, "final_url", "left")
         out = joined.select("url", F.coalesce("next", "final_url").alias("final_url"), (F.col("hops") + F.col("next").isNotNull().cast("int")).alias("hops"))
+    out = out.select("url", "final_url", F.least("hops", F.lit(hops + 1)).alias("hops"))
     return out.withColumn("final_url", F.when(F.col("hops") <= hops, F.col("final_url")))
 
 
@@ -68,11 +66,15 @@ def queue_counts(queue: DataFrame) -> DataFrame:
     return queue.agg(n("PENDING", "RUNNING").alias("waiting"), n("DONE").alias("done"), n("ERROR").alias("failed"), F.count("*").alias("total"))
 
 
-def ensure_tables(spark: SparkSession, database: str) -> None:
-    """Create the listing and ledger tables if they are missing."""
-    for name, schema in (("listings", LISTING_SCHEMA), ("scans", LEDGER_SCHEMA)):
-        if not spark.catalog.tableExists(f"{database}.{name}"):
-            spark.createDataFrame([], schema).write.saveAsTable(f"{database}.{name}")
+TABLES = {"listings": LISTING_SCHEMA, "scans": LEDGER_SCHEMA}
+
+
+def ensure_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The listing and ledger tables in a folder, created with their columns if they are missing and left alone if not."""
+    for name, schema in TABLES.items():
+        if not exists(spark, f"{folder}/{name}"):
+            spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}")
+    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in TABLES.items()}
 
 
 def scan_so_far(listings: DataFrame, scan_id: str, fields: list[str]) -> DataFrame:

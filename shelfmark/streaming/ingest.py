@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.sinks import append_ledger, append_listings
-from shelfmark.operators.snapshot import first_wins
 from shelfmark.schema import LISTING_SCHEMA
 
 
@@ -22,16 +21,11 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, files
 
 
 def finish(listings: DataFrame, rungs: DataFrame, ledger: str) -> DataFrame:
-    """Ledger rows for finished scans (scan_id, rung) that have none."""
+    """The ledger with rows for finished scans (scan_id, rung) that had none."""
     append_ledger(listings.join(rungs, "scan_id"), ledger)
     return listings.sparkSession.read.parquet(ledger)
 
 
-def ingested_once(rows: DataFrame) -> DataFrame:
-    """What ingestion leaves of a set of rows with replays: the batch form of the same rule."""
-    return first_wins(rows)
-
-
 def host_counts(stream: DataFrame, window: str = "10 minutes") -> DataFrame:
     """Requests and failures of each host over a captured fetch log, with a watermark for late rows."""
     bad = F.col("status").isNull() | (F.col("status") >= 500) | (F.col("status") == 408)
