@@ -56,6 +56,10 @@ def _numeric(s: Column) -> Column:
     return put(put(s, "&#x([0-9a-fA-F]+);", 16), "&#([0-9]+);", 10)
 
 
+def first_of(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
 def without_blocks(html: Column) -> Column:
     """Scripts, styles, noscripts and comments give a blank each."""
     out = html
@@ -107,15 +111,15 @@ def json_blocks(html: Column) -> Column:
     return F.filter(F.transform(found, clean), lambda s: s != "")
 
 
-def links(html: Column) -> Column:
-    """array<struct<href, text>> of anchors with an address (3000 at most)."""
-    found = F.slice(F.regexp_extract_all(html, F.lit(r"(?is)(<a\b[^>]*>.{0,300}?</a>)"), F.lit(1)), 1, 3000)
+def links(html: Column, most: int | None = 3000) -> Column:
+    """array<struct<href, text>> of anchors with an address, the first ``most`` (all: None)."""
+    found = first_of(F.regexp_extract_all(html, F.lit(r"(?is)(<a\b[^>]*>.{0,300}?</a>)"), F.lit(1)), most)
     one = lambda a: F.struct(attribute(F.regexp_extract(a, r"(?is)^(<a\b[^>]*>)", 1), "href").alias("href"), visible_text(F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a>\z", "")).alias("text"))
     return F.filter(F.transform(found, one), lambda x: x["href"] != "")
 
 
-def sitemap_locations(xml: Column) -> Column:
-    found = F.slice(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), 1, 60000)
+def sitemap_locations(xml: Column, most: int | None = 60000) -> Column:
+    found = first_of(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), most)
     return F.filter(F.transform(found, lambda u: trimmed(decoded(u))), lambda u: u != "")
 
 
@@ -123,15 +127,16 @@ def is_sitemap_index(xml: Column) -> Column:
     return F.coalesce(xml.rlike(r"(?i)<sitemapindex\b"), F.lit(False))
 
 
-def challenge(html: Column, status: Column) -> Column:
-    """The sign of a bot challenge on the page; null if there is none."""
-    head = F.lower(F.substring(F.coalesce(html, F.lit("")), 1, 20000))
+def challenge(html: Column, status: Column, head_chars: int | None = 20000) -> Column:
+    """The sign of a bot challenge at the beginning of the page (anywhere: None); null if there is none."""
+    whole = F.coalesce(html, F.lit(""))
+    head = F.lower(whole if head_chars is None else F.substring(whole, 1, head_chars))
     first = reduce(lambda out, sign: F.when(F.instr(head, sign) > 0, F.lit(sign)).otherwise(out), reversed(CHALLENGES), F.lit(None).cast("string"))
     return F.coalesce(first, F.when(status == 403, F.lit("HTTP 403")))
 
 
-def platform(html: Column) -> Column:
-    head = F.substring(html, 1, 400_000)
+def platform(html: Column, head_chars: int | None = 400_000) -> Column:
+    head = html if head_chars is None else F.substring(html, 1, head_chars)
     return reduce(lambda out, item: F.when(head.rlike(item[1]), F.lit(item[0])).otherwise(out), reversed(PLATFORMS), F.lit(""))
 
 

@@ -127,7 +127,8 @@ def days_between(a: Column, b: Column) -> Column:
     return F.abs(F.unix_micros(a) - F.unix_micros(b)) / 86400e6
 
 
-def mentions(text: Column, symbols: str = r"₫|đ|VNĐ|VND|\$|€|£|¥") -> Column:
-    """All amounts next to a currency mark, in order (400 at most)."""
+def mentions(text: Column, symbols: str = r"₫|đ|VNĐ|VND|\$|€|£|¥", most: int | None = 400) -> Column:
+    """The first ``most`` amounts (all: None) next to a currency mark, in order."""
     pattern = rf"((?:{symbols})\s*[0-9][0-9., ]{{2,}}|[0-9][0-9., ]{{2,}}\s*(?:{symbols}))"
-    return F.slice(F.regexp_extract_all(F.regexp_replace(text, r"\u00a0", " "), F.lit(pattern), F.lit(1)), 1, 400)
+    found = F.regexp_extract_all(F.regexp_replace(text, r"\u00a0", " "), F.lit(pattern), F.lit(1))
+    return found if most is None else F.slice(found, 1, most)

@@ -6,6 +6,7 @@ PRODUCT_FIELDS, ``missing_reason`` (map of field to reason) and ``row_warnings``
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
@@ -88,10 +89,10 @@ def woo_json(docs: DataFrame, keep: list[str]) -> DataFrame:
     return as_rows(p, values, reasons, [M.implausible(price, money["currency_code"])], [*keep, "p_at"])
 
 
-def product_nodes(tree, most: int = 5000) -> list[dict]:
-    """Objects of type Product in a JSON tree, breadth first."""
+def product_nodes(tree, most: int | None = 5000) -> list[dict]:
+    """Objects of type Product among the first ``most`` nodes of a JSON tree (all: None), breadth first."""
     found, queue, at = [], [tree], 0
-    while at < len(queue) and at < most:
+    while at < len(queue) and (most is None or at < most):
         node = queue[at]
         at += 1
         if isinstance(node, list):
@@ -183,9 +184,9 @@ def json_ld(pages: DataFrame, keep: list[str]) -> DataFrame:
     return as_rows(n, values, reasons, [F.when(F.col("offer") & ~ranged, read["warning"])], [*keep, "block_at", "node_at"])
 
 
-def microdata(html: Column) -> Column:
-    """array<struct<key, value>> of itemprops in order (2000 at most): content, href or src, else the text that follows."""
-    found = F.slice(F.regexp_extract_all(html, F.lit(r"""(?s)(<[a-zA-Z][^>]*itemprop\s*=\s*["']?[a-zA-Z]+["']?[^>]*>(?:[^<]{0,299}(?=<))?)"""), F.lit(1)), 1, 2000)
+def microdata(html: Column, most: int | None = 2000) -> Column:
+    """array<struct<key, value>> of the first ``most`` itemprops (all: None) in order: content, href or src, else the text that follows."""
+    found = H.first_of(F.regexp_extract_all(html, F.lit(r"""(?s)(<[a-zA-Z][^>]*itemprop\s*=\s*["']?[a-zA-Z]+["']?[^>]*>(?:[^<]{0,299}(?=<))?)"""), F.lit(1)), most)
 
     def one(x: Column) -> Column:
         tag, after = F.regexp_extract(x, r"(?s)^(<[^>]*>)", 1), F.regexp_extract(x, r"(?s)^<[^>]*>(.*)\z", 1)
@@ -222,7 +223,7 @@ _ANCHOR = re.compile(r"<a\b([^>]*)>(.{0,300}?)</a>", re.I | re.S)
 _HREF = re.compile(r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s">]+))""", re.I)
 
 
-def price_places(pages: DataFrame, keep: list[str]) -> DataFrame:
+def price_places(pages: DataFrame, keep: list[str], prices: int | None = 600, anchors: int | None = 3000) -> DataFrame:
     """(keep, kind price or anchor, pos, a, b): amounts and links with their places in the page without blocks; built-ins give no places."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema if f.name in keep}
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keep], "kind string, pos long, a string, b string"])
@@ -234,13 +235,9 @@ def price_places(pages: DataFrame, keep: list[str]) -> DataFrame:
             rows = []
             for row in pdf.itertuples(index=False):
                 text = row[-1] or ""
-                for i, m in enumerate(_PRICE.finditer(text)):
-                    if i >= 600:
-                        break
+                for m in itertools.islice(_PRICE.finditer(text), prices):
                     rows.append((*row[:-1], "price", m.start(), f"{m[2] or m[3]} {m[1] or m[4]}", None))
-                for i, m in enumerate(_ANCHOR.finditer(text)):
-                    if i >= 3000:
-                        break
+                for m in itertools.islice(_ANCHOR.finditer(text), anchors):
                     if (h := _HREF.search(m[1])) and (href := h[1] or h[2] or h[3]):
                         rows.append((*row[:-1], "anchor", m.start(), href, m[2]))
             yield pd.DataFrame(rows, columns=[*keep, "kind", "pos", "a", "b"])
@@ -317,17 +314,17 @@ def best_rung(rows: DataFrame) -> DataFrame:
     return rows.join(least, ["scan_id", "rung"], "left_semi")
 
 
-def ladder(pages: DataFrame, page_cap: int = 20) -> DataFrame:
+def ladder(pages: DataFrame, page_cap: int | None = 20) -> DataFrame:
     """Listing rows of all scans from captured pages (PAGE_SCHEMA plus kind: feed, store_api, product or entered; currency).
 
-    Scans of unscannable hosts give nothing; blocked pages and shells are passed over; rung 3 takes at most ``page_cap`` product pages a scan.
+    Scans of unscannable hosts give nothing; blocked pages and shells are passed over; rung 3 takes at most ``page_cap`` product pages a scan (all: None).
     """
     keep = ["scan_id", "url"]
     shipped(pages.sparkSession)
     n = U.normalised(F.col("url"))
     good = pages.withColumn("origin", n["origin"]).where(U.unscannable(n["host"]).isNull() & n.isNotNull()).where(H.challenge(F.col("body"), F.col("status")).isNull() & (F.coalesce("status", F.lit(0)) < 400))
     place = F.row_number().over(Window.partitionBy("scan_id").orderBy("fetched_at", "url"))
-    products = good.where("kind = 'product'").withColumn("place", place).where(F.col("place") <= page_cap)
+    products = good.where("kind = 'product'").withColumn("place", place).where(F.lit(page_cap).isNull() | (F.col("place") <= page_cap))
     entered = good.where("kind = 'entered'")
 
     def structured(part: DataFrame, rung: int) -> DataFrame:

@@ -63,7 +63,7 @@ def nice_step(x: float) -> float:
     return (1 if ratio <= 1 else 2 if ratio <= 2 else 5 if ratio <= 5 else 10) * power
 
 
-def histogram(rows: DataFrame, bins: int = 12, most: int = 201) -> DataFrame:
+def histogram(rows: DataFrame, bins: int = 12, most: int | None = 201) -> DataFrame:
     """(from_price, to_price, n) over equal steps of a round width, empty ones too; a single price is one bin of width 0."""
     spark = rows.sparkSession
     low, high = rows.agg(F.min("price"), F.max("price")).first()
@@ -74,7 +74,8 @@ def histogram(rows: DataFrame, bins: int = 12, most: int = 201) -> DataFrame:
         return rows.where("price is not null").agg(F.lit(low).alias("from_price"), F.lit(low).alias("to_price"), F.count("*").alias("n"))
     step = nice_step((high - low) / bins)
     start = math.floor(low / step) * step
-    count = min(most, int(math.floor((high - start) / step)) + 1)
+    count = int(math.floor((high - start) / step)) + 1
+    count = count if most is None else min(most, count)
     at = F.least(F.greatest(F.floor((F.col("price") - start) / step), F.lit(0)), F.lit(count - 1)).cast("long")
     counted = rows.where("price is not null").groupBy(at.alias("id")).agg(F.count("*").alias("n"))
     return spark.range(count).join(counted, "id", "left").select((F.lit(start) + F.col("id") * step).alias("from_price"), (F.lit(start) + (F.col("id") + 1) * step).alias("to_price"), F.coalesce("n", F.lit(0)).cast("long").alias("n")).orderBy("from_price")
@@ -83,13 +84,13 @@ def histogram(rows: DataFrame, bins: int = 12, most: int = 201) -> DataFrame:
 FACETS = ["store", "platform", "brand", "category", "verdict"]
 
 
-def facets(rows: DataFrame, names: list[str] | None = None, most: int = FACET_VALUES) -> DataFrame:
-    """(facet, value, n) of all facets in one pass: most frequent first, then Vietnamese collation; blanks are skipped, at most ``most`` values each."""
+def facets(rows: DataFrame, names: list[str] | None = None, most: int | None = FACET_VALUES) -> DataFrame:
+    """(facet, value, n) of all facets in one pass: most frequent first, then Vietnamese collation; blanks are skipped, at most ``most`` values each (all: None)."""
     names = names or FACETS
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in names]))
     counted = rows.select(pairs.alias("p")).select("p.*").where("value is not null and value != ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
     order = Window.partitionBy("facet").orderBy(F.desc("n"), F.collate(F.col("value"), "vi"))
-    return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return counted.withColumn("place", F.row_number().over(order)).where(F.lit(most).isNull() | (F.col("place") <= most))
 
 
 def pivot(rows: DataFrame, group: str = "category", stores: int = TOP_STORES, groups: int = TOP_GROUPS) -> tuple[DataFrame, list[str]]:

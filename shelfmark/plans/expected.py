@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shelfmark.plans import vectors as V
 from shelfmark.schema import LEDGER_SCHEMA, LISTING_SCHEMA, PRODUCT_FIELDS
 
 #: SQL types by the names used below.
@@ -87,6 +88,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         ("s", "u1", 200, "ok", 2), ("s", "u2", 503, "retry", 3), ("s", "u3", 404, "refused", 1), ("s", "u4", 403, "blocked", 1), ("s", "u5", 200, "blocked", 1), ("s", "u6", 500, "failed", 1), ("s", "u7", 0, "retry", 1), ("t", "u1", 408, "failed", 1)]),
     "page_states": ("i:i challenge:s platform:s shell:b", [
         (0, "just a moment...", "", False), (1, "HTTP 403", "Shopify", False), (2, None, "WordPress/WooCommerce", False), (3, None, "", True), (4, None, "", False), (5, None, "Haravan", False), (6, None, "", True), (7, "captcha-delivery", "", False)]),
+    "sort_names": ("title:s row_seq:i down:b place:l", [(V.NAMES[i], i, down, k) for down, order in ((False, (5, 2, 1, 6, 0, 4, 3)), (True, (4, 0, 1, 6, 2, 5, 3))) for k, i in enumerate(order)]),
     "scalar_text": ("i:i value:s", [(0, "a b"), (1, None), (2, None), (3, "0"), (4, None)]),
     "day_gaps": ("i:i days:d", [(0, 1.0), (1, 0.5), (2, None), (3, None), (4, 31.0), (5, 0.25)]),
     "filter_descriptions": ("i:i says:s", [

@@ -96,7 +96,8 @@ SQL: dict[str, str] = {
         "s AS (SELECT *, p * CASE WHEN x / p <= 1 THEN 1 WHEN x / p <= 2 THEN 2 WHEN x / p <= 5 THEN 5 ELSE 10 END AS step FROM e)",
         "f AS (SELECT *, floor(lo / step) * step AS start, least(201, floor((hi - floor(lo / step) * step) / step) + 1)::BIGINT AS bins FROM s)",
         "counted AS (SELECT least(greatest(floor((price - start) / step), 0), bins - 1)::BIGINT AS id, count(*) AS k FROM joined, f WHERE price IS NOT NULL GROUP BY 1)"),
-    "facet_counts": over(" UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS n FROM joined WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("store", "platform", "brand", "category", "verdict"))),
+    "facet_counts": over(" UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c})::INT AS place FROM joined WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("store", "platform", "brand", "category", "verdict"))),
+    "facets_top5": over("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c})::INT AS place FROM joined WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("brand", "category")) + ") WHERE place <= 5"),
     "trust_summary": over("""SELECT *, CASE WHEN rows = 0 THEN 'No rows.' ELSE rows || ' rows of ' || scans || ' scans: ' || CASE worst WHEN 'HIGH' THEN 'read from platform feeds.' WHEN 'MEDIUM' THEN 'read from web pages; check three rows by hand.'
   WHEN 'LOW' THEN 'guessed or short of prices; verify everything.' WHEN 'UNSCANNABLE' THEN 'nothing could be read.' ELSE 'trust unknown.' END END AS sentence,
   CASE worst WHEN 'HIGH' THEN 'use as it is' WHEN 'MEDIUM' THEN 'spot-check' WHEN 'LOW' THEN 'verify all' WHEN 'UNSCANNABLE' THEN 'get the data another way' END AS action FROM trust""", TRUST),
@@ -129,7 +130,7 @@ UNION ALL SELECT 4, 'mid', 'distant_scans', floor(days + 0.5)::BIGINT || ' days'
         "steps AS (SELECT source_url, external_id, scan_id, price, lag(price) OVER w AS previous_price, lag(scan_id) OVER w AS previous_scan FROM one WINDOW w AS (PARTITION BY source_url, external_id ORDER BY captured_at, scan_id))"),
     "two_snapshot_union": over("SELECT source_url, count(*) AS rows, count(DISTINCT scan_id) AS scans FROM (SELECT * FROM old_rows UNION ALL SELECT * FROM new_rows) GROUP BY source_url", RANKED),
     "ranked_scans_two": over("SELECT source_url, scan_id, seen, rows, place FROM ranked WHERE place <= 2", RANKED),
-    "dedupe_first_wins": over(f"SELECT {CORE}, {SEQ} FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, external_id ORDER BY {SEQ}) AS k FROM listings) WHERE k = 1"),
+    "dedupe_first_wins": over(f"SELECT {CORE.replace('external_id', 'CASE WHEN l_partkey % 17 <> 0 THEN external_id END AS external_id')}, {SEQ} FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, external_id ORDER BY {SEQ}) AS k FROM listings) WHERE k = 1 OR l_partkey % 17 = 0"),
     "dedupe_last_wins": over(f"SELECT {CORE}, {SEQ} FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, external_id ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_shipdate DESC) AS k FROM listings) WHERE k = 1"),
     "url_scan_counts": over("SELECT source_url, count(DISTINCT scan_id) AS scans, count(*) AS rows FROM listings GROUP BY source_url"),
     "number_format": over("SELECT store, replace(format('{:,}', floor(max(price) + 0.5)::BIGINT), ',', '.') AS highest FROM listings WHERE price IS NOT NULL GROUP BY store"),
@@ -145,6 +146,12 @@ SQL["competitor_pivot"] = over(
     "cells AS (SELECT category AS grp, " + ", ".join(f"floor(quantile_cont(price, 0.5) FILTER (i = {k}) * 100 + 0.5) / 100 AS c{k}, (SELECT store FROM stores8 WHERE i = {k}) AS s{k}" for k in range(8)) + " FROM joined LEFT JOIN stores8 USING (store) WHERE price IS NOT NULL GROUP BY category)",
 )
 
+SQL["competitor_pivot_top"] = over(
+    "SELECT grp, c0, c1, c2, CASE " + " ".join(f"WHEN c{i} = lowest THEN s{i}" for i in range(3)) + " END AS cheapest FROM (SELECT *, least(c0, c1, c2) AS lowest FROM cells ORDER BY n DESC, f LIMIT 10)",
+    f"stores3 AS (SELECT store, (row_number() OVER (ORDER BY n DESC, f))::INT - 1 AS i FROM (SELECT store, count(*) AS n, min(row({SEQ})) AS f FROM joined WHERE price IS NOT NULL GROUP BY store) ORDER BY i LIMIT 3)",
+    "cells AS (SELECT brand AS grp, count(*) AS n, min(row(" + SEQ + ")) AS f, " + ", ".join(f"floor(quantile_cont(price, 0.5) FILTER (i = {k}) * 100 + 0.5) / 100 AS c{k}, (SELECT store FROM stores3 WHERE i = {k}) AS s{k}" for k in range(3)) + " FROM joined LEFT JOIN stores3 USING (store) WHERE price IS NOT NULL GROUP BY brand)",
+)
+
 # --- URLs ---
 _URL_PARTS = r"""s0 AS (SELECT i, trim(url, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM src),
 s1 AS (SELECT i, CASE WHEN regexp_matches(t, '^[a-zA-Z][a-zA-Z0-9+.\-]*://') THEN t WHEN starts_with(t, '//') THEN 'https:' || t WHEN regexp_matches(t, '^[a-zA-Z0-9][a-zA-Z0-9.\-]*\.[a-zA-Z]{2,}(/|$|\?|#)') THEN 'https://' || t END AS s FROM s0),

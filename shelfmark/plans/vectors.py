@@ -77,5 +77,6 @@ GATED_PAGES = [
     ("g1", "https://x.example/products/mat", LD_PAGE, "entered"), ("g1", "https://x.example/products/micro", MICRO_PAGE, "product"), ("g2", "https://shopee.vn/brand", GUESS_PAGE, "entered"), ("g3", "https://shopee.vn/brand", GUESS_PAGE, "entered"),
     ("g4", "https://x.example/products.json", FEED, "feed"), ("g4", "https://x.example/collections/mats", GUESS_PAGE, "entered"), ("g6", "https://x.example/shell", '<div id="root"></div>', "entered"),
 ]
+NAMES = ["em", "đệm", "dừa", None, "zeta", "an", "đệm"]
 CELLS = ["=1+1", "+1", "-1", "@x", "plain", "", "'=ok", "a,b", 'say "hi"', "x;y", "two\nlines"]
 SITEMAPS = ["<sitemapindex><sitemap><loc> https://a.example/s1.xml </loc></sitemap></sitemapindex>", "<urlset><url><loc>https://a.example/?a=1&amp;b=2</loc></url><url><LOC>\n</LOC></url></urlset>"]

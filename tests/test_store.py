@@ -136,14 +136,18 @@ def test_reports(store, tmp_path):
     d = reports.report(store, "PRICE_DISTRIBUTION")
     assert sum(x["n"] for x in d.rows.collect()) == 9 and abs(sum(x["share"] for x in d.rows.collect()) - 1) < 1e-9
     assert reports.report(store, "CHANGES", source_url="https://alpha.example/").rows.count() == 5
+    assert [w["code"] for w in reports.report(store, "CHANGES", source_url="https://alpha.example/").warnings.where("ord = 9").collect()] == ["gone"]
     once = reports.report(store, "CHANGES", source_url="https://beta.example/")
-    assert once.rows.count() == 0 and once.warnings.first()["code"] == "one_scan"
+    assert once.rows.count() == 0 and [w["code"] for w in once.warnings.where("ord = 9").collect()] == ["one_scan"]
     q = reports.report(store, "SCAN_QUALITY", FilterSpec(stores=["nowhere"])).rows.collect()
     assert [x["scan_id"] for x in q] == ["C", "B", "A"] and q[1]["fill_price"] == 0.75 and q[1]["fill_stock_qty"] == 0
     assert reports.report(store, "NONE").warnings.first()["code"] == "unknown_report"
     reports.export_csv(r, str(tmp_path / "csv"))
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*"))
-    assert text.splitlines()[0] == "LOW" and len(text.splitlines()) == 5
+    parts = sorted((tmp_path / "csv").glob("part-*"))
+    assert parts[0].read_text().splitlines()[0] == "LOW" and len(text.splitlines()) == 5
+    sheet = {x["at"]: x["c0"] for x in reports.sheet(r, FilterSpec()).collect()}
+    assert [sheet[i] for i in range(4)] == ["Price ladder by store", "Trust", "", "Action"] and [sheet[i] for i in sorted(sheet)][-3:] == ["Group", "alpha.example", "beta.example"]
     assert reports.export_sheet(r, FilterSpec())[1] == ["Trust", "LOW"]
     reports.export_rows(store, FilterSpec(), str(tmp_path / "all"))
     assert len("".join(p.read_text() for p in (tmp_path / "all").glob("part-*")).splitlines()) == 11
@@ -169,6 +173,9 @@ def test_idempotent_appends(store, tmp_path):
     assert sinks.append_listings(a, path) == 6
     assert sinks.append_listings(a, path) == 0
     assert sinks.append_listings(store.listings, path) == 10
+    nameless = store.listings.withColumn("external_id", F.when(F.col("row_seq") % 2 == 0, F.col("external_id"))).withColumn("scan_id", F.concat(F.lit("00"), "row_seq"))
+    assert sinks.append_listings(nameless, path) == 16
+    assert sinks.append_listings(nameless, path) == 0
 
 
 def test_price_ladder_counts_all_small_groups(spark):
