@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.runtime import materialized
 from shelfmark.schema import HEAVY_COLUMNS, PAGE_DEFAULT, PAGE_LIMIT
 
 
+#: Pages up to so many rows are found by a top-k.
+DEEP = 10_000
 #: Whether a row's scan is the newest of its source, where the ledger told it.
 LATEST = "latest_scan"
 
@@ -106,12 +109,27 @@ def order_by(rows: DataFrame, name: str = "captured_at", descending: bool | None
 
 
 def page(rows: DataFrame, number: int = 1, size: int = PAGE_DEFAULT, name: str = "captured_at", descending: bool | None = None, total: int | None = None) -> DataFrame:
-    """One page: size 1 to 500, page number clamped to what there is; heavy columns are not sent. A top-k, not a full sort."""
+    """One page: size 1 to 500, page number clamped to what there is; heavy columns are not sent.
+
+    A top-k for the first DEEP rows. A page further down is found by its place: rows are sorted over all tasks, counted by partition, and only
+    the partitions that hold the page are read.
+    """
     size = max(1, min(PAGE_LIMIT, size))
     total = rows.count() if total is None else total
     last = max(1, -(-total // size))
     number = max(1, min(number, last))
-    return rows.drop(*HEAVY_COLUMNS, LATEST).orderBy(*order_by(rows, name, descending)).offset((number - 1) * size).limit(size)
+    first, slim = (number - 1) * size, rows.drop(*HEAVY_COLUMNS, LATEST)
+    if first + size <= DEEP:
+        return slim.orderBy(*order_by(rows, name, descending)).offset(first).limit(size)
+    placed = materialized(slim.orderBy(*order_by(rows, name, descending)).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "ordered")
+    parts = sorted(placed.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("low")).collect())  # a row a partition
+    wanted, before = F.lit(False), 0
+    for part in parts:
+        low, high = max(first, before), min(first + size, before + part["n"])
+        if low < high:
+            wanted = wanted | (F.col("__part") == part["__part"]) & F.col("__at").between(part["low"] + low - before, part["low"] + high - before - 1)
+        before += part["n"]
+    return placed.where(wanted).orderBy("__at").drop("__part", "__at")
 
 
 def first_wins(rows: DataFrame) -> DataFrame:

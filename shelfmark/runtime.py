@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,8 +33,9 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Where scratch goes if the session names no shared folder and runs in one process, as in tests.
+#: Where scratch goes, until the process ends, if the session names no shared folder and runs in one process, as in tests.
 LOCAL_SCRATCH = "file:///tmp/checkpoints/shelfmark"
+_local: set[str] = set()
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +56,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir is unset: executors and the driver need a folder that they share")
-        root = LOCAL_SCRATCH
+        root = f"{LOCAL_SCRATCH}/{spark.sparkContext.applicationId}"
+        if root not in _local:
+            _local.add(root)
+            atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
     if "://" not in root:
         root = f"file://{root}" if not root.startswith("file:") else root.replace("file:", "file://", 1)
     return root.rstrip("/")

@@ -29,12 +29,24 @@ def attempts(log: DataFrame, most: int = 3) -> DataFrame:
     return tried.groupBy("scan_id", "url").agg(F.min_by(F.struct("status", "body", "final_url", "outcome", "try"), F.struct((F.col("outcome") == "retry").alias("again"), F.when(F.col("outcome") == "retry", -F.col("try")).otherwise(F.col("try")))).alias("x")).select("scan_id", "url", "x.*")
 
 
-def host_health(log: DataFrame, failures: int = 3, cap: int = 500) -> DataFrame:
+def host_health(log: DataFrame, failures: int = 3, cap: int = 500, stretch: str = "hour") -> DataFrame:
     """Per (scan_id, host): requests, the longest run of failures, whether the host is dead or over its cap. 4xx answers end a run; 5xx and 408 lengthen it."""
     bad = F.col("status").isNull() | (F.col("status") >= 500) | F.col("status").isin(0, 408)
-    order = Window.partitionBy("scan_id", "host").orderBy("fetched_at", "seq")
-    runs = log.withColumn("bad", bad).withColumn("run", F.sum((~bad).cast("int")).over(order)).groupBy("scan_id", "host", "run").agg(F.count_if("bad").alias("k"), F.count("*").alias("n"))
-    return runs.groupBy("scan_id", "host").agg(F.sum("n").alias("requests"), F.max("k").alias("failures_in_a_row")).withColumn("dead", F.col("failures_in_a_row") >= failures).withColumn("over_cap", F.col("requests") > cap)
+    # runs are found within stretches of time, so that a busy host is not one task's work; stretches are then joined in order
+    own = ["scan_id", "host", "stretch"]
+    order = Window.partitionBy(*own).orderBy("fetched_at", "seq")
+    rows = log.withColumn("stretch", F.date_trunc(stretch, "fetched_at")).withColumn("bad", bad)
+    runs = rows.withColumn("run", F.sum((~bad).cast("int")).over(order)).groupBy(*own, "run").agg(F.count_if("bad").alias("k"), F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    parts = runs.groupBy(*own).agg(F.sum("n").alias("n"), F.max("k").alias("longest"), (F.max("run") == 0).alias("whole"), F.coalesce(F.max(F.when(F.col("run") == 0, F.col("k"))), zero).alias("head"), F.max_by("k", "run").alias("tail"))
+    listed = F.array_sort(F.collect_list(F.struct("stretch", "longest", "whole", "head", "tail")))
+
+    def step(state: Column, x: Column) -> Column:
+        open_ = state["open"] + x["head"]
+        return F.struct(F.greatest(state["best"], open_, x["longest"]).alias("best"), F.when(x["whole"], open_).otherwise(x["tail"]).alias("open"))
+
+    longest = F.aggregate(listed, F.struct(zero.alias("best"), zero.alias("open")), step, lambda s: s["best"])
+    return parts.groupBy("scan_id", "host").agg(F.sum("n").alias("requests"), longest.alias("failures_in_a_row")).withColumn("dead", F.col("failures_in_a_row") >= failures).withColumn("over_cap", F.col("requests") > cap)
 
 
 def final_urls(redirects: DataFrame, hops: int = 5) -> DataFrame:

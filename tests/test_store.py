@@ -1,10 +1,14 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 from store_fixture import small_store
 
-from shelfmark.operators import diff, sinks, stats, trust
+from shelfmark.operators import diff, sinks, snapshot, stats, trust
 from shelfmark.operators.snapshot import FilterSpec, filtered, first_wins, last_wins, page
 from shelfmark.plans import reports
+from shelfmark.sources import captured
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +52,27 @@ def test_page_clamps(joined):
     assert "short_desc" not in page(rows).columns
 
 
+def test_deep_pages(joined, monkeypatch):
+    rows = joined.repartition(5)
+    want = [[r["row_seq"] for r in page(rows, n, 3, "price", True).collect()] for n in range(1, 8)]
+    monkeypatch.setattr(snapshot, "DEEP", 0)
+    assert [[r["row_seq"] for r in page(rows, n, 3, "price", True).collect()] for n in range(1, 8)] == want and len(want[5]) == 1
+    assert page(joined.where("false"), 4, 3).count() == 0
+
+
+def test_failures_in_a_row_over_stretches(spark):
+    rng = random.Random(3)
+    log = [(f"h{i % 3}", rng.choice([200, 404, 500, 503, None, 408, 500]), datetime(2026, 9, 1) + timedelta(minutes=rng.randrange(3000)), i) for i in range(400)]
+    log += [("dead", 500, datetime(2026, 9, 1) + timedelta(hours=k), 1000 + k) for k in range(9)]
+    want = {}
+    for host, status, _, _ in sorted(log, key=lambda x: (x[2], x[3])):
+        n, run, best = want.get(host, (0, 0, 0))
+        run = run + 1 if status is None or status >= 500 or status == 408 else 0
+        want[host] = n + 1, run, max(best, run)
+    got = captured.host_health(spark.createDataFrame(log, "host string, status int, fetched_at timestamp, seq long").withColumn("scan_id", F.lit("s")))
+    assert {r["host"]: (r["requests"], r["failures_in_a_row"]) for r in got.collect()} == {h: (n, best) for h, (n, _, best) in want.items()}
+
+
 def test_describe(joined):
     d = stats.described(filtered(joined, FilterSpec())).first()
     assert (d["n"], d["median"], d["p25"], d["p75"], d["mean"], d["total"]) == (9, 300000, 200000, 400000, 330000, 2970000)
