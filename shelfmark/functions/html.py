@@ -23,6 +23,13 @@ PLATFORMS = [
     ("Sapo/Bizweb", r"(?i)bizweb\.dkstatic\.vn|sapoapp|Sapo\.|sapo-section"), ("WordPress/WooCommerce", r"(?i)wp-content|wp-includes|woocommerce"),
     ("Magento", r"(?i)Magento_|mage/|magento"), ("Nhanh.vn", r"(?i)nhanh\.vn"), ("KiotViet", r"(?i)kiotviet"), ("Wix", r"(?i)wixstatic\.com|wix-code"), ("LadiPage", r"(?i)ladipage|ladi-"),
 ]
+# Patterns of anchors, structured blocks, empty roots, and places where a page states its currency.
+ANCHOR = r"(?is)(<a\b[^>]*>.{0,300}?</a>)"
+JSON_BLOCK = r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
+EMPTY_ROOT = r"""(?i)<(div|main)\b[^>]*id\s*=\s*["']?(root|app|__next|__nuxt|q-app)["']?[^>]*>\s*</(div|main)>"""
+CURRENCY_SCRIPT = r'\.currency\s*=\s*\{[^}]*"active"\s*:\s*"([A-Z]{3})"'
+CURRENCY_ITEM = r"""(?i)itemprop\s*=\s*["']?pricecurrency["']?[^>]*content\s*=\s*["']([A-Za-z]{3})["']"""
+CURRENCY_BLOCK = r'"priceCurrency"\s*:\s*"([A-Za-z]{3})"'
 
 
 def decoded(s: Column) -> Column:
@@ -106,14 +113,14 @@ def title(html: Column) -> Column:
 
 def json_blocks(html: Column) -> Column:
     """Texts of ld+json scripts."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""), F.lit(1))
+    found = F.regexp_extract_all(html, F.lit(JSON_BLOCK), F.lit(1))
     clean = lambda s: trimmed(F.regexp_replace(F.regexp_replace(s, r"^\s*//<!\[CDATA\[|\]\]>\s*\z", ""), "<!--|-->", ""))
     return F.filter(F.transform(found, clean), lambda s: s != "")
 
 
 def links(html: Column, most: int | None = 3000) -> Column:
     """array<struct<href, text>> of anchors with an address, the first ``most`` (all: None)."""
-    found = first_of(F.regexp_extract_all(html, F.lit(r"(?is)(<a\b[^>]*>.{0,300}?</a>)"), F.lit(1)), most)
+    found = first_of(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)), most)
     one = lambda a: F.struct(attribute(F.regexp_extract(a, r"(?is)^(<a\b[^>]*>)", 1), "href").alias("href"), visible_text(F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a>\z", "")).alias("text"))
     return F.filter(F.transform(found, one), lambda x: x["href"] != "")
 
@@ -142,9 +149,9 @@ def platform(html: Column, head_chars: int | None = 400_000) -> Column:
 
 def page_currency(html: Column) -> Column:
     """A currency that the page states itself (script, meta, structured data); '' if none."""
-    script = lambda who: F.nullif(F.regexp_extract(html, who + r'\.currency\s*=\s*\{[^}]*"active"\s*:\s*"([A-Z]{3})"', 1), F.lit(""))
-    item = F.nullif(F.regexp_extract(html, r"""(?i)itemprop\s*=\s*["']?pricecurrency["']?[^>]*content\s*=\s*["']([A-Za-z]{3})["']""", 1), F.lit(""))
-    block = F.nullif(F.regexp_extract(F.array_join(json_blocks(html), "\n"), r'"priceCurrency"\s*:\s*"([A-Za-z]{3})"', 1), F.lit(""))
+    script = lambda who: F.nullif(F.regexp_extract(html, who + CURRENCY_SCRIPT, 1), F.lit(""))
+    item = F.nullif(F.regexp_extract(html, CURRENCY_ITEM, 1), F.lit(""))
+    block = F.nullif(F.regexp_extract(F.array_join(json_blocks(html), "\n"), CURRENCY_BLOCK, 1), F.lit(""))
     return F.coalesce(script("Shopify"), script("Haravan"), F.upper(meta(html, "product:price:currency")), F.upper(meta(html, "og:price:currency")), F.upper(item), F.upper(block), F.lit(""))
 
 
@@ -163,7 +170,7 @@ def is_shell(html: Column) -> Column:
     """Whether scripts must draw the page: blank, an empty root, or hardly any text, and no price; never with structured products."""
     text = visible_text(html)
     product = F.array_join(json_blocks(html), "\n").rlike(r'(?i)"@type"\s*:\s*(\[[^\]]*)?"product"')
-    root = html.rlike(r"""(?i)<(div|main)\b[^>]*id\s*=\s*["']?(root|app|__next|__nuxt|q-app)["']?[^>]*>\s*</(div|main)>""")
+    root = html.rlike(EMPTY_ROOT)
     priced, n, m = F.size(mentions(text)) > 0, F.length(html), F.length(text)
     shell = ~priced & (root | ((m < 600) & (n > 2000)) | ((m / n < 0.02) & (n > 20000)))
     return F.when(trimmed(F.coalesce(html, F.lit(""))) == "", True).when(product, False).otherwise(shell)

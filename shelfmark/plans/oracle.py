@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shelfmark.functions.html import ENTITIES
 from shelfmark.functions.money import CURRENCIES
 from shelfmark.functions.urls import CATEGORY_PATHS, PRODUCT_PATHS, TRACKING, UNSCANNABLE
 from shelfmark.plans import expected
@@ -186,7 +187,7 @@ _NO_BLOCKS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
 
 def _decode(x: str) -> str:
     out = f"replace({x}, '&amp;', chr(57360))"
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&ndash;", "-"), ("&mdash;", "-"), ("&hellip;", "..."), ("&eacute;", "é")):
+    for name, value in ENTITIES:
         out = f"replace({out}, '{name}', {text(value)})"
     return f"replace({out}, chr(57360), '&')"
 

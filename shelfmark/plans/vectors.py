@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 
 PRICES = [
-    "1.250.000", "1,250,000", "250.000₫", "250.000 đ", "1.250.000 VND", "1 250 000", "250000", "1.250.00", "3.5", "3,5", "250k", "1tr2", "12.34.567", "",
-    "Liên hệ", "1.250.000₫ - 2.000.000₫", "-250.000", "259000.00", "1.250.000,50", "1.250,000", "S$100", "250.000 vnđ", "$100", "100 USD 5 EUR", "€ 1.299,95", "1.2,3 4", "#12", "  ",
+    "2.340.000", "2,340,000", "480.000₫", "480.000 đ", "2.340.000 VND", "2 340 000", "480000", "2.340.00", "3.5", "3,5", "480k", "2tr3", "98.76.543", "",
+    "Liên hệ", "2.340.000₫ - 5.100.000₫", "-480.000", "617000.00", "2.340.000,50", "2.340,000", "S$700", "480.000 vnđ", "$700", "300 USD 8 EUR", "€ 1.874,95", "1.2,3 4", "#12", "  ",
 ]
 NUMBERS = ["259000.00", "1.250.000", "", "0", "12", "007.5", "-3", "1e5", " 42 "]
 COUNTS = ["1.234", "abc", "4.5", "1,000", " 7 ", "", "12 345"]
