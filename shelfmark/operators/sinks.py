@@ -51,17 +51,21 @@ def append_listings(batch: DataFrame, path: str) -> int:
     rows were appended.
     """
     spark = batch.sparkSession
-    fresh = first_wins(batch).withColumn("__key", row_key())
-    if exists(spark, path):
-        have = spark.read.schema(batch.schema).parquet(path)
-        scans = [r["scan_id"] for r in batch.select("scan_id").distinct().limit(MOST_SCANS + 1).collect()]
-        if len(scans) <= MOST_SCANS:  # names of partitions: the others are not even listed
-            have = have.where(F.col("scan_id").isin([x for x in scans if x is not None]) | F.lit(None in scans) & F.col("scan_id").isNull())
-        written = have.select(F.col("scan_id").alias("__scan"), row_key().alias("__written"))
-        fresh = fresh.join(written, F.col("scan_id").eqNullSafe(F.col("__scan")) & (F.col("__key") == F.col("__written")), "left_anti")
-    seen = Observation()
-    fresh.drop("__key").observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("store", "scan_id").parquet(path)
-    return seen.get["n"]
+    fresh = first_wins(batch).withColumn("__key", row_key()).persist()
+    try:
+        rows = fresh
+        if exists(spark, path):
+            have = spark.read.schema(batch.schema).parquet(path)
+            scans = [r["scan_id"] for r in fresh.select("scan_id").distinct().limit(MOST_SCANS + 1).collect()]
+            if len(scans) <= MOST_SCANS:  # names of partitions: the others are not even listed
+                have = have.where(F.col("scan_id").isin([x for x in scans if x is not None]) | F.lit(None in scans) & F.col("scan_id").isNull())
+            written = have.select(F.col("scan_id").alias("__scan"), row_key().alias("__written"))
+            rows = fresh.join(written, F.col("scan_id").eqNullSafe(F.col("__scan")) & (F.col("__key") == F.col("__written")), "left_anti")
+        seen = Observation()
+        rows.drop("__key").observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("store", "scan_id").parquet(path)
+        return seen.get["n"]
+    finally:
+        fresh.unpersist()
 
 
 #: Up to so many scans of a batch prune the table's partitions by name.

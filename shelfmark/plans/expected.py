@@ -86,6 +86,8 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         ("https://star.example", "/x", False, "/"), ("https://star.example", "/y", False, "/")]),
     "fetch_attempts": ("scan_id:s url:s status:i outcome:s try:i", [
         ("s", "u1", 200, "ok", 2), ("s", "u2", 503, "retry", 3), ("s", "u3", 404, "refused", 1), ("s", "u4", 403, "blocked", 1), ("s", "u5", 200, "blocked", 1), ("s", "u6", 500, "failed", 1), ("s", "u7", 0, "retry", 1), ("t", "u1", 408, "failed", 1)]),
+    "failure_log": ("scan_id:s place:i url:s outcome:s", [("s", 1, "u7", "retry"), ("s", 2, "u6", "failed"), ("s", 3, "u5", "blocked"), ("t", 1, "u1", "failed")]),
+    "ingest_resumes": ("run:l batch:l read:l written:l cursor:l", [(0, 0, 2, 4, 1), (0, 1, 2, 4, 1), (1, 2, 2, 6, 2), (2, 0, 6, 6, 0)]),
     "page_states": ("i:i challenge:s platform:s shell:b", [
         (0, "just a moment...", "", False), (1, "HTTP 403", "Shopify", False), (2, None, "WordPress/WooCommerce", False), (3, None, "", True), (4, None, "", False), (5, None, "Haravan", False), (6, None, "", True), (7, "captcha-delivery", "", False)]),
     "sort_names": ("title:s row_seq:i down:b place:l", [(V.NAMES[i], i, down, k) for down, order in ((False, (5, 2, 1, 6, 0, 4, 3)), (True, (4, 0, 1, 6, 2, 5, 3))) for k, i in enumerate(order)]),

@@ -219,6 +219,8 @@ SQL["host_failures"] = """WITH log AS (SELECT 's' AS scan_id, (user_id % 50)::VA
 r AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY host ORDER BY ts, event_id) AS run FROM log), k AS (SELECT scan_id, host, run, count(*) FILTER (bad) AS k, count(*) AS n FROM r GROUP BY ALL)
 SELECT scan_id, host, sum(n)::BIGINT AS requests, max(k) AS failures_in_a_row, max(k) >= 3 AS dead, sum(n) > 500 AS over_cap FROM k GROUP BY scan_id, host"""
 
+SQL["host_windows"] = "SELECT epoch(time_bucket(INTERVAL '10 minutes', ts::TIMESTAMP))::BIGINT AS begins, (user_id % 50)::VARCHAR AS host, count(*) AS requests, count(*) FILTER (value < 20) AS failures FROM events GROUP BY ALL"
+
 # --- cells, links, sitemaps ---
 SQL["formula_guard"] = f"""SELECT i, CASE WHEN substr(v, 1, 1) IN ('=', '+', '-', '@') THEN '''' || v ELSE v END AS guarded,
 CASE WHEN regexp_matches(v, '[",;\\n\\r]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS cell, regexp_replace(v || ' | ', '[\\s|]+$', '') AS reason FROM {values(V.CELLS)}"""

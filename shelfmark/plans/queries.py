@@ -539,10 +539,47 @@ def robots_group_choice(spark, sf_dir):
     return R.allowed(paths, R.applying(R.rules(spark.createDataFrame(V.GROUPS, "origin string, body string")), "shelfmarkbot"))
 
 
+def _fetches(spark) -> DataFrame:
+    log = spark.createDataFrame([(i, *x) for i, x in enumerate(V.FETCHES)], "seq int, scan_id string, url string, status int, body string")
+    return log.withColumn("fetched_at", F.lit(0).cast("timestamp")).withColumn("final_url", F.col("url"))
+
+
+@query
+def failure_log(spark, sf_dir):
+    return captured.failure_log(_fetches(spark), 3)
+
+
+@query
+def host_windows(spark, sf_dir):
+    """Events as a fetch log, counted by host and ten minutes."""
+    from shelfmark.streaming.ingest import host_counts
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    log = e.select((F.col("user_id") % 50).cast("string").alias("host"), F.when(F.col("value") < 20, 503).otherwise(200).alias("status"), F.col("ts").cast("timestamp").alias("fetched_at"))
+    return host_counts(log).select(F.unix_seconds("window.start").alias("begins"), "host", "requests", "failures")
+
+
+@query
+def ingest_resumes(spark, sf_dir):
+    """Two files, then a third, then all again after the cursor was cleared: (run, batch, rows read, rows written so far, cursor)."""
+    from shelfmark.streaming.ingest import cleared, cursor, ingest
+
+    folder, out = f"{shared_folder(spark)}/resume-{uuid.uuid4().hex}", []
+    rows = spark.range(6).select(F.lit("s").alias("scan_id"), F.lit("a").alias("store"), F.when(F.col("id") != 3, F.col("id").cast("string")).alias("external_id"), F.col("id").alias("row_seq"))
+    for run, files in enumerate(([0, 1], [2], [])):
+        for k in files:
+            rows.where(f"row_seq div 2 = {k}").coalesce(1).write.parquet(f"{folder}/in/{k}")
+        if run == 2:
+            cleared(spark, f"{folder}/checkpoint")
+        seen: list = []
+        n = ingest(spark, f"{folder}/in/*", f"{folder}/out", f"{folder}/checkpoint", 1 if run < 2 else 9, rows.schema, seen).count()
+        out += [(run, batch, read, n, cursor(spark, f"{folder}/checkpoint")) for batch, read in seen]
+    return spark.createDataFrame(out, "run long, batch long, read long, written long, cursor long")
+
+
 @query
 def fetch_attempts(spark, sf_dir):
-    log = spark.createDataFrame([(i, *x) for i, x in enumerate(V.FETCHES)], "seq int, scan_id string, url string, status int, body string")
-    return captured.attempts(log.withColumn("fetched_at", F.lit(0).cast("timestamp")).withColumn("final_url", F.col("url"))).select("scan_id", "url", F.coalesce("status", F.lit(0)).alias("status"), "outcome", "try")
+    return captured.attempts(_fetches(spark)).select("scan_id", "url", F.coalesce("status", F.lit(0)).alias("status"), "outcome", "try")
 
 
 @query

@@ -29,6 +29,13 @@ def attempts(log: DataFrame, most: int = 3) -> DataFrame:
     return tried.groupBy("scan_id", "url").agg(F.min_by(F.struct("status", "body", "final_url", "outcome", "try"), F.struct((F.col("outcome") == "retry").alias("again"), F.when(F.col("outcome") == "retry", -F.col("try")).otherwise(F.col("try")))).alias("x")).select("scan_id", "url", "x.*")
 
 
+def failure_log(log: DataFrame, most: int | None = 30) -> DataFrame:
+    """(scan_id, place, url, outcome): the last ``most`` addresses (all: None) of each scan whose answer that counts is not ok, the newest first."""
+    failed = attempts(log).where("outcome != 'ok'").join(log.groupBy("scan_id", "url").agg(F.max("seq").alias("seq")), ["scan_id", "url"])
+    placed = failed.withColumn("place", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("seq"))))
+    return placed.where(F.lit(most).isNull() | (F.col("place") <= most)).select("scan_id", "place", "url", "outcome")
+
+
 def host_health(log: DataFrame, failures: int = 3, cap: int = 500, stretch: str = "hour") -> DataFrame:
     """Per (scan_id, host): requests, the longest run of failures, whether the host is dead or over its cap. 4xx answers end a run; 5xx and 408 lengthen it."""
     bad = F.col("status").isNull() | (F.col("status") >= 500) | F.col("status").isin(0, 408)
