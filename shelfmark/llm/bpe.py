@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.store import picked
+from shelfmark.llm.store import CACHES, begin, picked
 from shelfmark.runtime import shipped
 
 BUCKETS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64, 128, 512, 4096)
@@ -234,6 +234,9 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(ranks, pattern)
 
 
+CACHES["bpe"] = encoder.cache_clear
+
+
 def groups(items: list, size: int):
     """Lists of items whose lengths add up to about ``size``."""
     part, n = [], 0
@@ -254,6 +257,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
     """doc_id, n_tokens, digests of the ids and of the bytes that they decode to; with_ids adds ``ids array<int>``."""
 
     def run(batches):
+        begin("bpe")
         coder = encoder(vocabulary, pattern)
         for pdf in batches:
             doc_ids, at = pdf["doc_id"].tolist(), 0

@@ -15,6 +15,7 @@ labelled or held out; an empty table gives no row; columns are taken by their ex
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.store import free_name, picked
+from shelfmark.llm.store import begin, free_name, give_back, picked
 from shelfmark.runtime import shipped
 
 TRIGRAMS, SHAPES, COUNTS = 1024, 512, 24
@@ -162,8 +163,11 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = shipped(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores([t if isinstance(t, str) else None for t in texts]))
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        begin("knn")
+        for texts in parts:
+            yield pd.Series(shared.value.scores([t if isinstance(t, str) else None for t in texts]))
+        give_back()
 
     names = [f"c{i}" for i in range(len(docs.columns))]
     out = docs.toDF(*names).withColumn("score", score(F.col(names[docs.columns.index(text_col)]).cast("string")))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.bpe import groups
-from shelfmark.llm.store import dropped, in_task, picked, written
+from shelfmark.llm.store import CACHES, begin, in_task, picked, written
 from shelfmark.runtime import shipped
 
 CAPACITY, GRAIN, END_ID = 2048, 8, 1
@@ -114,6 +114,9 @@ def vocabulary_encoder(path: str, pattern: str, fast: bool, keep_added: bool = T
     return VocabularyEncoder(path, pattern, fast, keep_added)
 
 
+CACHES["packing"] = vocabulary_encoder.cache_clear
+
+
 def cut(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int | None = END_ID, keep_added: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PIECE_SCHEMA: full pieces (bin 0) and rests (bin = length in grains, rounded up), numbered within task and bin."""
     fast = same_merges(vocabulary, pattern)
@@ -121,6 +124,7 @@ def cut(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY
     def run(batches):
         from pyspark import TaskContext
 
+        begin("packing")
         task, coder, counts = TaskContext.get().partitionId(), vocabulary_encoder(vocabulary, pattern, fast, keep_added), np.zeros(capacity // grain + 2, np.int64)
         for pdf in batches:
             doc_ids, done = pdf["doc_id"].tolist(), 0

@@ -8,6 +8,7 @@ knows (file, hdfs, s3, gs) works on executors; paths are always full URIs.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,18 @@ def in_task(spark: SparkSession, job):
     return pickle.loads(spark.range(0, 1, 1, 1).mapInPandas(run, "out binary").first()["out"])
 
 
+#: How to empty the caches of this process, by the operator they belong to.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str) -> None:
+    """At the start of a task: a worker that served other operators lets go of what they cached (tokenizers, word hashes), which it would keep for good."""
+    for name, empty in CACHES.items():
+        if name != operator:
+            empty()
+    give_back()
+
+
 def give_back() -> None:
     """At the end of a task: return memory that the worker no longer uses to the system, as the next stage may need it for the JVM."""
     import ctypes

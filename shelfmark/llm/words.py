@@ -8,6 +8,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from shelfmark.llm.store import CACHES
+
 CACHE_WORDS = 100_000
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -23,6 +25,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+CACHES["ngram_join"] = _hashes.clear
 
 
 def words_of(text: str | None) -> list[bytes]:
