@@ -15,6 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     hubs meet in partial minima and in joins that adaptive execution may split.
     """
     both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u != v").distinct(), "edges")
+    if both.isEmpty():
+        return both.select(F.col("u").alias("v"), F.col("v").alias("c"))
     label = written(both.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.first("u")).alias("c")), "labels")
     while True:
         near = both.join(label, "v").groupBy(F.col("u").alias("v")).agg(F.min("c").alias("n"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import bloom
 from shelfmark.llm.graph import components, merged
-from shelfmark.llm.store import dropped, freed, give_back, picked, written
+from shelfmark.llm.store import begin, dropped, freed, give_back, picked, written
 from shelfmark.llm.words import mixed, shingle_hashes, words_of
 from shelfmark.runtime import shipped
 
@@ -221,6 +221,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: Thresho
     """The pairs whose sets are similar, each compared in whole, as words. ``texts``: (c, o, text), one text a class."""
 
     def run(batches):
+        begin("ngram_join")
         last = kept = None
         for pdf in batches:
             ok = []
@@ -361,6 +362,7 @@ def _linked(rows: DataFrame, width: int, threshold: Threshold, by_id: bool) -> D
 
     def entries(batches):
         """One row a text (s null, with its sketch), and one (s, c, band, spare) for each entry of its set."""
+        begin("ngram_join")
         seen = {}
         for pdf, sets in _token_sets(batches, width):
             names = np.array([_class_of(t) for t in sets], np.int64).reshape(-1, 2)
@@ -429,6 +431,8 @@ def _linked(rows: DataFrame, width: int, threshold: Threshold, by_id: bool) -> D
         nonlocal tried
         new = _likely(pairs, sketches, threshold)
         likely = written(new if tried is None else new.join(tried, PAIR, "left_anti"), "likely")
+        if likely.isEmpty():
+            return likely
         tried = likely if tried is None else tried.union(likely)
         own = likely.select(F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("ou").alias("o")), F.struct(F.col("v").alias("c"), F.col("ov").alias("o")))).alias("x")).select("x.c", "x.o").distinct()
         own = written(own.join(weight.select("c", "c2", "o", "tag"), ["c", "o"]), "owners")
@@ -446,33 +450,40 @@ def _linked(rows: DataFrame, width: int, threshold: Threshold, by_id: bool) -> D
         edges = edges.union(full.join(twice, "doc_id").join(classes, ["c", "c2"]).select(F.col("doc_id").alias("u"), F.col("o").alias("v")))
     label = components(edges)
 
-    def labelled() -> DataFrame:
+    def labelled(label: DataFrame) -> DataFrame:
         """The groups that still hold several components."""
         tagged = met.join(label.select(F.col("v").alias("o"), F.col("c").alias("l")), "o", "left").withColumn("l", F.coalesce("l", "o"))
         several = tagged.groupBy("s").agg(F.min("l").alias("l0"), F.max("l").alias("l1"), F.max(F.struct("weight", "c", "o", "l"))["l"].alias("pl")).where("l0 != l1").select("s", "pl")
         return written(tagged.join(several, "s").select("s", "c", "o", "n", "weight", "l", "pl"), "apart")
 
-    apart = labelled()
-    loose = apart.where("l != pl")
-    star = loose.join(loose.groupBy("s").agg(F.max(F.struct("weight", "c", "o", "n", "l")).alias("p")).select("s", *pivot, F.col("p.l").alias("ql")), "s").where(fits & (F.col("l") != F.col("ql")))
-    links = similar(_pairs(star))
-    label = merged(label, links.select(F.col("ou").alias("u"), F.col("ov").alias("v")))
-    dropped(apart)
-    # what is left: members of one group in different components, and not tested yet
-    apart = labelled()
-
-    @F.pandas_udf("binary")
-    def coarse(x: pd.Series) -> pd.Series:
-        return pd.Series([folded(y, COARSE // 8) for y in x], dtype=object)
-
-    flat = written(sketches.join(apart.select("c", "o").distinct(), ["c", "o"], "left_semi").select("c", "o", coarse("sketch").alias("h")), "coarse")
-    links = similar(written(_across(apart.drop("pl"), flat, threshold), "pairs"))
-    label = merged(label, links.select(F.col("ou").alias("u"), F.col("ov").alias("v")))
+    def rest(apart: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Labels after members outside of a pivot's component were tested against the heaviest of themselves, and then all that were not tested yet."""
+        loose = apart.where("l != pl")
+        star = loose.join(loose.groupBy("s").agg(F.max(F.struct("weight", "c", "o", "n", "l")).alias("p")).select("s", *pivot, F.col("p.l").alias("ql")), "s").where(fits & (F.col("l") != F.col("ql")))
+        links = similar(_pairs(star))
+        label = merged(label, links.select(F.col("ou").alias("u"), F.col("ov").alias("v")))
+        dropped(apart)
+        # what is left: members of one group in different components, and not tested yet
+        apart = labelled(label)
+
+        @F.pandas_udf("binary")
+        def coarse(x: pd.Series) -> pd.Series:
+            return pd.Series([folded(y, COARSE // 8) for y in x], dtype=object)
+
+        flat = written(sketches.join(apart.select("c", "o").distinct(), ["c", "o"], "left_semi").select("c", "o", coarse("sketch").alias("h")), "coarse")
+        links = similar(written(_across(apart.drop("pl"), flat, threshold), "pairs"))
+        label = merged(label, links.select(F.col("ou").alias("u"), F.col("ov").alias("v")))
+        dropped(flat)
+        return label, apart
+
+    apart = labelled(label)
+    if not apart.isEmpty():
+        label, apart = rest(apart, label)
     freed(spark)
     # one row for each class that has copies or links
     placed = classes.join(label.select(F.col("v").alias("o"), F.col("c").alias("l")), "o", "left").where("copies > 1 or l is not null or o >= 4611686018427387904L")
     placed = written(placed.select("c", "c2", F.coalesce("l", "o").alias("component")), "components")
-    for table in (apart, flat, met, sketches, weight, classes):
+    for table in (apart, met, sketches, weight, classes):
         dropped(table)
     out = members.join(placed, ["c", "c2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")) if by_id else F.when(F.col("n") > 0, F.coalesce("component", "doc_id"))

@@ -47,7 +47,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), max_words=spans.PASSAGE_CUT)
+    return spans.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), **spans.PASSAGES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A text is cut into sentences after ``. ! ?`` before white space and at line ends. Every run of ``sentences`` consecutive sentences is hashed, and the
 hashes are joined over the whole corpus. The first place of a run is the first one in the document with the smallest doc_id (and of several
-texts under one id, that with the smallest text hash); the sentences under any other place are removed. Runs have no least number of words.
+texts under one id, that with the smallest text hash); the sentences under any other place are removed. Runs have no least number of words unless
+``min_words`` asks for one, so that short lines which many documents share, as licences or headings, can be left alone.
 
 That finds no passage that begins and ends inside of sentences, as in texts without punctuation. With ``max_words`` a sentence of that many words or more
 is cut, before the word with the least hash (the last of equal ones) of each window of ``max_words // 2`` words, so that a passage is cut alike
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bloom
-from shelfmark.llm.store import dropped, free_name, give_back, written
+from shelfmark.llm.store import CACHES, begin, dropped, free_name, give_back, written
 from shelfmark.llm.words import CACHE_WORDS, mixed
 from shelfmark.runtime import shipped
 
@@ -57,8 +58,8 @@ def _hashed(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-#: ``max_words`` for passages of over 50 words.
-PASSAGE_CUT = 16
+#: Parameters for passages of over 50 words anywhere in a text; shorter lines that documents share stay.
+PASSAGES = {"min_words": 20, "max_words": 16, "passage_words": 20}
 RUN_SCHEMA = "h long, g int, doc long, rid long, at int, sentences int, again boolean"
 NO_ID = -(2**63)
 RUN_BASE = 1 << 31
@@ -98,10 +99,11 @@ def _begins(h: np.ndarray, line_starts: list[int], max_words: int | None) -> tup
     return at, np.arange(len(at))
 
 
-def _runs(begins: np.ndarray, whole: np.ndarray, sentences: int, passage_words: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _runs(begins: np.ndarray, whole: np.ndarray, sentences: int, min_words: int, passage_words: int | None) -> tuple[np.ndarray, np.ndarray]:
     """First and one past the last piece of every run, in order and each once. ``whole``: the pieces that begin a sentence."""
     n = len(begins) - 1
-    both = [whole[:-sentences] * (n + 1) + whole[sentences:]]
+    long = begins[whole[sentences:]] - begins[whole[:-sentences]] >= min_words
+    both = [whole[:-sentences][long] * (n + 1) + whole[sentences:][long]]
     if passage_words is not None:
         at = np.arange(n + 1)
         last = np.maximum(at[:-1] + 2, np.searchsorted(begins, begins[:-1] + passage_words, side="left"))
@@ -114,6 +116,9 @@ def _runs(begins: np.ndarray, whole: np.ndarray, sentences: int, passage_words:
 _known: dict[int, np.ndarray] = {}
 
 
+CACHES["spans"] = lambda: (_words.clear(), _known.clear())
+
+
 def _powers_of(base: np.uint64, n: int) -> np.ndarray:
     """The first powers of an odd base modulo 2^64, n at least."""
     if (have := _known.get(int(base))) is None or len(have) <= n:
@@ -121,7 +126,7 @@ def _powers_of(base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
-def text_runs(text: str | None, sentences: int, max_words: int | None = None, passage_words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def text_runs(text: str | None, sentences: int, min_words: int = 0, max_words: int | None = None, passage_words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all runs of a text (64 bits and 32 more), with their first and one past their last piece."""
     words: list[str] = []
     starts: list[int] = []
@@ -133,7 +138,7 @@ def text_runs(text: str | None, sentences: int, max_words: int | None = None, pa
         return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int64))
     hashes = _hashed(words)
     begins, whole = _begins(hashes, starts, max_words)
-    first, last = _runs(begins, whole, sentences, passage_words if max_words is not None else None)
+    first, last = _runs(begins, whole, sentences, min_words, passage_words if max_words is not None else None)
     # a sum of h[i] * base^i over the run, times base^-place: the same wherever the run stands
     a, b = begins[first], begins[last]
     names = []
@@ -171,7 +176,7 @@ def without(text: str, gone: set[int], max_words: int | None = None) -> str:
     return "".join(out)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 3, max_words: int | None = None, passage_words: int = 20) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 3, min_words: int = 0, max_words: int | None = None, passage_words: int = 20) -> DataFrame:
     """All rows and columns of ``docs``; the text without repeated sentences, and a column ``removed_runs`` (how many later places of runs it held)."""
     spark = shipped(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -181,10 +186,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = plain.select(key.alias("doc"), F.xxhash64(text).alias("rid"), text.alias("text"))
 
     def runs(batches):
+        begin("spans")
         for pdf in (whole.iloc[i : i + 1000] for whole in batches for i in range(0, len(whole), 1000)):
             parts = []
             for i, t in enumerate(pdf["text"]):
-                h, g, first, last = text_runs(t, sentences, max_words, passage_words)
+                h, g, first, last = text_runs(t, sentences, min_words, max_words, passage_words)
                 if len(h):
                     again = np.ones(len(h), bool)
                     again[np.unique(h, return_index=True)[1]] = False  # the first place of each run in this text
