@@ -6,7 +6,7 @@ import public_tokenizers as P
 from pyspark.sql import functions as F
 from test_spans_join import brute_join, brute_spans
 
-from shelfmark.llm import knn, packing
+from shelfmark.llm import knn, packing, spans
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
@@ -34,7 +34,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     left = [(r[0], r[1]) for r in rows if r[0] % 10 != 3]
     groups = brute_join(left, 5, 80, 100)
     unique = [(d, t) for d, t in left if groups[d][1] == d]
-    final = brute_spans(unique, 16)
+    final = brute_spans(unique, **spans.PASSAGES)
     coder = packing.vocabulary_encoder(P.path("byte_bpe_50k.json"), P.PATTERN, True)
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     want = {d: len(ids) + 1 for d, ids in zip(final, coder.encode(list(final.values())), strict=True)}

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -6,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from shelfmark.llm import graph, ngram_join, spans
+from shelfmark.llm import bloom, graph, ngram_join, spans
 
 
 def sentence(rng, n):
@@ -34,24 +35,25 @@ def plain_pieces(text, max_words=None):
     return [(found[a][0], tuple(w for _, w in found[a:b]), begins[a]) for a, b in zip(edges, edges[1:]) if a < b]
 
 
-def plain_runs(pieces, sentences=3, max_words=None, passage_words=20):
+def plain_runs(pieces, sentences=3, min_words=0, max_words=None, passage_words=20):
     """(first, past the last) of every run."""
     n, out = len(pieces), set()
     whole = [i for i, p in enumerate(pieces) if p[2]] + [n]
-    out |= {(whole[i], whole[i + sentences]) for i in range(len(whole) - sentences)}
-    size = lambda a, b: sum(len(p[1]) for p in pieces[a:b])
+    total = [0, *itertools.accumulate(len(p[1]) for p in pieces)]
+    size = lambda a, b: total[b] - total[a]
+    out |= {(whole[i], whole[i + sentences]) for i in range(len(whole) - sentences) if size(whole[i], whole[i + sentences]) >= min_words}
     for i in range(n if max_words else 0):
-        out |= set([(i, j) for j in range(i + 2, n + 1) if size(i, j) >= passage_words][:1])
-        out |= set([(j, i + 1) for j in range(i - 1, -1, -1) if size(j, i + 1) >= passage_words][:1])
+        out |= {(i, j) for j in itertools.islice((j for j in range(i + 2, n + 1) if size(i, j) >= passage_words), 1)}
+        out |= {(j, i + 1) for j in itertools.islice((j for j in range(i - 1, -1, -1) if size(j, i + 1) >= passage_words), 1)}
     return out
 
 
-def brute_spans(rows, max_words=None):
+def brute_spans(rows, max_words=None, min_words=0, **more):
     """Places by document in order of id; every later place of a run goes."""
     first, gone, cut = {}, {}, {d: plain_pieces(t, max_words) for d, t in rows}
     for doc, _ in sorted(rows, key=lambda r: r[0]):
         local = set()
-        for a, b in sorted(plain_runs(cut[doc], max_words=max_words)):
+        for a, b in sorted(plain_runs(cut[doc], min_words=min_words, max_words=max_words, **more)):
             key = tuple(w for p in cut[doc][a:b] for w in p[1])
             if first.setdefault(key, doc) != doc or key in local:
                 gone.setdefault(doc, set()).update(range(a, b))
@@ -63,8 +65,8 @@ def brute_spans(rows, max_words=None):
     return out
 
 
-@pytest.mark.parametrize("max_words", [None, 16])
-def test_spans_against_brute_force(spark, max_words):
+@pytest.mark.parametrize("max_words,min_words", [(None, 0), (16, 0), (16, 20)])
+def test_spans_against_brute_force(spark, max_words, min_words):
     rng = random.Random(5)
     passage = " ".join(sentence(rng, k) for k in (9, 12, 30, 8))
     long_sentence, short = sentence(rng, 70), "Five words are in here. So few. And five in here too."
@@ -80,11 +82,11 @@ def test_spans_against_brute_force(spark, max_words):
         rows.append((i, rng.choice([" ", "\n"]).join(parts)))
     rows += [(100, None), (101, ""), (102, " \n "), (103, "short."), (104, "Und " * 3000), (105, "Und " * 3000), (106, passage * 3), (107, f" \n{short}\n\n"), (108, f"{short} {short}")]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, gone string").repartition(4)
-    got = {r["doc_id"]: (r["text"], r["gone"], r["removed_runs"]) for r in spans.deduplicated(docs, max_words=max_words).collect()}
-    want = brute_spans(rows, max_words)
+    got = {r["doc_id"]: (r["text"], r["gone"], r["removed_runs"]) for r in spans.deduplicated(docs, min_words=min_words, max_words=max_words).collect()}
+    want = brute_spans(rows, max_words, min_words)
     assert {d: t[0] for d, t in got.items()} == want and {t[1] for t in got.values()} == {"c"}
     kept = [d for d, t in rows if t and passage in t and passage in got[d][0]]
-    assert kept == [0] and [d for d, t in rows if t and short in t and short in got[d][0]] == [0]
+    assert kept == [0] and ([d for d, t in rows if t and short in t and short in got[d][0]] == [0]) == (not min_words)
     assert got[103][2] == 0 and got[100][0] is None and (got[105][0] == "") == bool(max_words)
     assert max_words or "lead in words" not in got[7][0] or long_sentence in got[7][0]
     assert spans.deduplicated(docs.where("false")).count() == 0
@@ -97,7 +99,7 @@ def test_sentences_are_whole_by_default(spark):
     rows = [(i, f"{sentence(rng, 9)} lead {i} {passage} tail {i}. {sentence(rng, 5)}") for i in range(3)]
     got = {r["doc_id"]: r["text"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(rows)
-    got = {r["doc_id"]: r["text"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), max_words=spans.PASSAGE_CUT).collect()}
+    got = {r["doc_id"]: r["text"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), **spans.PASSAGES).collect()}
     assert got[0] == rows[0][1] and all(len(got[i].split()) < len(rows[i][1].split()) - 40 and f"lead {i}" in got[i] for i in (1, 2))
 
 
@@ -125,7 +127,7 @@ def test_closing_sentences_of_a_passage_go(spark):
     for lengths in ((15, 15, 3), (3, 15, 15), (12, 9, 14, 1, 2)):
         passage = " ".join(sentence(rng, n) for n in lengths)
         rows = [(i, f"{sentence(rng, 9)} {passage} {sentence(rng, 9)}") for i in range(4)]
-        got = {r["doc_id"]: r["text"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), max_words=spans.PASSAGE_CUT).collect()}
+        got = {r["doc_id"]: r["text"] for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), **spans.PASSAGES).collect()}
         assert got == {i: t if i == 0 else t.replace(f"{passage} ", "") for i, t in rows}
 
 
@@ -148,7 +150,7 @@ def shared_words(passage, rng):
     starts = [next(i for i in range(len(t)) if t[i : i + len(passage)] == passage) for t in texts]
     found = []
     for t in texts:
-        h, _, a, b = spans.text_runs(" ".join(t), 3, 16, 20)
+        h, _, a, b = spans.text_runs(" ".join(t), 3, **spans.PASSAGES)
         begins, _ = spans._begins(spans._hashed(t), [0], 16)
         found.append({(k, tuple(t[x:y])): (x, y) for k, x, y in zip(h.tolist(), begins[a].tolist(), begins[b].tolist(), strict=True)})
     assert {k for k, _ in found[0]} & {k for k, _ in found[1]} == {k for k, _ in found[0].keys() & found[1].keys()}
@@ -299,6 +301,17 @@ def test_extra_columns_survive(spark):
     assert ngram_join.linked(docs, 2).where("component_id = 0").count() == 3
 
 
+def test_large_sets_of_keys_are_joined(spark, monkeypatch):
+    """Beyond the size of a filter the same rows come through, and no others."""
+    rows = spark.range(300).select(F.xxhash64("id").alias("k"), "id")
+    keys = rows.where("id % 7 = 0").select(F.col("k").alias("h"))
+    wanted = {r["id"] for r in rows.collect() if r["id"] % 7 == 0}
+    assert wanted <= {r["id"] for r in bloom.thinned(rows, F.col("k"), keys).collect()}
+    monkeypatch.setattr(bloom, "MAX_BITS", 64)
+    joined = bloom.thinned(rows, F.col("k"), keys)
+    assert {r["id"] for r in joined.collect()} == wanted and joined.columns == ["k", "id"]
+
+
 def test_representatives(spark):
     rng = random.Random(15)
     text, other = " ".join(words(rng, 40)), " ".join(words(rng, 30))
