@@ -45,7 +45,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     All rows stay, even if nothing is left of a text. Null texts stay null. Rows that repeat an id and its text are one document and stay alike; other texts
     under one id, or without an id, are documents of their own, and those without an id come first.
     """
-    out = spans.deduplicated(documents(docs), max_words=spans.PASSAGE_CUT)
+    out = spans.deduplicated(documents(docs), **spans.PASSAGES)
     return out.withColumn("n_chars", F.when(F.col("removed_runs") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
