@@ -62,7 +62,8 @@ def append_listings(batch: DataFrame, path: str) -> int:
             written = have.select(F.col("scan_id").alias("__scan"), row_key().alias("__written"))
             rows = fresh.join(written, F.col("scan_id").eqNullSafe(F.col("__scan")) & (F.col("__key") == F.col("__written")), "left_anti")
         seen = Observation()
-        rows.drop("__key").observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("store", "scan_id").parquet(path)
+        whole = rows.drop("__key").hint("rebalance", "store", "scan_id")  # a scan's rows in few files; large scans are split
+        whole.observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("store", "scan_id").parquet(path)
         return seen.get["n"]
     finally:
         fresh.unpersist()
