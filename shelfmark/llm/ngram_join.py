@@ -436,8 +436,10 @@ def _linked(rows: DataFrame, width: int, threshold: Threshold, by_id: bool) -> D
         tried = likely if tried is None else tried.union(likely)
         own = likely.select(F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("ou").alias("o")), F.struct(F.col("v").alias("c"), F.col("ov").alias("o")))).alias("x")).select("x.c", "x.o").distinct()
         own = written(own.join(weight.select("c", "c2", "o", "tag"), ["c", "o"]), "owners")
-        links = written(_verified(likely, _texts(rows, own, width), width, threshold), "links")
+        texts = written(_texts(rows, own, width), "texts")  # the joins alone can be split where a pivot has many candidates
+        links = written(_verified(likely, texts, width, threshold), "links")
         dropped(own)
+        dropped(texts)
         return links
 
     fits = F.expr(f"{threshold.whole} * least(n, pn) >= {threshold.part} * greatest(n, pn)")
