@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bloom
-from shelfmark.llm.store import CACHES, begin, dropped, free_name, give_back, written
+from shelfmark.llm.store import CACHES, begin, dropped, free_name, freed, give_back, written
 from shelfmark.llm.words import CACHE_WORDS, mixed
 from shelfmark.runtime import shipped
 
@@ -204,16 +204,18 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = written(rows.mapInPandas(runs, RUN_SCHEMA), "runs")
     once = places.where("not again")
     repeated = written(once.select("h").groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeated")
-    shared = bloom.thinned(once.select("h", "g", "doc", "rid", "at", "sentences"), F.col("h"), repeated)
+    shared = written(bloom.thinned(once.select("h", "g", "doc", "rid", "at", "sentences"), F.col("h"), repeated), "shared")
     place = F.struct("doc", "rid")
-    first = shared.groupBy("h", "g").agg(F.min(place).alias("first"))
+    first = written(shared.groupBy("h", "g").agg(F.min(place).alias("first")), "first")  # the join alone can be split where a run is in many places
+    freed(spark)
     later = shared.join(first, ["h", "g"]).where(place != F.col("first")).select("doc", "rid", "at", "sentences")
     later = later.unionByName(places.where("again").select("doc", "rid", "at", "sentences"))
     # a run is one number, place times RUN_BASE plus length; they are spread to sentences where the text is cut
     run = F.col("at").cast("long") * RUN_BASE + F.col("sentences")
     found = written(later.groupBy("doc", "rid").agg(F.collect_set(run).alias("gone")), "found")
-    dropped(places)
-    dropped(repeated)
+    for table in (places, repeated, shared, first):
+        dropped(table)
+    freed(spark)
 
     @F.pandas_udf("string")
     def cut(t: pd.Series, g: pd.Series) -> pd.Series:
