@@ -102,8 +102,10 @@ def _begins(h: np.ndarray, line_starts: list[int], max_words: int | None) -> tup
 def _runs(begins: np.ndarray, whole: np.ndarray, sentences: int, min_words: int, passage_words: int | None) -> tuple[np.ndarray, np.ndarray]:
     """First and one past the last piece of every run, in order and each once. ``whole``: the pieces that begin a sentence."""
     n = len(begins) - 1
-    long = begins[whole[sentences:]] - begins[whole[:-sentences]] >= min_words
-    both = [whole[:-sentences][long] * (n + 1) + whole[sentences:][long]]
+    both = []
+    if passage_words is None or min_words < passage_words:  # else the shortest runs within such a run cover all of its sentences
+        long = begins[whole[sentences:]] - begins[whole[:-sentences]] >= min_words
+        both = [whole[:-sentences][long] * (n + 1) + whole[sentences:][long]]
     if passage_words is not None:
         at = np.arange(n + 1)
         last = np.maximum(at[:-1] + 2, np.searchsorted(begins, begins[:-1] + passage_words, side="left"))
@@ -204,6 +206,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = written(rows.mapInPandas(runs, RUN_SCHEMA), "runs")
     once = places.where("not again")
     repeated = written(once.select("h").groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeated")
+    freed(spark)
     shared = written(bloom.thinned(once.select("h", "g", "doc", "rid", "at", "sentences"), F.col("h"), repeated), "shared")
     place = F.struct("doc", "rid")
     first = written(shared.groupBy("h", "g").agg(F.min(place).alias("first")), "first")  # the join alone can be split where a run is in many places
